@@ -1,0 +1,27 @@
+"""Cutting lineage in storage that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only where that is unset (as in tests
+    on one machine) a temporary folder, which is then used for the whole session."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="sparkquire-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept as a reliable checkpoint: an executor's loss
+    afterwards costs a read, and Spark's cleaner removes the files of dropped frames."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
