@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import sharding, url_filter, warc_zip
+from . import embedding_join, jaccard_join, sharding, url_filter, warc_zip
 
 SHARDS = 8
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -25,13 +24,21 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.cosine_components(_table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), 90, 100, 3)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = warc_zip.write_archives(_table(spark, sf_dir, "pages"), warc_zip.archive_folder(spark))
     return warc_zip.read_archives(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_url_filter, op9_warc)}
+    return {f.__name__: f for f in (op2_sharding, op3_url_filter, op5_embedding_dedup, op8_jaccard_join, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
