@@ -1,7 +1,8 @@
 """WARC records in ZIP packages: written as stored members with an index each, read back by ranges.
 
-A package holds ``archive/<n>.warc`` members (stored, never compressed) and one
-``indexes/<n>.cdxj`` member for each of them.  The reader parses the end record, the
+A package holds ``archive/<n>.warc.gz`` members and one ``indexes/<n>.cdxj`` member for each
+of them.  Members are stored, never compressed; within them each record is a gzip member of
+its own, as WARC has it, so that a range of the package is a range of whole records.  The reader parses the end record, the
 ZIP64 end record and the central directory, finds where the stored members begin, reads
 the indexes, and then reads spans of records straight from the package; nothing is
 extracted, and neither side holds more than one span of records in memory.
@@ -10,6 +11,7 @@ extracted, and neither side holds more than one span of records in memory.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -29,6 +31,7 @@ from .storage import cut, shared_dir
 MEMBER_BYTES = 256 << 20
 SPAN_BYTES = 8 << 20
 SPAN_RECORDS = 2000
+GZIP_LEVEL = 3
 #: Signatures and lengths of ZIP structures, as the format fixes them.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -112,10 +115,10 @@ def write_package(uri: str, records: Iterable[tuple[dict, bytes]], member_bytes:
         held = next(records, None)
         while held is not None:
             index, at = [], 0
-            with package.open(zipfile.ZipInfo(f"archive/{member:05d}.warc"), "w", force_zip64=True) as out:
+            with package.open(zipfile.ZipInfo(f"archive/{member:05d}.warc.gz"), "w", force_zip64=True) as out:
                 while held is not None and (at == 0 or at + len(held[1]) <= member_bytes):
                     out.write(held[1])
-                    index.append(json.dumps(held[0] | {"offset": at, "length": len(held[1]), "filename": f"{member:05d}.warc"}))
+                    index.append(json.dumps(held[0] | {"offset": at, "length": len(held[1]), "filename": f"{member:05d}.warc.gz"}))
                     at, n = at + len(held[1]), n + 1
                     held = next(records, None)
             package.writestr(zipfile.ZipInfo(f"indexes/{member:05d}.cdxj"), "".join(f"- {x}\n" for x in index))
@@ -204,7 +207,7 @@ def read_span(uri: str, begin: int, lengths: list[int]) -> Iterator[tuple[dict[s
         data = file.read(sum(lengths))
     at = 0
     for n in lengths:
-        yield parse_record(data[at : at + n])
+        yield parse_record(gzip.decompress(data[at : at + n]))
         at += n
 
 
@@ -231,7 +234,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
                 for i in range(0, len(batch), 256):
                     for r in batch.slice(i, 256).to_pylist():
                         digest = base64.b32encode(r["sha"]).decode()
-                        yield {"page_id": r["page_id"], "digest": digest}, record_bytes(r["page_id"], r["url"], (r["html"] or "").encode(), digest, r["n"], r["least"], r["revisit"], date)
+                        record = record_bytes(r["page_id"], r["url"], (r["html"] or "").encode(), digest, r["n"], r["least"], r["revisit"], date)
+                        yield {"page_id": r["page_id"], "digest": digest}, gzip.compress(record, GZIP_LEVEL, mtime=0)
 
         rest = records()
         first = next(rest, None)
