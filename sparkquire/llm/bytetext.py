@@ -61,9 +61,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, and the number of words of each text."""
-    inside = ~IS_SPACE[body]
+def word_spans(body: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words (runs of bytes not in ``between``), and each text's number of words."""
+    inside = ~between[body]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = offsets[:-1][offsets[:-1] < len(body)]
@@ -77,11 +77,20 @@ def word_spans(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+class SpanHashes:
+    """64-bit hashes of spans of one buffer, the same wherever a span stands; A-Z as a-z."""
+
+    def __init__(self, body: np.ndarray):
+        self.total = np.zeros(len(body) + 1, np.uint64)
+        np.cumsum(BYTE_VALUE[body] * powers(len(body), BASE), out=self.total[1:])
+        self.back = powers(len(body) + 1, BASE_INVERSE)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever it stands; A-Z as a-z."""
-    total = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[body] * powers(len(body), BASE), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(len(body) + 1, BASE_INVERSE)[starts] + (ends - starts).astype(np.uint64))
+    return SpanHashes(body)(starts, ends)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
