@@ -32,7 +32,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 300) -> np.ndarray:
     """Weights with the intercept last, by accelerated gradient steps; classes weigh the same.
     With one class only the weights are 0 and the intercept is that class's smoothed log-odds."""
     n, w = len(y), np.zeros(x.shape[1] + 1)

@@ -26,7 +26,7 @@ FOLDS = 4
 #: Features must be this much likelier (as a logarithm) in toxic texts: about three times.
 LEAST_LIFT = 1.1
 #: Bytes of a word's beginning that are features beside the whole word.
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7)
 #: Fixed seed words of the weakly labelled categories.
 SEEDS = {
     "insult": ("clown", "idiot", "loser", "moron", "scum"),
@@ -135,7 +135,7 @@ def fit_chain(x: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> list[np.ndarr
         if k + 1 < y.shape[1]:
             out = np.zeros(len(x), np.float32)
             for f in range(folds):
-                w = fit_logistic(both[fold != f], y[fold != f, k].astype(float), steps=80)
+                w = fit_logistic(both[fold != f], y[fold != f, k].astype(float), steps=120)
                 out[fold == f] = sigmoid(both[fold == f] @ w[:-1] + w[-1])
             shown = np.concatenate([shown, out[:, None]], axis=1)
     return weights
