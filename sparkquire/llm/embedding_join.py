@@ -18,14 +18,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .storage import cut
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 BLOCK_BYTES = 8 << 20
 LEAF_ROWS = 256
 FAN = 8
@@ -56,22 +55,26 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(cid, pa.binary()), batch["embedding"]], ["vec_id", "cid", "embedding"])
 
 
-def _units(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, unit vectors) for each dimension in the batch."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors) for each dimension in the batch."""
     flat, at = _vectors(batch["embedding"])
     size = np.diff(at)
     for d in np.unique(size):
         rows = np.flatnonzero(size == d)
-        x = flat[(at[:-1][rows][:, None] + np.arange(d)[None, :])]
-        x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
-        yield rows, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        yield rows, flat[(at[:-1][rows][:, None] + np.arange(d)[None, :])]
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for _, x in _units(batch):
-            y = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+        for _, x in _by_dimension(batch):
+            y = np.concatenate([np.ones((len(x), 1)), _unit(x)], axis=1)
             sums[x.shape[1]] = sums.get(x.shape[1], 0) + y.T @ y
     for d, m in sums.items():
         i, j = np.triu_indices(d + 1)
@@ -95,54 +98,50 @@ def principal_directions(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _cells(basis, eps: float):
+def _cells(basis, eps: float, kind: str):
+    """Adds each vector's dimension, its grid cell (bytes that sort as the cells do), and its
+    components as bytes of numpy type ``kind``, that of the column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(batch)
-            dims, keys, unit = np.zeros(n, np.int64), [b""] * n, [b""] * n
-            for rows, x in _units(batch):
-                cell = np.floor(x @ basis.value[x.shape[1]][:, :CELL_DIMS] / eps)
+            dims, keys, raw = np.zeros(n, np.int64), [b""] * n, [b""] * n
+            for rows, x in _by_dimension(batch):
+                cell = np.floor(_unit(x) @ basis.value[x.shape[1]][:, :CELL_DIMS] / eps)
                 cell = (np.clip(cell, -32768, 32767) + 32768).astype(">u2")
                 dims[rows] = x.shape[1]
-                for r, c, v in zip(rows, cell, x):
-                    keys[r], unit[r] = c.tobytes(), v.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(dims), pa.array(keys, pa.binary()), batch["cid"], batch["n"], pa.array(unit, pa.binary())], ["d", "cell", "cid", "n", "unit"])
+                for r, c, v in zip(rows, cell, x.astype(kind)):
+                    keys[r], raw[r] = c.tobytes(), v.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(dims), pa.array(keys, pa.binary()), batch["cid"], batch["n"], pa.array(raw, pa.binary())], ["d", "cell", "cid", "n", "raw"])
 
     return run
 
 
-def _box(x: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = x @ basis
-    return p.min(axis=0), p.max(axis=0)
+def _blocks(basis, kind: str):
+    """Rows sorted by (b, d, place) to a row for each (b, d): box, ids, weights and vectors."""
 
-
-def _blocks(basis):
-    """Rows in sequence order to rows of blocks."""
+    def pack(b, d, held):
+        raw = b"".join(h[2] for h in held)
+        p = _unit(np.frombuffer(raw, kind).reshape(-1, d)) @ basis.value[d]
+        return pa.RecordBatch.from_pylist([{"b": b, "d": d, "low": p.min(axis=0).tolist(), "high": p.max(axis=0).tolist(), "cids": [h[0] for h in held], "ns": [h[1] for h in held], "raw": raw}], schema=BLOCK_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        d, held = None, []
-
-        def pack():
-            x = np.frombuffer(b"".join(h[2] for h in held), np.float64).reshape(len(held), -1)
-            low, high = _box(x, basis.value[x.shape[1]])
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "d": x.shape[1], "low": low.tolist(), "high": high.tolist(), "cids": [h[0] for h in held], "ns": [h[1] for h in held], "units": x.tobytes()}], schema=BLOCK_ARROW)
-
+        key, held = None, []
         for batch in batches:
-            for dim, *row in zip(*(batch[c].to_pylist() for c in ("d", "cid", "n", "unit"))):
-                if held and (dim != d or len(held) >= max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * d)))):
-                    yield pack()
-                    seq, held = seq + 1, []
-                d = dim
+            for b, d, *row in zip(*(batch[c].to_pylist() for c in ("b", "d", "cid", "n", "raw"))):
+                if held and (b, d) != key:
+                    yield pack(*key, held)
+                    held = []
+                key = (b, d)
                 held.append(row)
         if held:
-            yield pack()
+            yield pack(*key, held)
 
     return run
 
 
-BLOCK_ARROW = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("d", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("cids", pa.list_(pa.binary())), ("ns", pa.list_(pa.int64())), ("units", pa.binary())])
-BLOCK_ROW = "part long, seq long, d long, low array<double>, high array<double>, cids array<binary>, ns array<long>, units binary"
+BLOCK_ARROW = pa.schema([("b", pa.int64()), ("d", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("cids", pa.list_(pa.binary())), ("ns", pa.list_(pa.int64())), ("raw", pa.binary())])
+BLOCK_ROW = "b long, d long, low array<double>, high array<double>, cids array<binary>, ns array<long>, raw binary"
 
 
 def interval_pairs(directory: DataFrame, blocks: int, eps: float) -> DataFrame:
@@ -217,13 +216,13 @@ def join_blocks(x: np.ndarray, y: np.ndarray, same: bool, basis: np.ndarray, t:
     return count, root
 
 
-def _joined(basis, t: float):
+def _joined(basis, t: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 r = {c: batch[c][k] for c in batch.schema.names}
                 same, d = r["a"].as_py() == r["b"].as_py(), r["d"].as_py()
-                x, y = (np.frombuffer(r[c].as_buffer(), np.float64).reshape(-1, d) for c in ("x_units", "y_units"))
+                x, y = (_unit(np.frombuffer(r[c].as_buffer(), kind).reshape(-1, d)) for c in ("x_raw", "y_raw"))
                 nx, ny = (np.array(r[c].as_py()) for c in ("x_ns", "y_ns"))
                 count, root = join_blocks(x, y, same, basis.value[d], t, nx, ny)
                 ids = r["x_cids"].as_py() + ([] if same else r["y_cids"].as_py())
@@ -249,19 +248,25 @@ def cosine_components(vectors: DataFrame, t: float = 0.95, vec_id: str = "vec_id
     named = base.mapInArrow(_named, f"vec_id {kinds['vec_id']}, cid binary, embedding {kinds['embedding']}")
     classes = cut(named.where("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding")))
     basis = spark.sparkContext.broadcast(principal_directions(classes))
-    cells = classes.select("cid", "n", "embedding").mapInArrow(_cells(basis, eps), "d long, cell binary, cid binary, n long, unit binary")
-    blocks = cut(cells.repartitionByRange("d", "cell", "cid").sortWithinPartitions("d", "cell", "cid").mapInArrow(_blocks(basis), BLOCK_ROW))
-    counts = sorted(tuple(r) for r in blocks.groupBy("part").count().collect())  # a row for each partition
+    kind = "<f4" if kinds["embedding"] == "array<float>" else "<f8"
+    cells = classes.select("cid", "n", "embedding").mapInArrow(_cells(basis, eps, kind), "d long, cell binary, cid binary, n long, raw binary")
+    ordered = cells.repartitionByRange("d", "cell", "cid").sortWithinPartitions("d", "cell", "cid")
+    ordered = cut(ordered.select("d", "cid", "n", "raw", F.monotonically_increasing_id().alias("at")))  # partition * 2**33 + row
+    ordered = ordered.withColumn("part", F.shiftright("at", 33))
     ahead, total = [], 0
-    for part, n in counts:
+    for part, n in sorted(tuple(r) for r in ordered.groupBy("part").count().collect()):  # a row for each partition
         ahead.append((part, total))
         total += n
-    offsets = spark.createDataFrame(ahead, "part long, ahead long") if ahead else spark.range(0).select(F.col("id").alias("part"), F.col("id").alias("ahead"))
-    numbered = blocks.join(F.broadcast(offsets), "part").withColumn("b", F.col("ahead") + F.col("seq"))
-    pairs = cut(interval_pairs(cut(numbered.select("b", "d", "low", "high")), total, eps))
-    x = numbered.select(F.col("b").alias("a"), "d", *(F.col(c).alias(f"x_{c}") for c in ("cids", "ns", "units")))
-    y = numbered.select("b", *(F.col(c).alias(f"y_{c}") for c in ("cids", "ns", "units")))
-    found = cut(pairs.join(x, "a").join(y, "b").mapInArrow(_joined(basis, t), "cid binary, links long, root binary"))
+    offsets = spark.createDataFrame(ahead or [(0, 0)], "part long, ahead long")
+    widest = max(basis.value, default=1)
+    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * widest)))
+    place = F.col("ahead") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = ordered.join(F.broadcast(offsets), "part").withColumn("place", place).withColumn("b", F.floor(F.col("place") / rows).cast("long"))
+    blocks = cut(placed.repartition("b").sortWithinPartitions("b", "d", "place").select("b", "d", "cid", "n", "raw").mapInArrow(_blocks(basis, kind), BLOCK_ROW))
+    pairs = cut(interval_pairs(cut(blocks.select("b", "d", "low", "high")), math.ceil(total / rows), eps))
+    x = blocks.select(F.col("b").alias("a"), "d", *(F.col(c).alias(f"x_{c}") for c in ("cids", "ns", "raw")))
+    y = blocks.select("b", "d", *(F.col(c).alias(f"y_{c}") for c in ("cids", "ns", "raw")))
+    found = cut(pairs.join(x, "a").join(y, ["b", "d"]).mapInArrow(_joined(basis, t, kind), "cid binary, links long, root binary"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     joined = components(found.where("cid <> root").select("cid", "root"), "cid", "root")
     rooted = classes.select("cid", "least", "n").join(links, "cid", "left").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("top", F.coalesce("component", "cid"))
