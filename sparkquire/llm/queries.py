@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, jaccard_join, language_id, quality, sharding, toxicity, url_filter, warc_zip
+from . import decontaminate, embedding_join, jaccard_join, language_id, quality, sharding, toxicity, url_filter, warc_zip
 
 SHARDS = 8
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -36,6 +36,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_language(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, k=5)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), 90, 100, 3)
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_url_filter, op5_embedding_dedup, op6_language_id, op8_jaccard_join, op9_warc, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_url_filter, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_jaccard_join, op9_warc, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
