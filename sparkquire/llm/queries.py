@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_join, jaccard_join, language_id, quality, sharding, toxicity, url_filter, warc_zip
+from . import bpe, decontaminate, embedding_join, jaccard_join, language_id, quality, sharding, toxicity, url_filter, warc_zip
 
 SHARDS = 8
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -28,6 +29,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lexicon = bpe.build_lexicon(docs, TOKENIZER)
+    return bpe.digests(bpe.encode_decode(docs, TOKENIZER, lexicon, ["doc_id"]))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.cosine_components(_table(spark, sf_dir, "embeddings"), 0.95)
 
@@ -54,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_url_filter, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_jaccard_join, op9_warc, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_url_filter, op4_bpe, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_jaccard_join, op9_warc, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
