@@ -10,10 +10,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkquire.llm import bpe, decontaminate, jaccard_join, quality, toxicity
 from sparkquire.llm.queries import TOKENIZER
-from sparkquire.llm.storage import shared_dir
+from sparkquire.llm.storage import cut, shared_dir
 
 #: The production parameters of the near-duplicate stage: five words, a similarity of 0.8.
 SHINGLE_WORDS, SIMILAR = 5, (80, 100)
@@ -36,10 +37,16 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id in each component of near copies; those without words all stay."""
-    found = jaccard_join.jaccard_components(docs, *SIMILAR, words=SHINGLE_WORDS)
+    """The document of the smallest id in each component of near copies; those without words
+    all stay, and so do rows of a null id.  Of rows that repeat a kept id, the least stays."""
+    found = cut(jaccard_join.jaccard_components(docs, *SIMILAR, words=SHINGLE_WORDS))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    least = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(least)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
