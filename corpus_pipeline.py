@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkquire.llm import bpe, decontaminate, jaccard_join, quality, toxicity
 from sparkquire.llm.queries import TOKENIZER
-from sparkquire.llm.storage import cut, shared_dir
+from sparkquire.storage import cut, shared_dir
 
 #: The production parameters of the near-duplicate stage: five words, a similarity of 0.8.
 SHINGLE_WORDS, SIMILAR = 5, (80, 100)

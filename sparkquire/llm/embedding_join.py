@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .storage import cut
+from ..operators.components import components
+from ..storage import cut
 
 BLOCK_ROWS = 8192
 BLOCK_BYTES = 8 << 20

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mix, shingle_sets
-from .components import components
-from .storage import cut
+from ..operators.components import components
+from ..storage import cut
 
 BAND_RATIO = 1.5
 BLOCK_SETS = 1024

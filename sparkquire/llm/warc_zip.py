@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut, shared_dir
+from ..storage import cut, shared_dir
 
 MEMBER_BYTES = 256 << 20
 SPAN_BYTES = 8 << 20
