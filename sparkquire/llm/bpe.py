@@ -27,6 +27,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 32  # the longest word in the lexicon
 CACHED_WORDS = 200_000
@@ -34,6 +36,8 @@ TEXTS_AT_ONCE = 128
 WORDS_AT_ONCE = 200_000
 LONG_TEXT = 2_000_000
 COUNTED_WORDS = 300_000
+SHORT_WORD = 64  # bytes up to which words are merged together
+PAIR_SLOTS, PAIR_FACTOR, NO_RANK = 1 << 20, 0x9E3779B1, 1 << 40
 
 #: Fixed values of the byte-level split: contractions, letters, numbers, others, white space.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -77,6 +81,7 @@ class Tokenizer:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self.table = None
         self.special_split = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
@@ -114,6 +119,69 @@ class Tokenizer:
                 heapq.heappush(heap, (m[0], before[i], ids[before[i]], ids[i]))
         return [x for x in ids if x >= 0]
 
+    def _pair_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Open addressing over pair keys: keys (or -1), ranks and merged ids."""
+        keys, ranks, merged = np.full(PAIR_SLOTS, -1), np.full(PAIR_SLOTS, NO_RANK), np.zeros(PAIR_SLOTS, np.int64)
+        for (a, b), (rank, to) in self.merges.items():
+            k = (a << 20) | b
+            at = ((k * PAIR_FACTOR) >> 20) & (PAIR_SLOTS - 1)
+            while keys[at] >= 0:
+                at = (at + 1) & (PAIR_SLOTS - 1)
+            keys[at], ranks[at], merged[at] = k, rank, to
+        return keys, ranks, merged
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NO_RANK if none) and merged id of each pair of ids."""
+        if self.table is None:
+            self.table = self._pair_table()
+        keys, ranks, merged = self.table
+        key = (a << 20) | b
+        at = ((key * PAIR_FACTOR) >> 20) & (PAIR_SLOTS - 1)
+        seeking = np.flatnonzero((keys[at] != key) & (keys[at] >= 0))
+        while len(seeking):
+            at[seeking] = (at[seeking] + 1) & (PAIR_SLOTS - 1)
+            seeking = seeking[(keys[at[seeking]] != key[seeking]) & (keys[at[seeking]] >= 0)]
+        return ranks[at], merged[at]
+
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many short words at once: all ids, and where each word's begin (n + 1).  In
+        each round every unfinished word merges its leftmost pair of least rank."""
+        length = np.array([len(w) for w in words], np.int64)
+        ids = np.array(self.of_byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), length)
+        rank, to = np.full(len(ids), NO_RANK), np.zeros(len(ids), np.int64)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner], to[inner] = self.pairs(ids[inner], ids[inner + 1])
+        done_ids, done_words = [], []
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            size = np.diff(np.append(first, len(ids)))
+            least = np.minimum.reduceat(rank, first)
+            live = np.repeat(least < NO_RANK, size)
+            if not live.all():
+                done_ids.append(ids[~live])
+                done_words.append(word[~live])
+                ids, word, rank, to = ids[live], word[live], rank[live], to[live]
+                size, least = size[least < NO_RANK], least[least < NO_RANK]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, size))
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
+            ids[at] = to[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            rank[at] = NO_RANK
+            at = at - np.arange(len(at))  # one element goes before each later place
+            ids, word, rank, to = ids[keep], word[keep], rank[keep], to[keep]
+            fresh = np.concatenate([at, at[at > 0] - 1])
+            fresh = fresh[fresh + 1 < len(ids)]
+            rank[fresh] = NO_RANK
+            fresh = fresh[word[fresh] == word[fresh + 1]]
+            rank[fresh], to[fresh] = self.pairs(ids[fresh], ids[fresh + 1])
+        ids, word = np.concatenate([*done_ids, ids]), np.concatenate([*done_words, word])
+        order = np.argsort(word, kind="stable")
+        return ids[order].astype("<u4"), np.searchsorted(word[order], np.arange(len(words) + 1))
+
     def words(self, text: str) -> Iterator[list[str]]:
         """The words of a text in runs; a special token is a word of its own."""
         parts, at = [], 0
@@ -161,6 +229,8 @@ class Transducer:
 
     def __init__(self, arrays: list[np.ndarray]):
         self.keys, self.targets, self.outputs, self.final, self.offsets, self.ids = arrays
+        self.offsets = self.offsets.astype(np.int64)
+        self.bytes = self.ids.tobytes()
 
     @classmethod
     def build(cls, entries: dict[bytes, list[int]]) -> Transducer:
@@ -272,15 +342,23 @@ class Encoder:
             self.cache = {}
         new = list(set(words).difference(self.cache))
         data = [w.encode("utf-8", "replace") for w in new]
-        found = self.lexicon.find(data).tolist() if self.lexicon is not None else [-1] * len(new)
-        for w, raw, k in zip(new, data, found):
-            if w in self.model.special:
-                ids = np.array([self.model.special[w]], "<u4")
-            elif k >= 0:
-                ids = self.lexicon.ids[self.lexicon.offsets[k] : self.lexicon.offsets[k + 1]]
-            else:
-                ids = np.array(self.model.merge(raw), "<u4")
-            self.cache[w] = ids.tobytes()
+        found = self.lexicon.find(data) if self.lexicon is not None else np.full(len(new), -1)
+        for k in [k for k, w in enumerate(new) if w in self.model.special]:
+            self.cache[new[k]] = np.array([self.model.special[new[k]]], "<u4").tobytes()
+            found[k] = -2
+        hit, miss = np.flatnonzero(found >= 0), np.flatnonzero(found == -1)
+        if len(hit):
+            at = found[hit]
+            body, a, b = self.lexicon.bytes, (self.lexicon.offsets[at] * 4).tolist(), (self.lexicon.offsets[at + 1] * 4).tolist()
+            self.cache.update(zip([new[k] for k in hit.tolist()], [body[x:y] for x, y in zip(a, b)]))
+        short = [k for k in miss.tolist() if len(data[k]) <= SHORT_WORD]
+        if short:
+            ids, at = self.model.merge_many([data[k] for k in short])
+            body, at = ids.tobytes(), (at * 4).tolist()
+            self.cache.update(zip([new[k] for k in short], [body[x:y] for x, y in zip(at, at[1:])]))
+        for k in miss.tolist():
+            if len(data[k]) > SHORT_WORD:
+                self.cache[new[k]] = np.array(self.model.merge(data[k]), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -346,16 +424,36 @@ def _word_counts(path: str):
     return run
 
 
+def _shipped(spark, transducer: Transducer) -> str:
+    """Puts the lexicon's file where every executor gets it; once for each content."""
+    if not _FOLDER:
+        _FOLDER.append(tempfile.mkdtemp(prefix="sparkquire-lexicon-"))
+    file = transducer.save(_FOLDER[0])
+    spark.sparkContext.addFile(file)  # a second time with the same path does nothing
+    return os.path.basename(file)
+
+
+_FOLDER: list[str] = []
+
+
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text: str = "text") -> str:
-    """Counts the words of all texts, compiles the ``size`` most frequent (ties by bytes) and ships
-    the file to every executor; its name there.  The driver gets ``size`` words at most."""
-    spark = docs.sparkSession
+    """Counts the words of all texts, compiles the most frequent (``size`` at most) and ships
+    the file to every executor; its name there.
+
+    Counts are grouped by magnitude (steps of 2 %), and the lexicon takes the largest magnitudes that
+    fit: the driver gets one row for each magnitude and ``size`` words, and no sort runs.
+    """
     counts = docs.select(F.col(text).alias("text")).mapInArrow(_word_counts(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
+    counts = cut(counts.where("n > 1").select("word", F.floor(F.ln("n") * 50).cast("int").alias("magnitude")))
+    least, taken = None, 0
+    for r in sorted(counts.groupBy("magnitude").count().collect(), reverse=True):  # at most 50 ln(words) rows
+        taken += r["count"]
+        if taken > size:
+            break
+        least = r.magnitude
     model = tokenizer(path)
-    file = Transducer.build({w: model.merge(w) for w in frequent}).save(tempfile.mkdtemp(prefix="sparkquire-lexicon-"))
-    spark.sparkContext.addFile(file)
-    return os.path.basename(file)
+    frequent = [] if least is None else [bytes(r.word) for r in counts.where(F.col("magnitude") >= least).select("word").collect()]
+    return _shipped(docs.sparkSession, Transducer.build({w: model.merge(w) for w in frequent}))
 
 
 def encode_decode(docs: DataFrame, path: str, lexicon: str | None, keep: list[str], text: str = "text") -> DataFrame:
