@@ -103,17 +103,18 @@ def window_rows(rows: DataFrame, key: str, order: str, size: str, budget: int, o
 
 def gap_clusters(rows: DataFrame, key: str, position: str, distance: float = DEFAULTS.gap_cluster_distance) -> DataFrame:
     """key, position, cluster, centre: sorted positions join the cluster before them while they lie
-    nearer than ``distance`` to its mean."""
+    nearer than ``distance`` to its centre, halfway between its first and last position."""
 
     def step(p: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list[float]] = []
+        ends: list[list[float]] = []
+        of = []
         for x in p[position]:
-            if clusters and x - sum(clusters[-1]) / len(clusters[-1]) < distance:
-                clusters[-1].append(x)
+            if ends and x - (ends[-1][0] + ends[-1][1]) / 2 < max(distance, 1e-9):
+                ends[-1][1] = x
             else:
-                clusters.append([x])
-        out = [(x, k, round(sum(c) / len(c), 6)) for k, c in enumerate(clusters) for x in c]
-        return pd.DataFrame(out, columns=["position", "cluster", "centre"])
+                ends.append([x, x])
+            of.append(len(ends) - 1)
+        return pd.DataFrame({"position": p[position].to_numpy(float), "cluster": of, "centre": [round(sum(ends[k]) / 2, 6) for k in of]})
 
     return _fold(rows, key, [position], [], "position double, cluster long, centre double", step)
 
