@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,10 @@ def cut(df: DataFrame) -> DataFrame:
     afterwards costs a read, and Spark's cleaner removes the files of dropped frames."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffles and checkpoints that no frame refers to any more; it
+    learns of them from the driver's garbage collection, which otherwise may come much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
