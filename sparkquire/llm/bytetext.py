@@ -23,7 +23,7 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of one slice of a batch: temporaries take about 60 bytes for each.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 600_000
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

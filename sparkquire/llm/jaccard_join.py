@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .bytetext import mix, shingle_sets
 from ..operators.components import components
-from ..storage import cut
+from ..storage import cut, release
 
 BAND_RATIO = 1.5
-BLOCK_SETS = 1024
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SETS = 512
+BLOCK_SHINGLES = 600_000
 BLOOM_BITS = 1 << 23
 FEATURES_AT_ONCE = 4096
 
@@ -129,7 +129,7 @@ def link_roots(sets: list[np.ndarray], blocks: np.ndarray, num: int, den: int) -
             x = np.zeros((m, min(FEATURES_AT_ONCE, len(shared) - first)), np.float32)
             x[row[a:b], column[a:b] - first] = 1
             inter += x @ x.T
-        inter = inter.astype(np.int64)
+        inter = inter.astype(np.int32)
     links = inter * (num + den) >= num * (sizes[:, None] + sizes[None, :])
     if len(np.unique(blocks)) == 2:
         links &= blocks[:, None] != blocks[None, :]
@@ -219,14 +219,17 @@ def _verified(num: int, den: int):
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
+        key, group, known = None, [], set()
         for batch in batches:
             a, b = [], []
-            for pk, *rest in zip(*(batch[c].to_pylist() for c in ("pk", "block", "cid", "features"))):
+            for i in range(len(batch)):
+                pk, *rest = (batch[c][i].as_py() for c in ("pk", "block", "cid", "features"))
                 if pk != key:
                     more = roots(group)
-                    a, b, key, group = a + more[0], b + more[1], pk, []
-                group.append(rest)
+                    a, b, key, group, known = a + more[0], b + more[1], pk, [], set()
+                if (rest[0], rest[1]) not in known:  # rows that repeat a whole document come twice
+                    known.add((rest[0], rest[1]))
+                    group.append(rest)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
         a, b = roots(group)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -274,11 +277,13 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, words: in
     signed = base.select("text").mapInArrow(_signature_rows(num, den, words), "sig long, c1 long")
     stars = signed.repartition("sig").sortWithinPartitions("sig", "c1").mapInArrow(_stars, "a long, b long")
     families = cut(components(stars).select(F.col("node").alias("c1"), F.col("component").alias("family")))
+    del signed, stars
+    release(spark)  # the signatures' shuffle
     classes = rows.where("cid is not null").groupBy("cid", "c1").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.min("n").alias("n"), F.count("*").alias("copies"))
     classes = cut(classes.join(families, "c1", "left").where("copies > 1 or family is not null").select("cid", "least", "rid", "n", "family"))
     members = classes.where("family is not null")
     bloom = spark.sparkContext.broadcast(_bloom(members.select("rid")))
-    sets = base.select("rid", "text").mapInArrow(_set_rows(bloom, words), "rid long, features binary").dropDuplicates(["rid"])
+    sets = base.select("rid", "text").mapInArrow(_set_rows(bloom, words), "rid long, features binary")
     groups = _block_rows(members, num, den).join(sets, "rid").select("pk", "block", "cid", "features")
     links = groups.repartition("pk").sortWithinPartitions("pk").mapInArrow(_verified(num, den), "a binary, b binary")
     joined = components(links)

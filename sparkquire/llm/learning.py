@@ -40,12 +40,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 30
     if pos in (0, n):
         w[-1] = np.log((pos + 1) / (n - pos + 1))
         return w
-    each = np.where(y > 0, 0.5 / pos, 0.5 / (n - pos))
-    x = np.concatenate([x, np.ones((n, 1), x.dtype)], axis=1)
-    rate = 1 / (0.25 * float(np.einsum("ij,ij,i->", x, x, each)) + l2)
-    v = w.copy()
+    each = np.where(y > 0, 0.5 / pos, 0.5 / (n - pos)).astype(np.float32)
+    x, y = np.concatenate([x, np.ones((n, 1))], axis=1, dtype=np.float32), y.astype(np.float32)  # one type: no copy a step
+    rate, shrink = np.float32(1 / (0.25 * float((each @ (x * x)).sum()) + l2)), np.full(len(w), l2, np.float32)
+    shrink[-1] = 0
+    w = v = w.astype(np.float32)
     for t in range(1, steps + 1):
-        step = v - rate * (x.T @ (each * (sigmoid(x @ v) - y)) + l2 * np.append(v[:-1], 0))
-        v = step + (t - 1) / (t + 2) * (step - w)
+        step = v - rate * ((each * (sigmoid(x @ v) - y)) @ x + shrink * v)
+        v = step + np.float32((t - 1) / (t + 2)) * (step - w)
         w = step
     return w
