@@ -131,8 +131,9 @@ def _end_of_directory(file, size: int) -> tuple[int, int, int]:
     tail_at = max(0, size - 22 - 0xFFFF - 20)
     file.seek(tail_at)
     tail = file.read(size - tail_at)
+    fits = lambda at: at + 22 <= len(tail) and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail)
     at = tail.rfind(END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and not fits(at):  # those bytes may also stand in the package's comment
         at = tail.rfind(END, 0, at)
     if at < 0:
         raise ValueError("no end of central directory: not a ZIP package, or cut short")
