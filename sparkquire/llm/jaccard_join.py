@@ -8,14 +8,16 @@ content: the largest of the agreeing partitions is never among the e smallest of
 set, so the two always share a signature, and no signature stands on a few common words.
 
 Sets that share a signature are linked to the least set of that signature (never all
-pairs); their components are the families within which pairs are verified.  A family is cut
-into blocks of bounded size by set size, blocks too far apart in size are skipped, and a
-pair of blocks is verified at once by a product of 0/1 matrices, which returns a spanning
-forest of the links, not the links.
+pairs); their components are the families within which pairs are verified.  A large family is
+cut into blocks of bounded size by set size; each block is written once to the shared folder,
+pairs of blocks that aren't too far apart in size read the two from there, and a pair is
+verified at once by a product of 0/1 matrices, which returns a spanning forest of the links,
+not the links.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import mix, shingle_sets
 from ..operators.components import components
-from ..storage import cut, release
+from ..storage import cut, release, shared_dir, store
 
 BAND_RATIO = 1.5
 BLOCK_SETS = 512
@@ -208,31 +210,67 @@ def _set_rows(bloom, k: int):
     return run
 
 
-def _verified(num: int, den: int):
-    def roots(group: list[tuple]) -> tuple[list, list]:
-        a, b = [], []
-        if len(group) > 1:
-            found = link_roots([np.frombuffer(g[2], np.uint64) for g in group], np.array([g[0] for g in group]), num, den)
-            for i in np.flatnonzero(found != np.arange(len(group))):
-                a.append(group[i][1])
-                b.append(group[found[i]][1])
-        return a, b
+EDGES = "block long, path string, a binary, b binary"
+
+
+def _edge_batch(block: int | None, path: str | None, a: list, b: list) -> pa.RecordBatch:
+    """Edges of a block, and a row of its path if it was written."""
+    n = len(a) + (path is not None)
+    return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([path] * n if path else [None] * n, pa.string()), pa.array(a + [None] * (n - len(a)), pa.binary()), pa.array(b + [None] * (n - len(b)), pa.binary())], ["block", "path", "a", "b"])
+
+
+def _forest(cids: list[bytes], sets: list[np.ndarray], blocks: np.ndarray, num: int, den: int) -> tuple[list, list]:
+    if len(sets) < 2:
+        return [], []
+    found = link_roots(sets, blocks, num, den)
+    some = np.flatnonzero(found != np.arange(len(sets)))
+    return [cids[i] for i in some], [cids[found[i]] for i in some]
+
+
+def _within_blocks(num: int, den: int, folder: str):
+    """Rows sorted by block: the forest of each block, and the file of each one of a large family."""
+
+    def finish(block: int, large: bool, held: dict[bytes, bytes]) -> pa.RecordBatch:
+        cids, path = list(held), None
+        if large:
+            path = f"{folder}/{block & (2**64 - 1):016x}-{uuid.uuid4().hex}.arrow"
+            system, place = store(path)
+            table = pa.table({"cid": pa.array(cids, pa.binary()), "features": pa.array(list(held.values()), pa.binary())})
+            with system.open_output_stream(place) as out, pa.ipc.new_stream(out, table.schema) as writer:
+                writer.write_table(table)
+        a, b = _forest(cids, [np.frombuffer(x, np.uint64) for x in held.values()], np.zeros(len(cids)), num, den)
+        return _edge_batch(block, path, a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, known = None, [], set()
+        last, held = None, {}
         for batch in batches:
-            a, b = [], []
             for i in range(len(batch)):
-                pk, *rest = (batch[c][i].as_py() for c in ("pk", "block", "cid", "features"))
-                if pk != key:
-                    more = roots(group)
-                    a, b, key, group, known = a + more[0], b + more[1], pk, [], set()
-                if (rest[0], rest[1]) not in known:  # rows that repeat a whole document come twice
-                    known.add((rest[0], rest[1]))
-                    group.append(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-        a, b = roots(group)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                block, large, cid, features = (batch[c][i].as_py() for c in ("block", "large", "cid", "features"))
+                if last is not None and block != last[0]:
+                    yield finish(*last, held)
+                    held = {}
+                last = (block, large)
+                held[cid] = features  # rows that repeat a whole document come twice
+        if last is not None:
+            yield finish(*last, held)
+
+    return run
+
+
+def _across_blocks(num: int, den: int):
+    """Rows of two blocks' files: the forest of the links from one to the other."""
+
+    def load(path: str) -> tuple[list[bytes], list[np.ndarray]]:
+        system, place = store(path)
+        with system.open_input_stream(place) as source:
+            table = pa.ipc.open_stream(source).read_all()
+        return table["cid"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["features"].to_pylist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, q in zip(batch["p"].to_pylist(), batch["q"].to_pylist()):
+                (c0, s0), (c1, s1) = load(p), load(q)
+                yield _edge_batch(None, None, *_forest(c0 + c1, s0 + s1, np.repeat([0, 1], [len(s0), len(s1)]), num, den))
 
     return run
 
@@ -248,17 +286,38 @@ def _bloom(rids: DataFrame) -> np.ndarray:
 
 
 def _block_rows(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(rid, cid, block, pk): each class once for each pair of blocks that it takes part in."""
-    members = members.withColumn("bin", F.floor(F.ln("n") / F.ln(F.lit(den / num)) + 1e-9).cast("long"))
-    whole = members.groupBy("family").agg((F.count("*") > BLOCK_SETS).alias("many"), (F.sum("n") > BLOCK_SHINGLES).alias("long"))
-    members = members.join(whole, "family").withColumn("bin", F.when(F.col("many") | F.col("long"), F.col("bin")).otherwise(0))
+    """(rid, cid, family, bin, salt, block, large): each class in its block.  A family that fits one
+    block is one; others go by size (a bin spans the greatest ratio of linked sizes) and, where a
+    bin is too full, by a hash."""
+    whole = members.groupBy("family").agg(((F.count("*") > BLOCK_SETS) | (F.sum("n") > BLOCK_SHINGLES)).alias("large"))
+    size_bin = F.floor(F.ln("n") / F.ln(F.lit(den / num)) + 1e-9).cast("long")
+    members = members.join(whole, "family").withColumn("bin", F.when(F.col("large"), size_bin).otherwise(0))
     bins = members.groupBy("family", "bin").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("salts"))
-    own = members.join(bins, ["family", "bin"]).withColumn("salt", F.pmod(F.xxhash64("cid"), "salts"))
-    near = own.withColumn("other", F.explode(F.when(F.col("many") | F.col("long"), F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).otherwise(F.array("bin"))))
-    theirs = bins.select("family", F.col("bin").alias("other"), F.col("salts").alias("theirs"))
-    near = near.join(theirs, ["family", "other"]).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("theirs") - 1)))
-    mine, its = F.struct(F.col("bin"), F.col("salt")), F.struct(F.col("other").alias("bin"), F.col("with").alias("salt"))
-    return near.select("rid", "cid", F.xxhash64("family", "bin", "salt").alias("block"), F.xxhash64("family", F.least(mine, its), F.greatest(mine, its)).alias("pk"))
+    placed = members.join(bins, ["family", "bin"]).withColumn("salt", F.pmod(F.xxhash64("cid"), "salts"))
+    return placed.select("rid", "cid", "family", "bin", "salt", F.xxhash64("family", "bin", "salt").alias("block"), "large")
+
+
+def _block_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): a forest of the links of all blocks and pairs of blocks, checkpointed."""
+    spark = placed.sparkSession
+    folder = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    system, place = store(folder)
+    system.create_dir(place, recursive=True)
+    rows = placed.join(sets, "rid").select("block", "large", "cid", "features")
+    within = cut(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_within_blocks(num, den, folder), EDGES))
+    release(spark)
+    files = within.where("path is not null and a is null").select("block", "path")
+    blocks = placed.where("large").select("family", "bin", "salt", "block").distinct().join(files, "block")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    near = (F.col("x.family") == F.col("y.family")) & (F.abs(F.col("x.bin") - F.col("y.bin")) <= 1) & (F.col("x.block") < F.col("y.block"))
+    pairs = cut(x.join(y, near).select(F.col("x.path").alias("p"), F.col("y.path").alias("q")))
+    n = pairs.count()
+    links = within.where("a is not null").select("a", "b")
+    if n:  # rows of two names stand for much work: they are dealt by number, not by size
+        dealt = pairs.repartition(min(n, 8 * spark.sparkContext.defaultParallelism), "p", "q")
+        links = links.union(cut(dealt.mapInArrow(_across_blocks(num, den), EDGES)).select("a", "b"))
+    system.delete_dir(place)
+    return links
 
 
 def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,9 +343,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, words: in
     members = classes.where("family is not null")
     bloom = spark.sparkContext.broadcast(_bloom(members.select("rid")))
     sets = base.select("rid", "text").mapInArrow(_set_rows(bloom, words), "rid long, features binary")
-    groups = _block_rows(members, num, den).join(sets, "rid").select("pk", "block", "cid", "features")
-    links = groups.repartition("pk").sortWithinPartitions("pk").mapInArrow(_verified(num, den), "a binary, b binary")
-    joined = components(links)
+    joined = components(_block_links(cut(_block_rows(members, num, den)), sets, num, den))
     classes = classes.join(joined, classes.cid == joined.node, "left").select("cid", "least", F.coalesce("component", "cid").alias("root"))
     roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     found = classes.join(roots, "root").select("cid", "component_id")

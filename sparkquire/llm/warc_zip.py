@@ -22,11 +22,10 @@ from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_dir
+from ..storage import cut, shared_dir, store
 
 MEMBER_BYTES = 256 << 20
 SPAN_BYTES = 8 << 20
@@ -37,15 +36,6 @@ END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a uri or plain path, and the path in it."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
