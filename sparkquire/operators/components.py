@@ -1,6 +1,6 @@
 """Connected components by alternating large-star and small-star steps, in DataFrame
-operations only.  Both steps are a minimum per node and a join on that node, so a hub
-of any degree is pre-aggregated before its shuffle and its join may be split."""
+operations only.  Both steps are a minimum per node (map-side first) and a join on that node; the
+minima of hubs, at most HUBS of them, are broadcast, so no hub's edges meet in one task."""
 
 from __future__ import annotations
 
@@ -10,21 +10,30 @@ from pyspark.sql import functions as F
 from ..storage import cut
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """edges (u, v), v the candidates of u: every candidate and u itself point to u's least."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u")
+#: A node is a hub from this degree, or from a HUBS-th of all degrees if that is more.
+HUB_DEGREE, HUBS = 1000, 1000
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, degrees: int) -> DataFrame:
+    """edges (u, v), v the candidates of u, with m, the least candidate of u.  degrees: their number,
+    so that at most HUBS nodes can be hubs."""
+    limit = max(HUB_DEGREE, degrees // HUBS)
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+    hubs = least.where(F.col("d") > limit).select("u", F.col("m").alias("h"), F.lit(True).alias("hub"))
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    rest = marked.where("hub is null").select("u", "v").join(least.where(F.col("d") <= limit).select("u", "m"), "u")
+    return rest.select("u", "v", "m").union(marked.where("hub").select("u", "v", "h"))
+
+
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = _star(both).withColumn("m", F.least("u", "m"))
+    near = _star(both, 2 * n).withColumn("m", F.least("u", "m"))
     return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     """edges point down (v < u); afterwards each node points to the least of its lower ones."""
-    near = _star(edges)
+    near = _star(edges, n)
     out = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.union(near.select("u", F.col("m").alias("v"))).distinct()
 
@@ -47,7 +56,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         if not seen[0]:
             break
-        e = cut(_small(_large(e)))
+        large = _large(e, seen[0])  # at most as many edges again
+        e = cut(_small(large, 2 * seen[0]))
         now = _mark(e)
         if now == seen:
             break
