@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, release
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -52,6 +52,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == seen:
             break
         seen = now
+        release(edges.sparkSession)  # the shuffles and checkpoint of the round before
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
