@@ -37,12 +37,13 @@ FEATURES_AT_ONCE = 4096
 
 
 class Bands:
-    """Instances of PartEnum for sizes up to ``most``: own bands have even numbers, the
-    seams between bands i and i + 1 have odd ones.  num/den is the least similarity."""
+    """Instances of PartEnum for sizes up to ``most`` and one band above, so that every size has
+    a seam above it: own bands have even numbers, the seams between bands i and i + 1 have odd
+    ones.  num/den is the least similarity."""
 
-    def __init__(self, num: int, den: int, most: int):
+    def __init__(self, num: int, den: int, most: int = 2**31 - 1):
         ratio, low, self.low, self.high = max(BAND_RATIO, 1.2 * den / num), 1, [], []
-        while not self.high or self.high[-1] < most:
+        while len(self.high) < 2 or self.high[-2] < most:
             self.low.append(low)
             self.high.append(int(np.ceil(low * ratio)))
             low = self.high[-1] + 1
@@ -56,7 +57,7 @@ class Bands:
         """For own band, seam above and seam below: each set's instance, or -1."""
         band = np.searchsorted(self.highs, sizes)
         own = np.where(sizes > 0, 2 * band, -1)
-        above = np.append(self.lows, np.iinfo(np.int64).max // 256)[band + 1]
+        above = self.lows[band + 1]
         upper = np.where((sizes > 0) & (sizes * self.den >= above * self.num), 2 * band + 1, -1)
         below = np.where(band > 0, self.highs[np.maximum(band - 1, 0)], 0)
         lower = np.where((sizes > 0) & (sizes * self.num <= below * self.den), 2 * band - 1, -1)
@@ -147,11 +148,9 @@ def link_roots(sets: list[np.ndarray], blocks: np.ndarray, num: int, den: int) -
 
 def _signature_rows(num: int, den: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den, 64)
+        bands = Bands(num, den)  # the same in every task, whatever sizes it sees
         for batch in batches:
             for _, x, _, sizes in shingle_sets(batch["text"], k):
-                if len(sizes) and sizes.max() > bands.highs[-1]:
-                    bands = Bands(num, den, int(sizes.max()))
                 c1 = class_hashes(x, sizes)[0]
                 sig, of = bands.signatures(x, sizes)
                 rows = np.unique(np.stack([sig.view(np.int64), c1[of].view(np.int64)], axis=1), axis=0) if _repeats(c1) else np.stack([sig.view(np.int64), c1[of].view(np.int64)], axis=1)

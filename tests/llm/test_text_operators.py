@@ -93,6 +93,15 @@ def test_similar_sets_share_a_signature(size, edits, seed, num):
     assert set(sig[of == 0]) & set(sig[of == 1])
 
 
+def test_seams_do_not_depend_on_what_a_task_has_seen(spark):
+    words = [f"w{i}" for i in range(160)]
+    pairs = [(94, 96), (141, 146)]  # 90 and 92, 137 and 142 shingles of five words: on either side of a band's edge
+    rows = [(10 * i + j, " ".join(f"{w}x{i}" for w in words[:n])) for i, pair in enumerate(pairs) for j, n in enumerate(pair)]
+    apart = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(apart, 80, 100, 5).collect()}
+    assert got == {0: 0, 1: 0, 10: 10, 11: 10}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="abAB é\n\t\x0b\x0c\x1c中", max_size=40), max_size=6), st.integers(1, 4))
 def test_shingles_of_a_batch(texts, k):
