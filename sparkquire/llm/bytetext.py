@@ -110,9 +110,8 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np
         n = len(h)
         x = np.zeros(n, np.uint64)
         for j in range(k):  # words beyond a short text's end add nothing
-            here = h[j:].copy()
-            here[row[j:] != row[: max(0, n - j)]] = 0
-            x[: max(0, n - j)] += mix(here + np.uint64(j * 0x632BE59BD9B4E019 + 1 & (2**64 - 1)))
+            same = row[j:] == row[: max(0, n - j)]
+            x[: max(0, n - j)][same] += mix(h[j:][same] + np.uint64(j * 0x632BE59BD9B4E019 + 1 & (2**64 - 1)))
         into = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         whole = into + k <= np.repeat(counts, counts)
         whole |= (into == 0) & (np.repeat(counts, counts) < k)

@@ -111,6 +111,25 @@ def test_shingles_of_a_batch(texts, k):
     assert got == [len(shingle_set(t, k)) for t in texts]
 
 
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_short_texts_hash_alike_anywhere_in_a_slice(k):
+    short = ["one", "one two", "one two three four"]
+    for text in short:
+        (_, x, row, _), = bytetext.shingle_sets(pa.array([text, "a b c d e f", text, text, "g", text]), k)
+        sets = [x[row == i].tolist() for i in (0, 2, 3, 5)]
+        assert sets[0] and all(s == sets[0] for s in sets)
+    alone = {x.tobytes() for t in short for _, x, _, _ in bytetext.shingle_sets(pa.array([t]), k)}
+    assert len(alone) == len(short)
+
+
+def test_short_copies_link_from_a_partitions_end(spark):
+    rows = [(1, "one two"), (2, "a b c d e f"), (3, "one two"), (4, "one three")]
+    for parts in (1, 4):
+        apart = spark.createDataFrame(spark.sparkContext.parallelize(rows[:3] + rows[3:] * (parts > 1), parts), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(apart, 80, 100, 5).collect()}
+        assert (got[1], got[2], got[3], got.get(4, 4)) == (1, 2, 1, 4)
+
+
 def brute_hits(rows, items, window=10):
     pattern, lower = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {i: i + 32 for i in range(65, 91)}
     words = lambda t: pattern.findall((t or "").translate(lower))
