@@ -138,17 +138,27 @@ def q_canonical_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("c_custkey", F.when(F.col("name") == F.col("key"), F.col("c_mktsegment")).otherwise(F.col("name")).alias("canonical"))
 
 
-@query("""WITH RECURSIVE g AS (SELECT l_orderkey % 40 AS batch, l_orderkey AS grp, l_suppkey AS name FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 97 = 0), u AS (SELECT DISTINCT a.name AS x, b.name AS y FROM g a JOIN g b USING (grp)), reach AS (SELECT x, x AS y FROM u UNION SELECT reach.x, u.y FROM reach JOIN u ON reach.y = u.x)
-SELECT x AS name, min(y) AS component, count(*)::BIGINT AS members FROM reach GROUP BY 1""")
-def q_entity_votes(spark: SparkSession, d: str) -> DataFrame:
-    """Groups proposed by a judge (a stated set of orders naming two suppliers each), joined by shared names."""
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 2 and l_orderkey % 97 = 0")
+def _entity_votes(rows: DataFrame) -> DataFrame:
     groups = rows.select((F.col("l_orderkey") % 40).alias("batch"), F.col("l_orderkey").alias("group"), F.col("l_suppkey").alias("name"), F.col("l_suppkey").alias("canonical"), F.lit("").alias("reason"))
     counts = groups.groupBy("name").agg(F.count("*").alias("scenes"))
     merged, _ = entities.merge_groups(groups, counts)
     return merged.select("name", "component", "members")
 
 
+@query("""WITH RECURSIVE g AS (SELECT l_orderkey % 40 AS batch, l_orderkey AS grp, l_suppkey AS name FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 97 = 0), u AS (SELECT DISTINCT a.name AS x, b.name AS y FROM g a JOIN g b USING (grp)), reach AS (SELECT x, x AS y FROM u UNION SELECT reach.x, u.y FROM reach JOIN u ON reach.y = u.x)
+SELECT x AS name, min(y) AS component, count(*)::BIGINT AS members FROM reach GROUP BY 1""")
+def q_entity_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Groups proposed by a judge (a stated set of orders naming two suppliers each), joined by shared
+    names.  Its recursive SQL bounds it to that set; ``q_entity_votes_all`` takes all of lineitem."""
+    return _entity_votes(table(spark, d, "lineitem").where("l_linenumber <= 2 and l_orderkey % 97 = 0"))
+
+
+@query()
+def q_entity_votes_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every order and all of its lines; a test holds it against a brute-force version."""
+    return _entity_votes(table(spark, d, "lineitem"))
+
+
 @query("""WITH p AS (SELECT conv_id, turn, regexp_replace(text, '[\\s\\p{P}\\p{S}的了着过之其此]', '', 'g') AS k FROM conversations WHERE role = 'user'), r AS (SELECT DISTINCT regexp_replace(text, '[\\s\\p{P}\\p{S}的了着过之其此]', '', 'g') AS k FROM conversations WHERE role = 'assistant')
 SELECT conv_id, min(turn) AS turn FROM p WHERE k <> '' AND k NOT IN (SELECT k FROM r) GROUP BY conv_id, k""")
 def q_open_hooks(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,7 @@ from sparkquire.functions import vectorised as V
 from sparkquire.operators import archive, contracts, dedup, entities, facts, folds, judging, sequence, split, state, threads, timeline, triage
 from sparkquire.operators.components import components
 from sparkquire.params import DEFAULTS, Params
+from sparkquire.plans import fact_queries
 from sparkquire.sinks import export
 from sparkquire.sources import manifest, readers
 
@@ -173,6 +174,19 @@ def test_group_merging_with_anchors(spark):
     assert [r.names for r in conflicts.collect()] == [["a", "d", "z"]]
 
 
+def test_entity_votes_take_every_order_and_line(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [(o, n + 1, 20 * (o % 5) + rng.randrange(20)) for o in range(1, 60) for n in range(rng.randint(1, 5))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sets = []
+    for o in {o for o, _, _ in lines}:
+        mine = {s for k, _, s in lines if k == o}
+        near = [s for s in sets if s & mine]
+        sets = [s for s in sets if not s & mine] + [mine.union(*near)]
+    got = sorted(map(tuple, fact_queries.q_entity_votes_all(spark, str(tmp_path)).collect()))
+    assert got == sorted((n, min(s), len(s)) for s in sets for n in s)
+
+
 # lines
 
 
