@@ -64,6 +64,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = 10, k: int = 5
     lengths = sorted(r.n for r in known.where("fp is null").select("n").distinct().collect())  # fewer than ``window``
     distinct = known.select("n", "fp", "full").distinct()
     small = distinct.count() <= BROADCAST_WINDOWS
+    few = known.count() <= BROADCAST_WINDOWS  # many items may share few windows
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
     wanted = distinct.where("fp is not null").select("fp", "full", F.col("full").alias("hit"))
@@ -87,7 +88,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = 10, k: int = 5
     clean = marked.where(F.size("hits") == 0).select("doc_id", "n_words", "copies", F.lit(0).alias("n_hit"), F.array().cast("array<string>").alias("ids"))
     dirty = marked.where(F.size("hits") > 0).select("doc_id", "rid", "n_words", "copies", covered.alias("n_hit"), F.explode("windows").alias("x"))
     ids = known.where("item_id is not null").select("n", F.col("full").alias("hit"), "item_id")
-    dirty = dirty.select("doc_id", "rid", "n_words", "copies", "n_hit", "x.n", "x.hit").join(side(ids), ["n", "hit"], "left")
+    dirty = dirty.select("doc_id", "rid", "n_words", "copies", "n_hit", "x.n", "x.hit").join(F.broadcast(ids) if few else ids, ["n", "hit"], "left")
     dirty = dirty.groupBy("doc_id", "rid", "n_words", "copies", "n_hit").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     both = clean.union(dirty.select("doc_id", "n_words", "copies", "n_hit", "ids"))
     both = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))

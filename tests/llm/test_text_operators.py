@@ -180,6 +180,18 @@ def test_decontamination_joins_a_large_benchmark_by_shuffle(spark, monkeypatch):
     assert Counter(map(tuple, decontaminate.contaminated(docs(spark, rows), bench).collect())) == brute_hits(rows, [(1, text), (2, "alpha beta")])
 
 
+def test_ids_of_few_windows_in_many_items_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, items = [(1, " ".join(WORDS[:12])), (2, "clean")], [(i, " ".join(WORDS[:10])) for i in range(3)]
+        found = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+        assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+        assert Counter(map(tuple, found.collect())) == brute_hits(rows, items)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_native_plan_has_no_python(spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     plan = decontaminate.contaminated(docs(spark, [(1, "a b c")]), bench)._jdf.queryExecution().executedPlan().toString()
