@@ -16,15 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import column_bytes, slices
+from .bytetext import give_back, pieces
 from .learning import held_out
 from ..storage import cut
 
 SAMPLE_ROWS = 2_000
-SAMPLE_PARTS = 8
 ORDERS = (2, 3)
 BUCKETS = 1 << 16
-SLICE_BYTES = 400_000
+SLICE_BYTES = 400_000  # a longer text comes in parts; n-grams over a cut are left out
 #: Sharpness of a bit's margin, and the gap of the two best scores below which a text is ambiguous.
 SHARPNESS, GAP = 8.0, 0.2
 MOST_EXHAUSTIVE = 6
@@ -47,11 +46,10 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
 
 
 def _grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """(first row, offsets, bucket of the n-gram at each byte for each of ORDERS) of slices of
+    """(first row, offsets, bucket of the n-gram at each byte for each of ORDERS) of pieces of
     the lower-cased texts; BUCKETS where an n-gram would run over its text's end."""
-    body, offsets = column_bytes(pc.utf8_lower(column.cast(pa.large_string())))
-    for first, last in slices(offsets, SLICE_BYTES):
-        own, part = offsets[first : last + 1] - offsets[first], body[offsets[first] : offsets[last]]
+    for p in pieces(pc.utf8_lower(column.cast(pa.large_string())), most=SLICE_BYTES):
+        own, part = p.offsets, p.body
         left = np.repeat(own[1:], np.diff(own)) - np.arange(len(part))
         code, found = part.astype(np.uint64), []
         for n in range(1, max(ORDERS) + 1):
@@ -62,7 +60,7 @@ def _grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]
             if n in ORDERS:
                 bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
                 found.append(np.where(left >= n, bucket, BUCKETS))
-        yield first, own, found
+        yield p.first, own, found
 
 
 @dataclass
@@ -75,18 +73,16 @@ class Codes:
     def margins(self, column: pa.Array) -> np.ndarray:
         """Mean log-odds of each bit over a text's n-grams; 0 for a text without any."""
         bits = self.code.shape[1]
-        out = np.zeros((len(column), bits))
+        out, count = np.zeros((len(column), bits)), np.zeros(len(column))
         if not bits:
             return out
         for first, own, found in _grams(column):
             some = np.flatnonzero(np.diff(own))
-            total, n = np.zeros((len(some), bits)), np.zeros(len(some))
             for w, at in zip(self.weights, found):
                 if len(some):
-                    total += np.add.reduceat(w[at], own[:-1][some], axis=0)
-                    n += np.add.reduceat(at < BUCKETS, own[:-1][some])
-            out[first + some] = total / np.maximum(n, 1)[:, None]
-        return out
+                    out[first + some] += np.add.reduceat(w[at], own[:-1][some], axis=0)
+                    count[first + some] += np.add.reduceat(at < BUCKETS, own[:-1][some])
+        return out / np.maximum(count, 1)[:, None]
 
     def probabilities(self, margins: np.ndarray) -> np.ndarray:
         loss = np.stack([(np.logaddexp(0, -SHARPNESS * margins * c) * self.trust).sum(axis=1) for c in self.code], axis=1)
@@ -104,20 +100,27 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mine = of == x
                 counts = np.stack([np.bincount(at[mine], minlength=BUCKETS + 1)[:BUCKETS] for at in found])
                 sums[x] = sums.get(x, 0) + counts
+    give_back()
     for x, counts in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([counts.astype(np.int64).tobytes()], pa.binary())], ["lang", "counts"])
 
 
-def fit(docs: DataFrame, bound: int = SAMPLE_ROWS) -> Codes:
-    """docs: lang, text, rows of a null lang left out.  About ``bound`` rows of each language at
-    most are learnt from, chosen by a hash of the text."""
-    docs = docs.where("lang is not null")
-    totals = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
-    languages = sorted(totals)
+def training_sample(docs: DataFrame, bound: int) -> DataFrame:
+    """(lang, text), checkpointed: about ``bound`` different texts of each language at most, chosen by
+    a hash of the text.  A text counts once for a language however often it is repeated."""
+    docs = docs.where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    totals = {r.lang: r.n for r in docs.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     share = F.lit(0)
-    for x in languages:
-        share = F.when(F.col("lang") == x, min(1_000_000, int(1_000_000 * bound / totals[x]) + 1)).otherwise(share)
-    sample = cut(docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).repartition(SAMPLE_PARTS, F.xxhash64("text")))
+    for x in sorted(totals):
+        share = F.when(F.col("lang") == x, min(1_000_000, int(1_000_000 * bound / max(totals[x], 1)) + 1)).otherwise(share)
+    # copies of a chosen text are one row before they are shuffled
+    return cut(docs.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < share).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text"))
+
+
+def fit(docs: DataFrame, bound: int = SAMPLE_ROWS) -> Codes:
+    """docs: lang, text, rows of a null lang or text left out (see ``training_sample``)."""
+    languages = sorted(r.lang for r in docs.where("lang is not null and text is not null").select("lang").distinct().collect())
+    sample = training_sample(docs, bound)
     counts = {x: np.zeros((len(ORDERS), BUCKETS)) for x in languages}
     for r in sample.mapInArrow(_count_rows, "lang string, counts binary").toLocalIterator():
         counts[r.lang] += np.frombuffer(r.counts, np.int64).reshape(len(ORDERS), BUCKETS)
@@ -176,6 +179,7 @@ def predict_language(docs: DataFrame, folds: int = 3, fold: int = 1, doc_id: str
             else:
                 names, score, gap = ["und"] * len(batch), np.zeros(len(batch)), np.zeros(len(batch))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(names, pa.string()), pa.array(score), pa.array(letters & (gap < GAP))], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
+        give_back()
 
     kind = base.schema["doc_id"].dataType.simpleString()
     return base.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")

@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bytetext import give_back
 from ..storage import cut
 
-SAMPLE_PARTS = 8
-
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id as text, modulo ``folds``, is ``fold``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, seed: str) -> DataFrame:
-    """(label, text) of about ``bound`` documents at most, checkpointed: ``labels`` (doc_id, label)
-    thinned by a hash of the id.  Null ids and labels are dropped; repeated labels of an id count
-    once, by their maximum.  docs: doc_id, text."""
-    labels = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, seed: str, columns: list[str] | None = None) -> DataFrame:
+    """(doc_id, label columns, text) of about ``bound`` documents at most, checkpointed: ``labels``
+    thinned by a hash of the id, one row an id.  Null ids and null labels are dropped; of repeated
+    labels of an id the maximum counts, and of repeated documents the least text.
+    docs: doc_id, text; labels: doc_id and ``columns``."""
+    columns = columns or ["label"]
+    some = " and ".join(["doc_id is not null", *(f"`{c}` is not null" for c in columns)])
+    labels = labels.where(some).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
     n = labels.count()
     if n > bound:
         labels = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
-    # about ``bound`` rows of two numbers, so the broadcast has a fixed size
-    return cut(docs.join(F.broadcast(labels), "doc_id").select("label", "text").repartition(SAMPLE_PARTS, F.xxhash64("doc_id")))
+    # about ``bound`` rows of a few numbers, so the broadcast has a fixed size; an id that repeats is one row again
+    rows = docs.join(F.broadcast(labels), "doc_id").groupBy("doc_id", *columns).agg(F.min("text").alias("text"))
+    return cut(rows)
+
+
+def over_texts(make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str) -> Callable[[Column], Column]:
+    """A function of a text column: ``make`` once a task, and what it makes on each Arrow batch.
+    Only the text goes to Python and only results come back, whatever else the rows hold."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = make()
+        for column in texts:
+            yield work(column)
+        del work
+        give_back()
+
+    return F.arrow_udf(run, kind)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

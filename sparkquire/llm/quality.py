@@ -7,16 +7,16 @@ goes down all trees together, one gather a level.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import SpanHashes, column_bytes, mix, slices, word_spans
-from .learning import held_out, labelled_sample, sigmoid
+from .bytetext import IS_LINE_END, Piece, SpanHashes, give_back, mix, pieces, word_spans
+from .learning import held_out, labelled_sample, over_texts, sigmoid
 
 SAMPLE_ROWS = 15_000
 TREES, DEPTH, BINS, RATE, L2, LEAST_WEIGHT = 60, 4, 48, 0.2, 1.0, 2.0
@@ -28,38 +28,65 @@ BYTE_CLASS[33:127] = 7
 BYTE_CLASS[97:123], BYTE_CLASS[65:91], BYTE_CLASS[48:58], BYTE_CLASS[128:] = 0, 1, 2, 8
 BYTE_CLASS[[32, 9]], BYTE_CLASS[[10, 13, 11, 12]], BYTE_CLASS[[ord("!")]] = 3, 4, 6
 BYTE_CLASS[[ord(c) for c in ".,;:?'\"()-"]] = 5
-IS_LINE_END = np.zeros(256, bool)
-IS_LINE_END[[10, 13]] = True
 NAMES = [f"share_{x}" for x in ("lower", "upper", "digit", "blank", "line_end", "mark", "exclamation", "symbol", "other", "control")] + ["log_bytes", "log_words", "word_length", "word_spread", "word_repeats_last", "distinct_words", "word_ends_in_symbol", "word_starts_upper", "log_line_length", "repeated_lines"]
 
 
-def _distinct(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """Different values of h in each row."""
-    _, first = np.unique(mix(h + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-    return np.bincount(row[first], minlength=n)
+def _distinct(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each different (row, h) is met first."""
+    return np.unique(mix(h + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+
+
+#: What a piece adds to its texts: byte classes, then these.
+SUMS = CLASSES + 10
+BYTES, WORDS, LENGTH, SQUARES, AGAIN, DIFFERENT, SYMBOL_ENDS, UPPER_STARTS, LINES, DIFFERENT_LINES = range(CLASSES, SUMS)
+
+
+def _sums(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rows x SUMS, and the hashes of the words and lines."""
+    n, size, kind = p.rows, np.diff(p.offsets), BYTE_CLASS[p.body]
+    out, hashes = np.zeros((n, SUMS)), SpanHashes(p.body)
+    out[:, :CLASSES] = np.bincount(np.repeat(np.arange(n) * CLASSES, size) + kind, minlength=n * CLASSES).reshape(n, CLASSES)
+    out[:, BYTES] = size
+    starts, ends, out[:, WORDS] = word_spans(p.body, p.offsets)
+    row, length, words = np.repeat(np.arange(n), out[:, WORDS].astype(int)), (ends - starts).astype(float), hashes(starts, ends)
+    again = np.zeros(len(words), bool)
+    again[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
+    weights = {LENGTH: length, SQUARES: length**2, AGAIN: again, SYMBOL_ENDS: kind[ends - 1] >= 6, UPPER_STARTS: kind[starts] == 1}
+    for c, w in weights.items():
+        out[:, c] = np.bincount(row, w, n)
+    out[:, DIFFERENT] = np.bincount(row[_distinct(row, words)], minlength=n)
+    starts, ends, out[:, LINES] = word_spans(p.body, p.offsets, IS_LINE_END)
+    row, lines = np.repeat(np.arange(n), out[:, LINES].astype(int)), hashes(starts, ends)
+    out[:, DIFFERENT_LINES] = np.bincount(row[_distinct(row, lines)], minlength=n)
+    return out, words, lines
 
 
 def statistics(column: pa.Array) -> np.ndarray:
-    """One row of NAMES a text; a null text is empty, and an empty text is all zeros."""
-    body, offsets = column_bytes(column)
-    out = np.zeros((len(column), len(NAMES)))
-    for first, last in slices(offsets):
-        n, own, part = last - first, offsets[first : last + 1] - offsets[first], body[offsets[first] : offsets[last]]
-        size = np.diff(own)
-        kind = BYTE_CLASS[part]
-        x = out[first:last]
-        x[:, :CLASSES] = np.bincount(np.repeat(np.arange(n) * CLASSES, size) + kind, minlength=n * CLASSES).reshape(n, CLASSES) / np.maximum(size, 1)[:, None]
-        hashes = SpanHashes(part)
-        starts, ends, words = word_spans(part, own)
-        row, length, h, some = np.repeat(np.arange(n), words), (ends - starts).astype(float), hashes(starts, ends), np.maximum(words, 1)
-        mean = np.bincount(row, length, n) / some
-        again = np.zeros(len(h), bool)
-        again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-        x[:, 10:18] = np.stack([np.log1p(size), np.log1p(words), mean, np.sqrt(np.maximum(0, np.bincount(row, length**2, n) / some - mean**2)), np.bincount(row, again, n) / some, _distinct(row, h, n) / some, np.bincount(row, kind[ends - 1] >= 6, n) / some, np.bincount(row, kind[starts] == 1, n) / some], axis=1)
-        starts, ends, lines = word_spans(part, own, IS_LINE_END)
-        row = np.repeat(np.arange(n), lines)
-        x[:, 18] = np.log1p(size / np.maximum(lines, 1))
-        x[:, 19] = 1 - np.where(lines > 0, _distinct(row, hashes(starts, ends), n) / np.maximum(lines, 1), 1)
+    """One row of NAMES a text; a null text is empty, and an empty text is all zeros.  A text that
+    comes in pieces has the same numbers as in one, but that a line longer than a piece
+    counts as several."""
+    sums = np.zeros((len(column), SUMS))
+    last, seen = None, ([], [])
+    for p in pieces(column):
+        own, words, lines = _sums(p)
+        if p.part or p.more:  # of a long text: what a sum of pieces would count twice or miss
+            own[0, AGAIN] += p.part > 0 and len(words) > 0 and last == words[0]
+            last = words[-1] if len(words) else last
+            for held, h in zip(seen, (words, lines)):
+                held.append(np.unique(h))
+            own[0, [DIFFERENT, DIFFERENT_LINES]] = 0 if p.more else [len(np.unique(np.concatenate(x))) for x in seen]
+            if not p.more:
+                last, seen = None, ([], [])
+        sums[p.first : p.first + p.rows] += own
+    out, size, words, lines = np.zeros((len(column), len(NAMES))), sums[:, BYTES], sums[:, WORDS], sums[:, LINES]
+    some, rows = np.maximum(words, 1), np.maximum(lines, 1)
+    mean = sums[:, LENGTH] / some
+    out[:, :CLASSES] = sums[:, :CLASSES] / np.maximum(size, 1)[:, None]
+    out[:, 10:13] = np.stack([np.log1p(size), np.log1p(words), mean], axis=1)
+    out[:, 13] = np.sqrt(np.maximum(0, sums[:, SQUARES] / some - mean**2))
+    out[:, 14:18] = sums[:, [AGAIN, DIFFERENT, SYMBOL_ENDS, UPPER_STARTS]] / some[:, None]
+    out[:, 18] = np.log1p(size / rows)
+    out[:, 19] = np.where(lines > 0, 1 - sums[:, DIFFERENT_LINES] / rows, 0)
     return out
 
 
@@ -128,35 +155,37 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         x = statistics(batch["text"])
         yield pa.RecordBatch.from_arrays([batch["label"].cast(pa.float64()), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+    give_back()
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Trees:
     """docs: doc_id, text; labels: doc_id, label in 0 and 1."""
-    rows = labelled_sample(docs, labels, bound, "quality").mapInArrow(_training_rows, "label double, x array<double>").toPandas()
+    rows = labelled_sample(docs, labels, bound, "quality").select("label", "text").mapInArrow(_training_rows, "label double, x array<double>").toPandas()
     x = np.array(rows["x"].tolist()).reshape(len(rows), len(NAMES))
     y = rows["label"].to_numpy(float)
     order = np.lexsort((y, *x.T))  # the same trees whatever the order of the rows
     return fit_trees(x[order], y[order])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, fold: int = 0, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default; those named like a result are dropped) and held_out, score (0 to 1, higher: label 1 likelier), predicted.
+def quality_scorer(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Callable[[Column], Column]:
+    """Fits on ``docs`` and ``labels`` and returns a function from a text column to its scores (0 to 1,
+    higher: label 1 likelier).
 
     Labels of held-out ids (crc32 of the id as text, modulo ``folds``, is ``fold``) are never learnt
     from; the score is of the whole text alone.  Null and empty texts have zero statistics and
-    a score all the same; without labels every score is 0.5; a null id is not held out.
+    a score all the same; without labels every score is 0.5.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where(~held_out(F.col("doc_id"), folds, fold))
     model = docs.sparkSession.sparkContext.broadcast(fit(plain, known))
+    return over_texts(lambda: lambda column: pa.array(model.value.score(statistics(column))), "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = model.value.score(statistics(batch[" text"]))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, fold: int = 0, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default; those named like a result are dropped) and
+    held_out, score (see ``quality_scorer``) and predicted (1: the score reaches the threshold).
+    Every row gives a row, repeated ones too; a null id is not held out."""
+    score = quality_scorer(docs, labels, folds, fold, doc_id, text, label)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("held_out", "score", "predicted")]
-    rows = docs.select(*kept, held_out(F.col(doc_id), folds, fold).alias("held_out"), F.col(text).alias(" text"))
-    kept.append("held_out")
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    rows = docs.select(*kept, held_out(F.col(doc_id), folds, fold).alias("held_out"), score(F.col(text)).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
