@@ -1,14 +1,21 @@
 """Benchmark passages in documents by winnowing, in DataFrame functions only.
 
-Of every window of WINDOW words the least hash of its k-grams of words is the window's
-fingerprint; k-grams and fingerprints depend on the window's words alone, so a shared
-window always has a shared fingerprint.  Document fingerprints are joined with those of the
-benchmark, and a hit is extended to the window by a second hash over all of its words.
-Items shorter than a window are windows of their own length, with one hash of all words.
+A fingerprint is the hash of k words.  Of the fingerprints in every window of ``window`` words the
+least is kept (of equal ones the rightmost), once for a run of windows that share it: about
+2 / (w + 1) of all places, w fingerprints standing in a window.  The choice depends on the
+window's words alone, so two texts that share a window share a kept fingerprint.
+Documents' fingerprints are joined with the benchmark's, and each hit is extended to the left and
+the right: every window over its words that lies in the document is compared, by a hash
+of all its words, with the benchmark's windows.
+
+Items shorter than a window are windows of their own length.  They are winnowed likewise, with the
+shortest of them as the window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +24,12 @@ from ..storage import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between words stand ASCII characters other than letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Benchmark windows (24 bytes each) up to which their side is broadcast; beyond, both sides shuffle.
+#: Rows of fingerprints or windows (24 bytes each) up to which the benchmark's side is broadcast; beyond, both sides shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
+#: (words of a fingerprint, words of a window)
+Kind = tuple[int, int]
+
 
 def word_hashes(text: Column) -> Column:
     """A hash of each word, A-Z lower-cased; translate runs only on words that lower() changes."""
@@ -27,27 +37,115 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.when(F.lower(w) == w, w).otherwise(F.translate(w, UPPER, LOWER))))
 
 
-def _windows(rows: DataFrame, window: int, k: int, first: int) -> DataFrame:
-    """rows with h (word hashes) to a row for each window: j, fp, full; ``first`` = -1 adds
-    a row j = -1 without hashes for every row of the input."""
-    last = F.size("h") - window
-    at = F.sequence(F.lit(first), last) if first < 0 else F.sequence(F.lit(0), last)
-    at = F.when(last >= first, at).otherwise(F.array(F.lit(-1)) if first < 0 else F.array().cast("array<int>"))
-    rows = rows.withColumn("j", F.explode(at))
-    names = [f"w{i}" for i in range(window)]
-    rows = rows.select(*(c for c in rows.columns), *(F.when(F.col("j") >= 0, F.get("h", F.col("j") + i)).alias(n) for i, n in enumerate(names))).drop("h")
-    grams = [F.xxhash64(*names[i : i + k]) for i in range(window - k + 1)]
-    fp = F.least(*grams) if len(grams) > 1 else grams[0]
-    some = F.col("j") >= 0
-    return rows.withColumns({"fp": F.when(some, fp), "full": F.when(some, F.xxhash64(F.lit(window), *names))}).drop(*names)
-
-
-def benchmark_windows(items: DataFrame, window: int, k: int) -> DataFrame:
-    """(item_id, n, fp, full): the windows of items of at least ``window`` words, and the whole of
-    shorter ones (fp null); items without words have none.  items: item_id, h."""
-    long = _windows(items.where(F.size("h") >= window), window, k, 0).select("item_id", F.lit(window).alias("n"), "fp", "full")
-    short = items.where((F.size("h") > 0) & (F.size("h") < window)).select("item_id", F.size("h").alias("n"), F.lit(None).cast("long").alias("fp"), F.xxhash64("h").alias("full"))
-    return long.union(short)
+def _kept(kind: Kind, p: Column, n: Column, word) -> tuple[Column, Column]:
+    """The fingerprint at place p of n words, and whether a window keeps it.  word(i): the word i places from p."""
+    k, w = kind[0], kind[1] - kind[0] + 1
+    own = F.xxhash64(F.lit(k), *(word(i) for i in range(k)))
+
+    def reach(side: int) -> Column:
+        """How many neighbours on that side, one after another, stand in the document and are no less (on the right: greater)."""
+        out = None
+        for d in range(1, w):
+            q = p + side * d
+            near = F.xxhash64(F.lit(k), *(word(side * d + i) for i in range(k)))
+            stops = (q < 0) | (q + k > n) | ((near <= own) if side > 0 else (near < own))
+            out = F.when(stops, d - 1) if out is None else out.when(stops, d - 1)
+        return F.lit(0) if out is None else out.otherwise(w - 1)
+
+    return own, (p >= 0) & (p + k <= n) & (reach(-1) + reach(1) + 1 >= w)
+
+
+def _reach(kinds: Sequence[Kind], lengths: Sequence[Sequence[int]]) -> int:
+    """How far before a fingerprint the windows over its words begin at most."""
+    return max(n - k for (k, _), of_kind in zip(kinds, lengths) for n in of_kind)
+
+
+def fingerprints(rows: DataFrame, kinds: Sequence[Kind], lengths: Sequence[Sequence[int]] | None = None, every_row: bool = False) -> DataFrame:
+    """rows with h (word hashes) to a row for each kept fingerprint: p, kind (its number), fp, n_words
+    and near, the words of all windows over it whose lengths (by kind) are given.
+    every_row adds a row of p = -1 for each input row.  h is dropped."""
+    lengths = lengths or [[n] for _, n in kinds]
+    back, ahead = _reach(kinds, lengths), max(max(x) for x in lengths)
+    rows = rows.withColumn("n_words", F.size("h")).withColumn("p", F.explode(F.sequence(F.lit(-1 if every_row else 0), F.greatest(F.size("h") - 1, F.lit(-1 if every_row else 0)))))
+    # words are got in place: a column for each would make the optimizer rewrite every constraint through all of them
+    found = [_kept(kind, F.col("p"), F.col("n_words"), lambda i: F.get("h", F.col("p") + i)) for kind in kinds]
+    rows = rows.select("*", *(F.when(kept, fp).alias(f"f{i}") for i, (fp, kept) in enumerate(found))).where((F.col("p") == -1) | F.coalesce(*(F.col(f"f{i}") for i in range(len(kinds)))).isNotNull())
+    near = F.when(F.col("p") >= 0, F.slice("h", F.greatest(F.col("p") - back, F.lit(0)) + 1, F.lit(back + ahead)))
+    rows = rows.withColumn("near", near).drop("h")
+    if len(kinds) == 1:
+        return rows.withColumn("kind", F.lit(0)).withColumnRenamed("f0", "fp")
+    each = F.array(*(F.when(F.col(f"f{i}").isNotNull(), F.struct(F.lit(i).alias("kind"), F.col(f"f{i}").alias("fp"))) for i in range(len(kinds))))
+    none = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("fp")))
+    rows = rows.withColumn("x", F.explode(F.when(F.col("p") == -1, none).otherwise(F.array_compact(each))))
+    return rows.select("*", "x.kind", "x.fp").drop("x", *(f"f{i}" for i in range(len(kinds))))
+
+
+def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
+    """(item_id, n, full): the windows of items of at least ``window`` words, and the whole of
+    shorter ones; items without words have none.  items: item_id, h."""
+    size = F.least(F.size("h"), F.lit(window))
+    rows = items.where(F.size("h") > 0).select("item_id", size.alias("n"), "h", F.explode(F.sequence(F.lit(0), F.size("h") - size)).alias("j"))
+    return rows.select("item_id", "n", F.xxhash64("n", F.slice("h", F.col("j") + 1, F.col("n"))).alias("full"))
+
+
+def _over(n: int, k: int, back: int) -> Column:
+    """The windows of n words over the k words at p: structs of j (where it begins), n, full."""
+    first, last = F.greatest(F.col("p") - (n - k), F.lit(0)), F.least(F.col("p"), F.col("n_words") - n)
+    base = F.greatest(F.col("p") - back, F.lit(0))
+    made = F.transform(F.sequence(first, last), lambda j: F.struct(j.alias("j"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), F.slice("near", j - base + 1, F.lit(n))).alias("full")))
+    return F.when(first <= last, made).otherwise(F.array().cast("array<struct<j:int,n:int,full:bigint>>"))
+
+
+def extended(hits: DataFrame, kinds: Sequence[Kind], lengths: Sequence[Sequence[int]]) -> DataFrame:
+    """Joined fingerprints to a row for each window (j, n, full) over their words; lengths: the windows'
+    lengths of each kind.  A row of p = -1 stays one, with j = -1."""
+    back = _reach(kinds, lengths)
+    windows = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).alias("n"), F.col("rid").alias("full")))
+    windows = F.when(F.col("p") == -1, windows)
+    for i, (k, _) in enumerate(kinds):
+        windows = windows.when(F.col("kind") == i, F.concat(*(_over(n, k, back) for n in lengths[i])))
+    return hits.withColumn("x", F.explode(windows)).select("doc_id", "rid", "n_words", "x.j", "x.n", "x.full")
+
+
+def judged(docs: DataFrame, bench: DataFrame, window: int = 10, k: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, rid, copies, n_words, n_hit, ids): a row for each different (id, text) of ``docs``; rid is
+    xxhash64(doc_id, text), ids the sorted item ids as texts (see ``contaminated``)."""
+    if not 0 < k <= window:
+        raise ValueError("a fingerprint has at most the words of a window")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("rid"), word_hashes(F.col(text)).alias("h"))
+    items = bench.select(F.col(item_id).cast("string").alias("item_id"), word_hashes(F.col(item_text)).alias("h"))
+    known = cut(benchmark_windows(items, window).distinct())
+    short = sorted(r.n for r in known.where(F.col("n") < window).select("n").distinct().collect())  # fewer than ``window``
+    kinds, lengths = [(k, window)], [[window]]
+    prints = [fingerprints(items.where(F.size("h") >= window), kinds[:1]).select("kind", "fp")]
+    if short:
+        kinds.append(((short[0] + 1) // 2, short[0]))
+        lengths.append(short)
+        prints.append(fingerprints(items.where(F.size("h") < window), kinds[1:]).select(F.lit(1).alias("kind"), "fp"))
+    prints = cut(prints[0].union(prints[-1]).distinct())
+    windows = cut(known.select("n", "full").distinct())
+    # what is broadcast is counted first; beyond the bound both sides are shuffled
+    side = lambda df: F.broadcast(df) if df.count() <= BROADCAST_WINDOWS else df
+
+    # rows of p = -1 carry the document itself: theirs are keys that spread and match nothing
+    placed = fingerprints(rows, kinds, lengths, every_row=True).withColumn("fp", F.coalesce("fp", "rid")).withColumn("kind", F.when(F.col("p") >= 0, F.col("kind")).otherwise(-1))
+    hits = placed.join(side(prints.withColumn("met", F.lit(True))), ["kind", "fp"], "left").where("p = -1 or met")
+    found = extended(hits, kinds, lengths).join(side(windows.withColumn("hit", F.lit(True))), ["n", "full"], "left").where("j = -1 or hit")
+    is_hit = F.col("j") >= 0
+    # cut, for two branches read it and documents are to be read once
+    marked = cut(found.groupBy("doc_id", "rid").agg(
+        F.max("n_words").alias("n_words"),
+        F.sum((~is_hit).cast("long")).alias("copies"),
+        F.collect_set(F.when(is_hit, F.struct("j", "n"))).alias("hits"),
+        F.collect_set(F.when(is_hit, F.struct("n", "full"))).alias("windows"),
+    ))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["j"], x["j"] + x["n"] - 1)))))
+    none = F.array().cast("array<string>")
+    clean = marked.where(F.size("hits") == 0).select("doc_id", "rid", "copies", "n_words", F.lit(0).alias("n_hit"), none.alias("ids"))
+    dirty = marked.where(F.size("hits") > 0).select("doc_id", "rid", "copies", "n_words", covered.alias("n_hit"), F.explode("windows").alias("x"))
+    dirty = dirty.select("doc_id", "rid", "copies", "n_words", "n_hit", "x.n", "x.full").join(side(known.where("item_id is not null")), ["n", "full"], "left")
+    dirty = dirty.groupBy("doc_id", "rid", "copies", "n_words", "n_hit").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    return clean.union(dirty)
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, window: int = 10, k: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -58,38 +156,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = 10, k: int = 5
     the empty text if none).  A null text has no words; a null item_id counts as no item
     although its words hit; repeated rows each give a row; an empty benchmark hits nothing.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("rid"), word_hashes(F.col(text)).alias("h"))
-    items = bench.select(F.col(item_id).cast("string").alias("item_id"), word_hashes(F.col(item_text)).alias("h"))
-    known = cut(benchmark_windows(items, window, k).distinct())
-    lengths = sorted(r.n for r in known.where("fp is null").select("n").distinct().collect())  # fewer than ``window``
-    distinct = known.select("n", "fp", "full").distinct()
-    small = distinct.count() <= BROADCAST_WINDOWS
-    few = known.count() <= BROADCAST_WINDOWS  # many items may share few windows
-    side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-
-    wanted = distinct.where("fp is not null").select("fp", "full", F.col("full").alias("hit"))
-    base = rows.select("doc_id", "rid", F.size("h").alias("n_words"), "h")
-    found = _windows(base, window, k, -1).join(side(wanted), ["fp", "full"], "left").where("j = -1 or hit is not null").select("doc_id", "rid", "n_words", "j", F.lit(window).alias("n"), "hit")
-    if lengths:
-        shorter = rows.select("doc_id", "rid", F.size("h").alias("n_words"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)))).alias("j"), "h")
-        each = F.array(*(F.when(F.col("j") + n <= F.size("h"), F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("h", F.col("j") + 1, n)).alias("full"))) for n in lengths))
-        shorter = shorter.select("doc_id", "rid", "n_words", "j", F.explode(each).alias("x")).where("x is not null").select("doc_id", "rid", "n_words", "j", "x.n", "x.full")
-        brief = distinct.where("fp is null").select("n", "full")
-        found = found.union(shorter.join(side(brief), ["n", "full"]).select("doc_id", "rid", "n_words", "j", "n", F.col("full").alias("hit")))
+    rows = judged(docs, bench, window, k, doc_id, text, item_id, item_text).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return rows.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
-    is_hit = F.col("j") >= 0
-    marked = found.groupBy("doc_id", "rid").agg(
-        F.max("n_words").alias("n_words"),
-        F.sum((F.col("j") == -1).cast("long")).alias("copies"),
-        F.collect_set(F.when(is_hit, F.struct("j", "n"))).alias("hits"),
-        F.collect_set(F.when(is_hit, F.struct("n", "hit"))).alias("windows"),
-    )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["j"], x["j"] + x["n"] - 1)))))
-    clean = marked.where(F.size("hits") == 0).select("doc_id", "n_words", "copies", F.lit(0).alias("n_hit"), F.array().cast("array<string>").alias("ids"))
-    dirty = marked.where(F.size("hits") > 0).select("doc_id", "rid", "n_words", "copies", covered.alias("n_hit"), F.explode("windows").alias("x"))
-    ids = known.where("item_id is not null").select("n", F.col("full").alias("hit"), "item_id")
-    dirty = dirty.select("doc_id", "rid", "n_words", "copies", "n_hit", "x.n", "x.hit").join(F.broadcast(ids) if few else ids, ["n", "hit"], "left")
-    dirty = dirty.groupBy("doc_id", "rid", "n_words", "copies", "n_hit").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
-    both = clean.union(dirty.select("doc_id", "n_words", "copies", "n_hit", "ids"))
-    both = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return both.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+def contaminated_keys(docs: DataFrame, bench: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
+    """(key, doc_id) of the contaminated rows, key being xxhash64(doc_id, text)."""
+    return judged(docs, bench, window, k).where("n_hit > 0").select(F.col("rid").alias("key"), "doc_id")

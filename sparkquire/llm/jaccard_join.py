@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of word-shingle sets by PartEnum signatures.
 
-Equal sets are one class.  Sizes fall into bands; within a band, and across two
+Equal sets are one class, and one member of each class is signed.  Sizes fall into bands; within a band, and across two
 neighbouring ones, sets of the wanted similarity differ in at most k features.  Features
 are hashed into k + 1 + e partitions, so such sets agree in 1 + e of them at least.  Each set
 leaves out its e smallest partitions (by size, then number) and signs every other with its
@@ -25,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import mix, shingle_sets
+from .bytetext import give_back, mix, shingle_sets
+from .sieve import Sieve
 from ..operators.components import components
 from ..storage import cut, release, shared_dir, store
 
 BAND_RATIO = 1.5
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 600_000
-BLOOM_BITS = 1 << 23
 FEATURES_AT_ONCE = 4096
+#: Classes that a task remembers as signed.
+SIGNED_CLASSES = 500_000
 
 
 class Bands:
@@ -146,32 +148,31 @@ def link_roots(sets: list[np.ndarray], blocks: np.ndarray, num: int, den: int) -
         root = near
 
 
-def _signature_rows(num: int, den: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)  # the same in every task, whatever sizes it sees
-        for batch in batches:
-            for _, x, _, sizes in shingle_sets(batch["text"], k):
-                c1 = class_hashes(x, sizes)[0]
-                sig, of = bands.signatures(x, sizes)
-                rows = np.unique(np.stack([sig.view(np.int64), c1[of].view(np.int64)], axis=1), axis=0) if _repeats(c1) else np.stack([sig.view(np.int64), c1[of].view(np.int64)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["sig", "c1"])
-
-    return run
-
-
-def _repeats(c1: np.ndarray) -> bool:
-    return len(np.unique(c1)) < len(c1)
+def _class_rows(num: int, den: int, k: int):
+    """Each row's class, and the signatures of the class where a task meets it first."""
 
-
-def _class_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, signed = Bands(num, den), set()  # the bands are the same in every task, whatever sizes it sees
         for batch in batches:
             for first, x, _, sizes in shingle_sets(batch["text"], k):
                 c1, c2 = class_hashes(x, sizes)
                 both = np.stack([c1, c2], axis=1).tobytes()
+                cids = [both[16 * i : 16 * i + 16] if n else None for i, n in enumerate(sizes.tolist())]
+                if len(signed) > SIGNED_CLASSES:
+                    signed.clear()
+                new = np.zeros(len(sizes), bool)
+                for i, c in enumerate(cids):
+                    if c is not None and c not in signed:
+                        signed.add(c)
+                        new[i] = True
+                sig, of = bands.signatures(x[np.repeat(new, sizes)], sizes[new])
+                order = np.argsort(of, kind="stable")
+                ends = np.zeros(len(sizes) + 1, np.int32)
+                ends[1:][new] = np.bincount(of, minlength=int(new.sum()))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(sig[order].view(np.int64)))
                 own = batch.slice(first, len(sizes))
-                cid = pa.array([both[i : i + 16] if n else None for i, n in zip(range(0, len(both), 16), sizes)], pa.binary())
-                yield pa.RecordBatch.from_arrays([own["doc_id"], own["rid"], pa.array(sizes.astype(np.int64)), pa.array(c1.view(np.int64)), cid], ["doc_id", "rid", "n", "c1", "cid"])
+                yield pa.RecordBatch.from_arrays([own["doc_id"], own["rid"], pa.array(sizes.astype(np.int64)), pa.array(c1.view(np.int64)), pa.array(cids, pa.binary()), lists, pa.array(new)], ["doc_id", "rid", "n", "c1", "cid", "sigs", "signs"])
+        give_back()
 
     return run
 
@@ -193,18 +194,15 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])
 
 
-def _set_rows(bloom, k: int):
+def _set_rows(sieve: Sieve, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
         for batch in batches:
-            rid = batch["rid"].to_numpy()
-            at = rid.astype(np.int64) & (BLOOM_BITS - 1)
-            some = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            part = batch.filter(pa.array(some.astype(bool)))
+            part = batch.filter(pa.array(sieve.passes(batch["rid"].to_numpy())))
             for first, x, _, sizes in shingle_sets(part["text"], k):
                 data, ends = x.tobytes(), np.cumsum(sizes) * 8
                 packed = pa.array([data[e - 8 * n : e] for e, n in zip(ends, sizes)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part["rid"].slice(first, len(sizes)), packed], ["rid", "features"])
+        give_back()
 
     return run
 
@@ -274,16 +272,6 @@ def _across_blocks(num: int, den: int):
     return run
 
 
-def _bloom(rids: DataFrame) -> np.ndarray:
-    """BLOOM_BITS bits of the rids: at most BLOOM_BITS / 64 rows reach the driver, whatever the input."""
-    at = F.col("rid").bitwiseAND(F.lit(BLOOM_BITS - 1))
-    words = rids.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((rid & {BLOOM_BITS - 1}) & 63 as int))").alias("b"))
-    out = np.zeros(BLOOM_BITS // 64, np.uint64)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        out[r.w] = r.b & (2**64 - 1)
-    return out
-
-
 def _block_rows(members: DataFrame, num: int, den: int) -> DataFrame:
     """(rid, cid, family, bin, salt, block, large): each class in its block.  A family that fits one
     block is one; others go by size (a bin spans the greatest ratio of linked sizes) and, where a
@@ -319,6 +307,28 @@ def _block_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     return links
 
 
+def _rooted(docs: DataFrame, num: int, den: int, words: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, rid, n, cid, root) of every row: rid a hash of id and text, root the same for all rows
+    that links join, null for a row without words."""
+    spark = docs.sparkSession
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    kind = base.schema["doc_id"].dataType.simpleString()
+    rows = cut(base.select("doc_id", "rid", "text").mapInArrow(_class_rows(num, den, words), f"doc_id {kind}, rid long, n long, c1 long, cid binary, sigs array<long>, signs boolean"))
+    # a class comes from a task once, and from all of them once after this
+    signing = rows.where("signs and size(sigs) > 0").select("cid", "c1", "sigs").dropDuplicates(["cid"])
+    signed = signing.select("c1", F.explode("sigs").alias("sig"))
+    stars = signed.repartition("sig").sortWithinPartitions("sig", "c1").mapInArrow(_stars, "a long, b long")
+    families = cut(components(stars).select(F.col("node").alias("c1"), F.col("component").alias("family")))
+    del signing, signed, stars
+    release(spark)  # the signatures' shuffles
+    classes = rows.where("cid is not null").groupBy("cid", "c1").agg(F.min("rid").alias("rid"), F.min("n").alias("n"))
+    members = cut(classes.join(families, "c1").select("cid", "rid", "n", "family"))
+    sieve = Sieve(members.select(F.col("rid").alias("key")))
+    sets = base.select("rid", "text").mapInArrow(_set_rows(sieve, words), "rid long, features binary")
+    joined = components(_block_links(cut(_block_rows(members, num, den)), sets, num, den)).select(F.col("node").alias("cid"), F.col("component").alias("root"))
+    return rows.select("doc_id", "rid", "n", "cid").join(joined, "cid", "left").select("doc_id", "rid", "n", "cid", F.coalesce("root", "cid").alias("root"))
+
+
 def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -328,22 +338,17 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, words: in
     links reach (nulls aside).  A row without words (null, empty, blank) links with nothing:
     its component is its own id.  Repeated rows each give a row; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    rows = cut(base.select("doc_id", "rid", "text").mapInArrow(_class_rows(words), f"doc_id {kind}, rid long, n long, c1 long, cid binary"))
-    signed = base.select("text").mapInArrow(_signature_rows(num, den, words), "sig long, c1 long")
-    stars = signed.repartition("sig").sortWithinPartitions("sig", "c1").mapInArrow(_stars, "a long, b long")
-    families = cut(components(stars).select(F.col("node").alias("c1"), F.col("component").alias("family")))
-    del signed, stars
-    release(spark)  # the signatures' shuffle
-    classes = rows.where("cid is not null").groupBy("cid", "c1").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.min("n").alias("n"), F.count("*").alias("copies"))
-    classes = cut(classes.join(families, "c1", "left").where("copies > 1 or family is not null").select("cid", "least", "rid", "n", "family"))
-    members = classes.where("family is not null")
-    bloom = spark.sparkContext.broadcast(_bloom(members.select("rid")))
-    sets = base.select("rid", "text").mapInArrow(_set_rows(bloom, words), "rid long, features binary")
-    joined = components(_block_links(cut(_block_rows(members, num, den)), sets, num, den))
-    classes = classes.join(joined, classes.cid == joined.node, "left").select("cid", "least", F.coalesce("component", "cid").alias("root"))
-    roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = classes.join(roots, "root").select("cid", "component_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(found, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = cut(_rooted(docs, num, den, words, doc_id, text))
+    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").select("root", "least")
+    return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def repeats(docs: DataFrame, num: int = 80, den: int = 100, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What goes so that one row of each component stays, as two frames of (key, doc_id), key being
+    xxhash64(doc_id, text): the rows that aren't the least (doc_id, key) of their component, and the
+    kept ones that stand in ``docs`` more than once.  Rows without words are in neither."""
+    rows = cut(_rooted(docs, num, den, words, doc_id, text).where("root is not null").groupBy("root", "doc_id", "rid").agg(F.count("*").alias("copies")))
+    kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("n"))
+    known = rows.join(kept.where("n > 1"), "root", "left").withColumn("stays", F.col("best").isNull() | (F.struct("doc_id", "rid").eqNullSafe(F.col("best"))))
+    known = cut(known.where("not stays or copies > 1").select(F.col("rid").alias("key"), "doc_id", "stays"))
+    return known.where("not stays").select("key", "doc_id"), known.where("stays").select("key", "doc_id")

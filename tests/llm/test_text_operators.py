@@ -12,8 +12,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from sparkquire.llm import bpe, bytetext, decontaminate, jaccard_join, queries, sharding
+from sparkquire.llm import bpe, bytetext, decontaminate, jaccard_join, queries, sharding, sieve
 
 DOCS = "doc_id long, text string, lang string, source string, n_shingles int"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sig tau ups phi chi psi ome".split()
@@ -75,6 +76,33 @@ def test_jaccard_in_many_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 80, 3)
 
 
+def test_texts_that_a_polynomial_confuses_stay_apart(spark):
+    """The Thue-Morse word and its complement collide under every polynomial modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}"), (5, a.upper())]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs(spark, rows), 90, 100, 3).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    spans = bytetext.SpanHashes(np.frombuffer((a + b).encode(), np.uint8))(np.array([0, 4096, 0, 8, 4096, 4104]), np.array([4096, 8192, 8, 16, 4104, 4112]))
+    assert spans[0] != spans[1] and spans[2] == spans[5] and spans[3] == spans[4]
+
+
+def test_one_row_of_a_class_is_signed():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "rid": list(range(50)), "text": ["one two three four five"] * 48 + ["six seven eight nine", None]})
+    out = pa.Table.from_batches(jaccard_join._class_rows(80, 100, 2)(iter([batch, batch])))
+    assert sum(out["signs"].to_pylist()) == 2
+    assert all(bool(s) == new for s, new in zip(out["sigs"].to_pylist(), out["signs"].to_pylist()))
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = " ".join(WORDS * 3)
+    rows = [(5, text), (3, text + " more"), (3, "unlike the other of this id"), (3, text + " more"), (9, None), (9, None), (7, "alone"), (7, "alone"), (None, "nameless words")]
+    gone, again = jaccard_join.repeats(docs(spark, rows), 80, 100, 2)
+    key = {r.k: (r.doc_id, r.text) for r in docs(spark, rows).withColumn("k", F.xxhash64("doc_id", "text")).collect()}
+    assert [key[r.key] for r in gone.collect()] == [(5, text)]
+    assert sorted(key[r.key] for r in again.collect()) == [(3, text + " more"), (7, "alone")]
+
+
 def test_jaccard_without_rows(spark):
     assert jaccard_join.jaccard_components(docs(spark, []), 90, 100, 3).collect() == []
 
@@ -192,12 +220,58 @@ def test_ids_of_few_windows_in_many_items_are_not_broadcast(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_winnowing_keeps_few_fingerprints_and_loses_no_window(spark):
+    """At most about 2 / (w + 1) rows a word go to the join, and equal windows share one."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, 2000))) for i in range(6)]
+    rows.append((6, " ".join(["same"] * 300)))
+    hashed = docs(spark, rows).select("doc_id", decontaminate.word_hashes(F.col("text")).alias("h"))
+    for kind in ((5, 10), (2, 4), (1, 1), (3, 3)):
+        w = kind[1] - kind[0] + 1
+        got = decontaminate.fingerprints(hashed, [kind]).select("doc_id", "p", "fp").collect()
+        assert len(got) <= 1.1 * 2 / (w + 1) * 12_300
+        places = {(r.doc_id, r.p) for r in got}
+        for d, t in rows:
+            for j in range(len(t.split()) - kind[1] + 1):
+                assert any((d, p) in places for p in range(j, j + w))
+    text = rows[0][1].split()
+    shared = docs(spark, [(10, "x y z " + " ".join(text[50:60])), (11, " ".join(text[50:60]) + " other words")]).select("doc_id", decontaminate.word_hashes(F.col("text")).alias("h"))
+    got = decontaminate.fingerprints(shared, [(5, 10)]).select("doc_id", "fp").collect()
+    assert {r.fp for r in got if r.doc_id == 10} & {r.fp for r in got if r.doc_id == 11}
+
+
+def test_documents_are_read_once(spark, tmp_path, monkeypatch):
+    docs(spark, [(1, "a b c"), (2, " ".join(WORDS))]).write.parquet(f"{tmp_path}/documents")
+    bench = spark.createDataFrame([(1, " ".join(WORDS)), (2, "b c")], "item_id long, text string")
+    scans, plain = [], decontaminate.cut
+    count = lambda df: len(re.findall(r"FileScan parquet[^\n]*documents", df._jdf.queryExecution().executedPlan().toString()))
+    monkeypatch.setattr(decontaminate, "cut", lambda df: scans.append(count(df)) or plain(df))
+    out = decontaminate.contaminated(spark.read.parquet(f"{tmp_path}/documents"), bench)
+    assert sum(scans) + count(out) == 1
+    assert {r.doc_id for r in out.where("contaminated").collect()} == {1, 2}
+
+
 def test_native_plan_has_no_python(spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     plan = decontaminate.contaminated(docs(spark, [(1, "a b c")]), bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    bench = spark.createDataFrame([(1, " ".join(WORDS[:10]))], "item_id long, text string")
+    rows = docs(spark, [(1, "clean text"), (1, " ".join(WORDS)), (None, " ".join(WORDS)), (None, "clean"), (2, None)])
+    gone = decontaminate.contaminated_keys(rows, bench)
+    left = sieve.leave_out(rows, gone, F.xxhash64("doc_id", "text"), "doc_id").collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(1, "clean text"), (None, "clean"), (2, None)])
+
+
+def test_a_full_sieve_changes_no_result(spark, monkeypatch):
+    monkeypatch.setattr(sieve, "BITS", 64)
+    rows = docs(spark, [(i, f"t{i}") for i in range(200)])
+    gone = rows.where("doc_id % 3 = 0").select(F.xxhash64("doc_id", "text").alias("key"), "doc_id")
+    assert sorted(r.doc_id for r in sieve.leave_out(rows, gone, F.xxhash64("doc_id", "text"), "doc_id").collect()) == [i for i in range(200) if i % 3]
+
+
 # sharding
 
 
