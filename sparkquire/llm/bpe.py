@@ -2,9 +2,12 @@
 
 Words are counted over all documents; the most frequent ones and their token ids are compiled
 into an automaton whose states share suffixes and whose arcs carry numbers that add up to a
-word's place in a table of ids.  The automaton is one file of flat arrays that every worker
-maps into memory.  A word that it lacks is merged exactly by the ranks, so the lexicon
-decides speed, never results.
+word's place in a table of ids.  The automaton is one file of flat arrays, written to the shared
+folder and fetched by each executor, that every worker maps into memory.  A word that it lacks is
+merged exactly by the ranks, so the lexicon decides speed, never results.
+
+The words of a text are worked through in runs; one word is merged as a whole, with some 150 bytes
+of memory for each of its bytes, as exact merging needs.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ import heapq
 import json
 import os
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -27,17 +29,18 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from .bytetext import give_back
+from ..storage import cut, shared_dir, store
 
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 32  # the longest word in the lexicon
-CACHED_WORDS = 200_000
+CACHED_BYTES = 16 << 20  # of words and ids that a task keeps, each with 200 for its place
 TEXTS_AT_ONCE = 128
 WORDS_AT_ONCE = 200_000
 LONG_TEXT = 2_000_000
 COUNTED_WORDS = 300_000
 SHORT_WORD = 64  # bytes up to which words are merged together
-PAIR_SLOTS, PAIR_FACTOR, NO_RANK = 1 << 20, 0x9E3779B1, 1 << 40
+PAIR_FACTOR, NO_RANK = 0x9E3779B1, (1 << 31) - 1
 
 #: Fixed values of the byte-level split: contractions, letters, numbers, others, white space.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -120,13 +123,14 @@ class Tokenizer:
         return [x for x in ids if x >= 0]
 
     def _pair_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Open addressing over pair keys: keys (or -1), ranks and merged ids."""
-        keys, ranks, merged = np.full(PAIR_SLOTS, -1), np.full(PAIR_SLOTS, NO_RANK), np.zeros(PAIR_SLOTS, np.int64)
+        """Open addressing over pair keys, a fifth of it filled at most: keys (or -1), ranks and merged ids."""
+        slots = 1 << max(4, (5 * len(self.merges)).bit_length())
+        keys, ranks, merged = np.full(slots, -1), np.full(slots, NO_RANK, np.int32), np.zeros(slots, np.int32)
         for (a, b), (rank, to) in self.merges.items():
             k = (a << 20) | b
-            at = ((k * PAIR_FACTOR) >> 20) & (PAIR_SLOTS - 1)
+            at = ((k * PAIR_FACTOR) >> 20) & (slots - 1)
             while keys[at] >= 0:
-                at = (at + 1) & (PAIR_SLOTS - 1)
+                at = (at + 1) & (slots - 1)
             keys[at], ranks[at], merged[at] = k, rank, to
         return keys, ranks, merged
 
@@ -136,10 +140,10 @@ class Tokenizer:
             self.table = self._pair_table()
         keys, ranks, merged = self.table
         key = (a << 20) | b
-        at = ((key * PAIR_FACTOR) >> 20) & (PAIR_SLOTS - 1)
+        at = ((key * PAIR_FACTOR) >> 20) & (len(keys) - 1)
         seeking = np.flatnonzero((keys[at] != key) & (keys[at] >= 0))
         while len(seeking):
-            at[seeking] = (at[seeking] + 1) & (PAIR_SLOTS - 1)
+            at[seeking] = (at[seeking] + 1) & (len(keys) - 1)
             seeking = seeking[(keys[at[seeking]] != key[seeking]) & (keys[at[seeking]] >= 0)]
         return ranks[at], merged[at]
 
@@ -229,8 +233,7 @@ class Transducer:
 
     def __init__(self, arrays: list[np.ndarray]):
         self.keys, self.targets, self.outputs, self.final, self.offsets, self.ids = arrays
-        self.offsets = self.offsets.astype(np.int64)
-        self.bytes = self.ids.tobytes()
+        self.bytes = memoryview(self.ids).cast("B")  # of the mapped file: nothing is copied
 
     @classmethod
     def build(cls, entries: dict[bytes, list[int]]) -> Transducer:
@@ -284,13 +287,15 @@ class Transducer:
         ])
 
     def save(self, folder: str) -> str:
-        """Writes the arrays behind their lengths; the file is named by its content."""
+        """Writes the arrays behind their lengths to a folder of any store; the file is named by its content."""
         arrays = [np.ascontiguousarray(getattr(self, f), t) for f, t in zip(self.FIELDS, self.TYPES)]
         body = np.array([len(a) for a in arrays], "<u8").tobytes() + b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)
-        path = os.path.join(folder, f"lexicon-{hashlib.sha256(body).hexdigest()[:24]}.bin")
-        with open(path, "wb") as file:
+        uri = f"{folder}/lexicon-{hashlib.sha256(body).hexdigest()[:24]}.bin"
+        system, path = store(uri)
+        system.create_dir(os.path.dirname(path), recursive=True)
+        with system.open_output_stream(path) as file:
             file.write(body)
-        return path
+        return uri
 
     @classmethod
     def map(cls, path: str) -> Transducer:
@@ -334,12 +339,16 @@ class Encoder:
 
     def __init__(self, model: Tokenizer, lexicon: Transducer | None = None):
         self.model, self.lexicon = model, lexicon
+        self.forget()
+
+    def forget(self) -> None:
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
     def learn(self, words: Iterable[str]) -> None:
         """Puts the words that the cache lacks into it."""
-        if len(self.cache) > CACHED_WORDS:
-            self.cache = {}
+        if self.cached > CACHED_BYTES:
+            self.forget()
         new = list(set(words).difference(self.cache))
         data = [w.encode("utf-8", "replace") for w in new]
         found = self.lexicon.find(data) if self.lexicon is not None else np.full(len(new), -1)
@@ -349,8 +358,8 @@ class Encoder:
         hit, miss = np.flatnonzero(found >= 0), np.flatnonzero(found == -1)
         if len(hit):
             at = found[hit]
-            body, a, b = self.lexicon.bytes, (self.lexicon.offsets[at] * 4).tolist(), (self.lexicon.offsets[at + 1] * 4).tolist()
-            self.cache.update(zip([new[k] for k in hit.tolist()], [body[x:y] for x, y in zip(a, b)]))
+            body, a, b = self.lexicon.bytes, (self.lexicon.offsets[at].astype(np.int64) * 4).tolist(), (self.lexicon.offsets[at + 1].astype(np.int64) * 4).tolist()
+            self.cache.update(zip([new[k] for k in hit.tolist()], [bytes(body[x:y]) for x, y in zip(a, b)]))
         short = [k for k in miss.tolist() if len(data[k]) <= SHORT_WORD]
         if short:
             ids, at = self.model.merge_many([data[k] for k in short])
@@ -359,6 +368,7 @@ class Encoder:
         for k in miss.tolist():
             if len(data[k]) > SHORT_WORD:
                 self.cache[new[k]] = np.array(self.model.merge(data[k]), "<u4").tobytes()
+        self.cached += sum(map(len, data)) + sum(len(self.cache[w]) for w in new) + 200 * len(new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -394,18 +404,24 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str | None], Encoder] = {}
 
 
-def encoder(path: str, lexicon: str | None) -> Encoder:
-    """One encoder a worker process, on the mapped lexicon file."""
-    key = (path, lexicon)
+def encoder(name: str, lexicon: str | None) -> Encoder:
+    """One encoder a worker process, on the mapped lexicon file; both names are of files that Spark ships."""
+    key = (name, lexicon)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(tokenizer(path), Transducer.map(SparkFiles.get(lexicon)) if lexicon else None)
+        _ENCODERS[key] = Encoder(tokenizer(SparkFiles.get(name)), Transducer.map(SparkFiles.get(lexicon)) if lexicon else None)
     return _ENCODERS[key]
 
 
-def _word_counts(path: str):
+def ship(spark, uri: str) -> str:
+    """Has every executor fetch a file from the driver or a store; its name there.  Again with the same uri does nothing."""
+    spark.sparkContext.addFile(uri)
+    return os.path.basename(uri)
+
+
+def _word_counts(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts = tokenizer(path), Counter()
+        model, counts = tokenizer(SparkFiles.get(name)), Counter()
 
         def rows():
             kept = [(b, n) for w, n in counts.items() if len(b := w.encode("utf-8", "replace")) <= LEXICON_BYTES and w not in model.special]
@@ -420,22 +436,11 @@ def _word_counts(path: str):
                 if len(counts) > COUNTED_WORDS:
                     yield rows()
         yield rows()
+        give_back()
 
     return run
 
 
-def _shipped(spark, transducer: Transducer) -> str:
-    """Puts the lexicon's file where every executor gets it; once for each content."""
-    if not _FOLDER:
-        _FOLDER.append(tempfile.mkdtemp(prefix="sparkquire-lexicon-"))
-    file = transducer.save(_FOLDER[0])
-    spark.sparkContext.addFile(file)  # a second time with the same path does nothing
-    return os.path.basename(file)
-
-
-_FOLDER: list[str] = []
-
-
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text: str = "text") -> str:
     """Counts the words of all texts, compiles the most frequent (``size`` at most) and ships
     the file to every executor; its name there.
@@ -443,7 +448,7 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text: s
     Counts are grouped by magnitude (steps of 2 %), and the lexicon takes the largest magnitudes that
     fit: the driver gets one row for each magnitude and ``size`` words, and no sort runs.
     """
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(_word_counts(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(_word_counts(ship(docs.sparkSession, path)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = cut(counts.where("n > 1").select("word", F.floor(F.ln("n") * 50).cast("int").alias("magnitude")))
     least, taken = None, 0
     for r in sorted(counts.groupBy("magnitude").count().collect(), reverse=True):  # at most 50 ln(words) rows
@@ -453,23 +458,26 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text: s
         least = r.magnitude
     model = tokenizer(path)
     frequent = [] if least is None else [bytes(r.word) for r in counts.where(F.col("magnitude") >= least).select("word").collect()]
-    return _shipped(docs.sparkSession, Transducer.build({w: model.merge(w) for w in frequent}))
+    made = Transducer.build({w: model.merge(w) for w in frequent})
+    return ship(docs.sparkSession, made.save(shared_dir(docs.sparkSession)))
 
 
 def encode_decode(docs: DataFrame, path: str, lexicon: str | None, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs``, ids (binary: little-endian unsigned 32-bit) and decoded (the
     text that the ids give).  A null text is empty: no ids, and decoded is empty too."""
     keep = [c for c in keep if c not in ("ids", "decoded")]
-    rows = docs.select(*keep, F.col(text).alias(" text"))
+    rows, name = docs.select(*keep, F.col(text).alias(" text")), ship(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, lexicon)
+        coder = encoder(name, lexicon)
         for batch in batches:
             for a in range(0, len(batch), TEXTS_AT_ONCE):
                 part = batch.slice(a, TEXTS_AT_ONCE)
                 ids = coder.encode([x or "" for x in part[" text"].to_pylist()])
                 decoded = [coder.model.decode(np.frombuffer(x, "<u4")) for x in ids]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [*keep, "ids", "decoded"])
+        coder.forget()
+        give_back()
 
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
     return rows.mapInArrow(run, f"{kinds}ids binary, decoded string")
