@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquire.llm import bpe, decontaminate, jaccard_join, quality, toxicity
+from sparkquire.llm import bpe, decontaminate, jaccard_join, quality, sieve, toxicity
 from sparkquire.llm.queries import TOKENIZER
 from sparkquire.storage import cut, shared_dir
 
@@ -24,36 +24,40 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _key() -> Column:
+    """What names a row beside its id: rows of one id are judged one by one."""
+    return F.xxhash64("doc_id", "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
-    kept = docs.columns
-    return toxicity.score_toxicity(docs, _labels(spark, sf_dir)).where("predicted = 0").select(*kept)
+    score, _ = toxicity.toxicity_scorer(docs, _labels(spark, sf_dir))
+    return docs.where(score(F.col("text"))["score"] <= 0.5)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose statistics score 0.3 or more."""
-    kept = docs.columns
-    return quality.score_quality(docs, _labels(spark, sf_dir), threshold=0.3).where("predicted = 1").select(*kept)
+    return docs.where(quality.quality_scorer(docs, _labels(spark, sf_dir))(F.col("text")) >= 0.3)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id in each component of near copies; those without words
-    all stay, and so do rows of a null id.  Of rows that repeat a kept id, the least stays."""
-    found = cut(jaccard_join.jaccard_components(docs, *SIMILAR, words=SHINGLE_WORDS))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """The row of the least (id, hash of id and text) in each component of near copies; rows without
+    words all stay.  Of kept rows that repeat id and text, the least by the other columns stays."""
+    gone, repeated = jaccard_join.repeats(docs, *SIMILAR, words=SHINGLE_WORDS)
+    kept = sieve.leave_out(docs, gone, _key(), "doc_id")
     if repeated.isEmpty():
         return kept
-    least = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(least)
+    single = sieve.leave_out(kept, repeated, _key(), "doc_id")
+    again = repeated.alias("r")
+    rows = kept.withColumn(" key", _key()).alias("d").join(again, (F.col("d.` key`") == F.col("r.key")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left_semi")
+    least = rows.groupBy("` key`", "doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return single.unionByName(least)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item (or the whole of a shorter one)."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, k=5)
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = decontaminate.contaminated_keys(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, k=5)
+    return sieve.leave_out(docs, found, _key(), "doc_id")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +73,7 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: Trained models and an automaton can't be put in SQL; tests hold run() against a brute-force version.
+#: Trained models and an automaton can't be put in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
