@@ -15,6 +15,7 @@ shortest of them as the window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,22 +38,25 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.when(F.lower(w) == w, w).otherwise(F.translate(w, UPPER, LOWER))))
 
 
-def _kept(kind: Kind, p: Column, n: Column, word) -> tuple[Column, Column]:
-    """The fingerprint at place p of n words, and whether a window keeps it.  word(i): the word i places from p."""
-    k, w = kind[0], kind[1] - kind[0] + 1
-    own = F.xxhash64(F.lit(k), *(word(i) for i in range(k)))
+def _kept(w: int, g: str) -> Column:
+    """Whether some window of w fingerprints keeps the one at place p of the array g; beyond its ends stand nulls."""
+    own, p = F.get(g, F.col("p")), F.col("p")
 
     def reach(side: int) -> Column:
-        """How many neighbours on that side, one after another, stand in the document and are no less (on the right: greater)."""
-        out = None
-        for d in range(1, w):
-            q = p + side * d
-            near = F.xxhash64(F.lit(k), *(word(side * d + i) for i in range(k)))
-            stops = (q < 0) | (q + k > n) | ((near <= own) if side > 0 else (near < own))
-            out = F.when(stops, d - 1) if out is None else out.when(stops, d - 1)
-        return F.lit(0) if out is None else out.otherwise(w - 1)
+        """How many neighbours on that side, one after another, are no less (on the right: greater)."""
+        out = F.lit(w - 1)
+        for d in range(w - 1, 0, -1):
+            near = F.get(g, p + side * d)
+            out = F.when(near > own if side > 0 else near >= own, out).otherwise(d - 1)
+        return out
 
-    return own, (p >= 0) & (p + k <= n) & (reach(-1) + reach(1) + 1 >= w)
+    return (p >= 0) & own.isNotNull() & (reach(-1) + reach(1) + 1 >= w)
+
+
+def _grams(k: int) -> Column:
+    """The hashes of every k words of h, one after another."""
+    made = F.transform(F.sequence(F.lit(0), F.size("h") - k), lambda i: F.xxhash64(F.lit(k), *(F.get("h", i + j) for j in range(k))))
+    return F.when(F.size("h") >= k, made).otherwise(F.array().cast("array<bigint>"))
 
 
 def _reach(kinds: Sequence[Kind], lengths: Sequence[Sequence[int]]) -> int:
@@ -66,10 +70,15 @@ def fingerprints(rows: DataFrame, kinds: Sequence[Kind], lengths: Sequence[Seque
     every_row adds a row of p = -1 for each input row.  h is dropped."""
     lengths = lengths or [[n] for _, n in kinds]
     back, ahead = _reach(kinds, lengths), max(max(x) for x in lengths)
-    rows = rows.withColumn("n_words", F.size("h")).withColumn("p", F.explode(F.sequence(F.lit(-1 if every_row else 0), F.greatest(F.size("h") - 1, F.lit(-1 if every_row else 0)))))
-    # words are got in place: a column for each would make the optimizer rewrite every constraint through all of them
-    found = [_kept(kind, F.col("p"), F.col("n_words"), lambda i: F.get("h", F.col("p") + i)) for kind in kinds]
-    rows = rows.select("*", *(F.when(kept, fp).alias(f"f{i}") for i, (fp, kept) in enumerate(found))).where((F.col("p") == -1) | F.coalesce(*(F.col(f"f{i}") for i in range(len(kinds)))).isNotNull())
+    rows = rows.select("*", F.size("h").alias("n_words"), *(_grams(k).alias(f"g{i}") for i, (k, _) in enumerate(kinds)))
+    first = -1 if every_row else 0
+    rows = rows.withColumn("p", F.explode(F.sequence(F.lit(first), F.greatest(F.col("n_words") - 1, F.lit(first)))))
+    kept = [_kept(n - k + 1, f"g{i}") for i, (k, n) in enumerate(kinds)]
+    rows = rows.where(reduce(lambda a, b: a | b, kept, F.col("p") == -1))
+    fp = [F.get(f"g{i}", F.col("p")) for i in range(len(kinds))]
+    if len(kinds) > 1:
+        fp = [F.when(x, g) for x, g in zip(kept, fp)]
+    rows = rows.select("*", *(x.alias(f"f{i}") for i, x in enumerate(fp))).drop(*(f"g{i}" for i in range(len(kinds))))
     near = F.when(F.col("p") >= 0, F.slice("h", F.greatest(F.col("p") - back, F.lit(0)) + 1, F.lit(back + ahead)))
     rows = rows.withColumn("near", near).drop("h")
     if len(kinds) == 1:
