@@ -20,6 +20,8 @@ MARKDOWN = r"^#{1,6}\s+\S"
 CHAPTER = r"(?i)^chapter\s+[0-9ivxlc]+\b"
 BARE_NUMBER = r"^[0-9０-９]{1,4}[.、．]?$"
 BARE_CJK_NUMBER = r"^[一二三四五六七八九十百零〇]{1,6}$"
+#: What a heading looks like, and the marks that it doesn't end in then.
+HEADINGS = ((MARKDOWN, ""), (NUMBERED_BOUND, PLAIN_END), (CHAPTER, PLAIN_END), (NUMBERED, PROSE_END), (BARE_NUMBER, PROSE_END), (BARE_CJK_NUMBER, PROSE_END))
 #: The controlled attributes, what else is filed under, and attribute characters folded.
 ATTRIBUTES = ("年龄", "性别", "外貌", "籍贯", "出身", "亲属", "师承", "身份", "官职", "称号", "别名", "所属", "居所", "性格", "本领", "兵器", "坐骑", "伤病", "生死", "位置", "归属", "规模", "来历", "形制")
 OTHER_ATTRIBUTE = "其他"
@@ -62,14 +64,22 @@ def norm_attribute(s: Column) -> Column:
     return F.when(bare.isin(*ATTRIBUTES), bare).otherwise(OTHER_ATTRIBUTE)
 
 
+def padded(number: Column, width: int) -> Column:
+    """A whole number with leading zeros up to ``width``; a longer one stays whole, which lpad would cut."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
 def natural_key(s: Column) -> Column:
-    """An array that sorts texts with digit runs by value and the rest without case."""
+    """An array that sorts texts with digit runs by value and the rest without case.  A digit
+    run is its length without leading zeros and then itself, so runs of any length compare by value."""
     parts = F.regexp_extract_all(F.concat(F.lit(""), s), F.lit(r"(\d+|\D+)"), 1)
-    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(F.lower(p)))
+    bare = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(padded(F.length(bare(p)), 10), bare(p))).otherwise(F.lower(p)))
 
 
 def natural_text(s: Column) -> Column:
-    """The same as one text: digit runs padded to 20, the rest lower-cased."""
+    """The same as one text: digit runs behind their lengths, the rest lower-cased."""
     return F.array_join(natural_key(s), "\x01")
 
 
@@ -83,17 +93,12 @@ def is_separator(line: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
+    """Short, and of one of HEADINGS' shapes without its end marks."""
     s = strip_blanks(line)
-    last = F.right(s, F.lit(1))
-    strong = s.rlike(NUMBERED_BOUND) | s.rlike(CHAPTER)
-    weak = s.rlike(NUMBERED) | s.rlike(BARE_NUMBER) | s.rlike(BARE_CJK_NUMBER)
-    return (
-        F.when((s == "") | (F.length(s) > HEADING_CHARS), False)
-        .when(s.rlike(MARKDOWN), True)
-        .when(strong, ~F.lit(PLAIN_END).contains(last))
-        .when(F.lit(PROSE_END).contains(last), False)
-        .otherwise(weak)
-    )
+    shaped = F.lit(False)
+    for pattern, ends in HEADINGS:
+        shaped = shaped | (s.rlike(pattern) & ~F.lit(ends).contains(F.right(s, F.lit(1))))
+    return (s != "") & (F.length(s) <= HEADING_CHARS) & shaped
 
 
 def heading_level(line: Column) -> Column:
@@ -137,8 +142,17 @@ def short_line(s: Column) -> Column:
 
 
 def format_number(x: Column) -> Column:
-    """Up to six significant digits without trailing zeros; ? for null."""
-    return F.when(x.isNull(), "?").otherwise(F.regexp_replace(F.format_string("%s", F.round(x, 6)), r"\.0$", ""))
+    """Six significant digits without trailing zeros, with an exponent below 1e-4 and from 1e6 on
+    (0.5, 1.23457e+06, 1e-05); nan, inf and -inf by name; ? for null."""
+    x = x.cast("double")
+    digits = F.format_string("%.5e", x)  # -1.23457e+06
+    power = F.regexp_extract(digits, r"e([+-]\d+)$", 1).cast("int")
+    trim = lambda s: F.regexp_replace(s, r"(\.\d*?)0+$", "$1")
+    bare = lambda s: F.regexp_replace(trim(s), r"\.$", "")
+    out = F.when(x.isNull(), "?").when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+    for e in range(-4, 6):
+        out = out.when(power == e, bare(F.format_string(f"%.{5 - e}f", x)))
+    return out.otherwise(F.concat(bare(F.substring_index(digits, "e", 1)), F.lit("e"), F.substring_index(digits, "e", -1)))
 
 
 def parse_json_object(s: Column, schema: str) -> Column:
