@@ -6,10 +6,7 @@ the size of the set decides how much is shuffled, never the result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +17,8 @@ BITS = 1 << 23
 
 
 class Sieve:
-    """Built from the column ``key`` (long, hashes) of a DataFrame: at most BITS / 64 rows reach the driver."""
+    """Built from the column ``key`` (long, hashes) of a DataFrame: at most BITS / 64 rows reach the driver.
+    Tasks get it by broadcast (``passes``), expressions by a subquery of one row (``may``)."""
 
     def __init__(self, keys: DataFrame):
         places = F.array(F.col("key"), F.shiftright("key", 32)).alias("at")
@@ -29,7 +27,11 @@ class Sieve:
         bits = np.zeros(BITS // 64, np.uint64)
         for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
             bits[r.w] = r.b & (2**64 - 1)
-        self.shared = keys.sparkSession.sparkContext.broadcast(bits)
+        self.spark = keys.sparkSession
+        self.shared = self.spark.sparkContext.broadcast(bits)
+
+    def __getstate__(self) -> dict:
+        return {"shared": self.shared}  # tasks need no session
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
         bits, keep = self.shared.value, np.ones(len(keys), bool)
@@ -38,15 +40,16 @@ class Sieve:
             keep &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
         return keep
 
-    def column(self) -> Callable[[Column], Column]:
-        """Whether a key may be in the set, for a column of non-null keys; nothing else goes to Python."""
-        sieve = self
-
-        def run(keys: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for k in keys:
-                yield pa.array(sieve.passes(k.to_numpy(zero_copy_only=False)))
-
-        return F.arrow_udf(run, "boolean")
+    def may(self, key: Column) -> Column:
+        """Whether a key (long, not null) may be in the set, as a column expression: the set is a scalar
+        subquery of one row, so no row meets Python and nothing is joined."""
+        rows = self.spark.createDataFrame([(self.shared.value.view(np.int64).tolist(),)], "bits array<bigint>")
+        bits, most = rows.scalar(), 64 * len(self.shared.value) - 1
+        out = F.lit(True)
+        for at in (key, F.shiftright(key, 32)):
+            at = at.bitwiseAND(F.lit(most))
+            out = out & (F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return out
 
 
 def leave_out(docs: DataFrame, gone: DataFrame, key: Column, extra: str) -> DataFrame:
@@ -54,9 +57,9 @@ def leave_out(docs: DataFrame, gone: DataFrame, key: Column, extra: str) -> Data
     or cheap frame).  key: a 64-bit hash that is never null; extra: a column of both, compared
     with null equal to null.  Only rows whose key may be in ``gone`` are shuffled."""
     gone = cut(gone.select("key", F.col(extra).alias("extra")).distinct())
-    may = Sieve(gone).column()
+    sieve = Sieve(gone)
     marked = docs.select(*docs.columns, key.alias(" key"))
-    clear = marked.where(~may(F.col("` key`"))).select(*docs.columns)
-    rest, gone = marked.where(may(F.col("` key`"))).alias("d"), gone.alias("g")
+    clear = marked.where(~sieve.may(F.col("` key`"))).select(*docs.columns)
+    rest, gone = marked.where(sieve.may(F.col("` key`"))).alias("d"), gone.alias("g")
     rest = rest.join(gone, (F.col("d.` key`") == F.col("g.key")) & F.col(f"d.{extra}").eqNullSafe(F.col("g.extra")), "left_anti")
     return clear.unionByName(rest.select(*docs.columns))
