@@ -339,16 +339,18 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, words: in
     its component is its own id.  Repeated rows each give a row; extra columns are ignored.
     """
     rows = cut(_rooted(docs, num, den, words, doc_id, text))
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").select("root", "least")
+    # cut: else the aggregate would share the exchange of the join, which could not split a large component
+    least = cut(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").select("root", "least"))
     return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def repeats(docs: DataFrame, num: int = 80, den: int = 100, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """What goes so that one row of each component stays, as two frames of (key, doc_id), key being
     xxhash64(doc_id, text): the rows that aren't the least (doc_id, key) of their component, and the
-    kept ones that stand in ``docs`` more than once.  Rows without words are in neither."""
-    rows = cut(_rooted(docs, num, den, words, doc_id, text).where("root is not null").groupBy("root", "doc_id", "rid").agg(F.count("*").alias("copies")))
-    kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("n"))
-    known = rows.join(kept.where("n > 1"), "root", "left").withColumn("stays", F.col("best").isNull() | (F.struct("doc_id", "rid").eqNullSafe(F.col("best"))))
+    kept ones that stand in ``docs`` more than once.  Rows without words or without an id are in
+    neither: they all stay."""
+    rows = cut(_rooted(docs, num, den, words, doc_id, text).where("root is not null and doc_id is not null").groupBy("root", "doc_id", "rid").agg(F.count("*").alias("copies")))
+    kept = cut(rows.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("n")).where("n > 1"))
+    known = rows.join(kept, "root", "left").withColumn("stays", F.col("best").isNull() | (F.struct("doc_id", "rid").eqNullSafe(F.col("best"))))
     known = cut(known.where("not stays or copies > 1").select(F.col("rid").alias("key"), "doc_id", "stays"))
     return known.where("not stays").select("key", "doc_id"), known.where("stays").select("key", "doc_id")
