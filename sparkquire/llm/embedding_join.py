@@ -5,6 +5,7 @@ their leading principal directions (of all vectors), put in the lexicographic or
 their grid cells of side eps, and cut into blocks of neighbours in that sequence.  Intervals
 of the sequence are joined recursively, first as rows of boxes by DataFrame joins, then
 inside a pair of blocks: two intervals whose boxes lie further apart than eps are skipped.
+A block's vectors are written once to the shared folder, where every pair reads them.
 Leaves are compared by a matrix product; each vector gets its number of links and a root
 of a spanning forest, so no list of links is ever written.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..storage import cut
+from ..storage import cut, shared_dir, store
 
 BLOCK_ROWS = 8192
 BLOCK_BYTES = 8 << 20
@@ -117,13 +119,19 @@ def _cells(basis, eps: float, kind: str):
     return run
 
 
-def _blocks(basis, kind: str):
-    """Rows sorted by (b, d, place) to a row for each (b, d): box, ids, weights and vectors."""
+def _blocks(basis, kind: str, folder: str):
+    """Rows sorted by (b, d, place) to a row for each (b, d): its box and the file of its ids, weights and vectors.
+    A retried task writes files of its own names, and only those of checkpointed rows are read."""
 
     def pack(b, d, held):
-        raw = b"".join(h[2] for h in held)
-        p = _unit(np.frombuffer(raw, kind).reshape(-1, d)) @ basis.value[d]
-        return pa.RecordBatch.from_pylist([{"b": b, "d": d, "low": p.min(axis=0).tolist(), "high": p.max(axis=0).tolist(), "cids": [h[0] for h in held], "ns": [h[1] for h in held], "raw": raw}], schema=BLOCK_ARROW)
+        raw = [h[2] for h in held]
+        p = _unit(np.frombuffer(b"".join(raw), kind).reshape(-1, d)) @ basis.value[d]
+        path = f"{folder}/{b}-{d}-{uuid.uuid4().hex}.arrow"
+        system, place = store(path)
+        table = pa.table([pa.array([h[0] for h in held], pa.binary()), pa.array([h[1] for h in held], pa.int64()), pa.array(raw, pa.binary())], ["cid", "n", "raw"])
+        with system.open_output_stream(place) as out, pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table)
+        return pa.RecordBatch.from_pylist([{"b": b, "d": d, "low": p.min(axis=0).tolist(), "high": p.max(axis=0).tolist(), "path": path}], schema=BLOCK_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -140,8 +148,16 @@ def _blocks(basis, kind: str):
     return run
 
 
-BLOCK_ARROW = pa.schema([("b", pa.int64()), ("d", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("cids", pa.list_(pa.binary())), ("ns", pa.list_(pa.int64())), ("raw", pa.binary())])
-BLOCK_ROW = "b long, d long, low array<double>, high array<double>, cids array<binary>, ns array<long>, raw binary"
+def _load(path: str, kind: str, d: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    system, place = store(path)
+    with system.open_input_stream(place) as source:
+        table = pa.ipc.open_stream(source).read_all()
+    x = np.frombuffer(b"".join(table["raw"].to_pylist()), kind).reshape(-1, d)
+    return table["cid"].to_pylist(), table["n"].to_numpy(), _unit(x)
+
+
+BLOCK_ARROW = pa.schema([("b", pa.int64()), ("d", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("path", pa.string())])
+BLOCK_ROW = "b long, d long, low array<double>, high array<double>, path string"
 
 
 def interval_pairs(directory: DataFrame, blocks: int, eps: float) -> DataFrame:
@@ -151,14 +167,18 @@ def interval_pairs(directory: DataFrame, blocks: int, eps: float) -> DataFrame:
     bounds += [f(c).alias(c) for f, s in ((F.min, "l"), (F.max, "h")) for c in (f"{s}{i}" for i in range(BOX_DIMS))]
     leaves = directory.select("b", F.col("d").alias("d_low"), F.col("d").alias("d_high"), *(F.col(n)[i].alias(f"{s}{i}") for s, n in (("l", "low"), ("h", "high")) for i in range(BOX_DIMS)))
     levels = max(1, math.ceil(math.log(max(blocks, 2), FAN)))
-    pairs = directory.sparkSession.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    pairs = None
     for level in range(levels - 1, -1, -1):
         width = FAN**level
         nodes = leaves.groupBy(F.floor(F.col("b") / width).cast("long").alias("node")).agg(*bounds).withColumn("up", F.floor(F.col("node") / FAN).cast("long"))
         x, y = nodes.alias("x"), nodes.alias("y")
         gap = reduce(lambda s, t: s + t, (F.pow(F.greatest(F.lit(0.0), F.col(f"x.l{i}") - F.col(f"y.h{i}"), F.col(f"y.l{i}") - F.col(f"x.h{i}")), 2) for i in range(BOX_DIMS)))
         near = (F.col("x.node") <= F.col("y.node")) & (F.col("x.d_low") <= F.col("y.d_high")) & (F.col("y.d_low") <= F.col("x.d_high")) & (gap <= eps * eps + 1e-9)
-        pairs = pairs.join(x, F.col("a") == F.col("x.up")).join(y, (F.col("b") == F.col("y.up")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        if pairs is None:  # the widest intervals, FAN of them at most, are all below one
+            pairs = x.join(y, (F.col("x.up") == F.col("y.up")) & near)
+        else:
+            pairs = pairs.join(x, F.col("a") == F.col("x.up")).join(y, (F.col("b") == F.col("y.up")) & near)
+        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     return pairs
 
 
@@ -217,16 +237,15 @@ def join_blocks(x: np.ndarray, y: np.ndarray, same: bool, basis: np.ndarray, t:
 
 
 def _joined(basis, t: float, kind: str):
+    """Rows of two blocks' files to the links and roots of their vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                r = {c: batch[c][k] for c in batch.schema.names}
-                same, d = r["a"].as_py() == r["b"].as_py(), r["d"].as_py()
-                x, y = (_unit(np.frombuffer(r[c].as_buffer(), kind).reshape(-1, d)) for c in ("x_raw", "y_raw"))
-                nx, ny = (np.array(r[c].as_py()) for c in ("x_ns", "y_ns"))
-                count, root = join_blocks(x, y, same, basis.value[d], t, nx, ny)
-                ids = r["x_cids"].as_py() + ([] if same else r["y_cids"].as_py())
-                some = np.flatnonzero(count)
+            for d, p, q in zip(*(batch[c].to_pylist() for c in ("d", "p", "q"))):
+                ids, nx, x = _load(p, kind, d)
+                other, ny, y = ([], nx, x) if p == q else _load(q, kind, d)
+                count, root = join_blocks(x, y, p == q, basis.value[d], t, nx, ny)
+                ids, some = ids + other, np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in some], pa.binary()), pa.array(count[some]), pa.array([ids[root[i]] for i in some], pa.binary())], ["cid", "links", "root"])
 
     return run
@@ -262,11 +281,18 @@ def cosine_components(vectors: DataFrame, t: float = 0.95, vec_id: str = "vec_id
     rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * widest)))
     place = F.col("ahead") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     placed = ordered.join(F.broadcast(offsets), "part").withColumn("place", place).withColumn("b", F.floor(F.col("place") / rows).cast("long"))
-    blocks = cut(placed.repartition("b").sortWithinPartitions("b", "d", "place").select("b", "d", "cid", "n", "raw").mapInArrow(_blocks(basis, kind), BLOCK_ROW))
-    pairs = cut(interval_pairs(cut(blocks.select("b", "d", "low", "high")), math.ceil(total / rows), eps))
-    x = blocks.select(F.col("b").alias("a"), "d", *(F.col(c).alias(f"x_{c}") for c in ("cids", "ns", "raw")))
-    y = blocks.select("b", "d", *(F.col(c).alias(f"y_{c}") for c in ("cids", "ns", "raw")))
-    found = cut(pairs.join(x, "a").join(y, ["b", "d"]).mapInArrow(_joined(basis, t, kind), "cid binary, links long, root binary"))
+    folder = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    system, held = store(folder)
+    system.create_dir(held, recursive=True)
+    blocks = cut(placed.repartition("b").sortWithinPartitions("b", "d", "place").select("b", "d", "cid", "n", "raw").mapInArrow(_blocks(basis, kind, folder), BLOCK_ROW))
+    near = interval_pairs(blocks.select("b", "d", "low", "high"), math.ceil(total / rows), eps)
+    x, y = blocks.select(F.col("b").alias("a"), "d", F.col("path").alias("p")), blocks.select("b", "d", F.col("path").alias("q"))
+    pairs = cut(near.join(x, "a").join(y, ["b", "d"]).select("d", "p", "q"))
+    n = pairs.count()
+    if n:  # rows of two names stand for much work: they are dealt by number, not by size
+        pairs = pairs.repartition(min(n, 8 * spark.sparkContext.defaultParallelism), "p", "q")
+    found = cut(pairs.mapInArrow(_joined(basis, t, kind), "cid binary, links long, root binary"))
+    system.delete_dir(held)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     joined = components(found.where("cid <> root").select("cid", "root"), "cid", "root")
     rooted = classes.select("cid", "least", "n").join(links, "cid", "left").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("top", F.coalesce("component", "cid"))
