@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetext import give_back
+from .sieve import Sieve
 from ..storage import cut, shared_dir, store
 
 MEMBER_BYTES = 256 << 20
@@ -202,26 +204,14 @@ def read_span(uri: str, begin: int, lengths: list[int]) -> Iterator[tuple[dict[s
         at += n
 
 
-def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", member_bytes: int = MEMBER_BYTES) -> DataFrame:
-    """Writes each row as a record, one package a task; (path, records) of the packages.
-
-    Of rows with equal payloads of ``min_bytes`` or more, that of the smallest page_id is a
-    response and the others are revisits of it; rows that share that smallest id are all
-    responses, as is each row of a group without any id; null ids come last.  A null html is
-    an empty payload.  A retried task writes a package of its own name, and only the packages
-    in the returned (checkpointed) rows count.
-    """
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.withColumns({"sha": F.unhex(F.sha1(F.col("html").cast("binary"))), "n": F.octet_length("html").cast("long")})
-    groups = rows.select("page_id", "sha", "n").where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("least"), F.count("*").alias("copies"))
-    shared = groups.where("copies > 1 and least is not null").select("sha", "n", "least")
-    rows = rows.join(shared, ["sha", "n"], "left")
-    rows = rows.withColumn("revisit", F.coalesce(F.col("least").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("least"))), F.lit(False)))
-    rows = rows.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "sha", "n", "least", "revisit")
+def _writer(folder: str, date: str, member_bytes: int, unshared: Sieve | None = None):
+    """Writes the rows of a task as one package: (path, records).  With ``unshared``, only those whose key it clears."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
             for batch in batches:
+                if unshared is not None:
+                    batch = batch.filter(pa.array(~unshared.passes(batch["key"].to_numpy())))
                 for i in range(0, len(batch), 256):
                     for r in batch.slice(i, 256).to_pylist():
                         digest = base64.b32encode(r["sha"]).decode()
@@ -235,17 +225,58 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         path = f"{folder}/part-{uuid.uuid4().hex}.zip"
         n = write_package(path, (x for part in ([first], rest) for x in part), member_bytes)
         yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
+        give_back()
+
+    return write
+
+
+def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, date: str = "2020-01-01T00:00:00Z", member_bytes: int = MEMBER_BYTES) -> DataFrame:
+    """Writes each row as a record, a package a task; (path, records) of the packages.  page_id must be integer.
+
+    Of rows with equal payloads of ``min_bytes`` or more, that of the smallest page_id is a
+    response and the others are revisits of it; rows that share that smallest id are all
+    responses, as is each row of a group without any id; null ids come last.  A null html is
+    an empty payload.  A retried task writes a package of its own name, and only the packages
+    in the returned (checkpointed) rows count.  Packages stay in ``folder`` until its owner deletes it.
+
+    Payloads are compared by ids, digests and lengths.  A row whose payload nobody repeats is written where
+    it is read; a revisit is written without its payload; of a repeated payload one copy is
+    shuffled, that of the response.
+    """
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    rows = rows.withColumns({"sha": F.unhex(F.sha1(F.col("html").cast("binary"))), "n": F.octet_length("html").cast("long")})
+    named = cut(rows.select("page_id", "url", "sha", "n"))
+    groups = named.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("least"), F.count("*").alias("copies"))
+    shared = cut(groups.where("copies > 1 and least is not null").select("sha", "n", "least"))
+    payload = F.xxhash64("sha", "n")
+    unshared = Sieve(shared.select(payload.alias("key")))
+    kind, none = rows.schema["page_id"].dataType, F.lit(None)
+    alone = rows.select("page_id", "url", "html", "sha", "n", none.cast(kind).alias("least"), F.lit(False).alias("revisit"), payload.alias("key"))
+
+    known = named.where(unshared.may(payload)).join(shared, ["sha", "n"], "left")
+    revisit = F.coalesce(F.col("least").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("least"))), F.lit(False))
+    known = cut(known.withColumn("revisit", revisit).select("page_id", "url", "sha", "n", "least", "revisit"))
+    again = known.where("revisit").select("page_id", "url", none.cast("string").alias("html"), "sha", "n", "least", "revisit")
+    firsts = known.where("not revisit").select("page_id", "sha", "n").distinct()
+    row_key = F.xxhash64("page_id", "sha", "n")
+    x, y = rows.where(Sieve(firsts.select(row_key.alias("key"))).may(row_key)).alias("x"), firsts.alias("y")
+    wanted = F.col("x.page_id").eqNullSafe(F.col("y.page_id")) & (F.col("x.sha") == F.col("y.sha")) & (F.col("x.n") == F.col("y.n"))
+    firsts = x.join(y, wanted, "left_semi").select("page_id", "url", "html", "sha", "n", none.cast(kind).alias("least"), F.lit(False).alias("revisit"))
 
     system, path = store(folder)
     system.create_dir(path, recursive=True)
-    return cut(rows.mapInArrow(write, "path string, records long"))
+    parts = alone.mapInArrow(_writer(folder, date, member_bytes, unshared), "path string, records long")
+    for part in (again, firsts):
+        parts = parts.union(part.mapInArrow(_writer(folder, date, member_bytes), "path string, records long"))
+    return cut(parts)
 
 
 def read_archives(packages: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload) of every record
     of the packages (column path), in two steps: spans of records from the directories and
     indexes, then one range read a span.  A response's digest is checked against its payload;
-    a revisit has the digest and length of the full payload from its header, and no payload."""
+    a revisit has the digest and length of the full payload from its header, and no payload.  Page ids
+    must be integers in the records."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,9 +295,12 @@ def read_archives(packages: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFram
                     refers = h.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
                     out.append((int(h["x-page-id"]) if "x-page-id" in h else None, int(h["x-payload-length"]), digest, kind, int(refers) if refers else None, h.get("warc-target-uri"), payload.decode() if kind == "response" else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.large_string()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
+        give_back()
 
     spans = packages.mapInArrow(locate, "path string, begin long, lengths array<long>")
-    spans = spans.repartition("path", "begin")
+    spans = cut(spans)
+    # rows of a few numbers stand for much work: they are dealt by number, not by size
+    spans = spans.repartition(max(1, min(spans.count(), 8 * spans.sparkSession.sparkContext.defaultParallelism)), "path", "begin")
     return spans.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string")
 
 
