@@ -42,7 +42,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the least (id, hash of id and text) in each component of near copies; rows without
-    words all stay.  Of kept rows that repeat id and text, the least by the other columns stays."""
+    words or without an id all stay.  Of kept rows that repeat id and text, the least by the other columns stays."""
     gone, repeated = jaccard_join.repeats(docs, *SIMILAR, words=SHINGLE_WORDS)
     kept = sieve.leave_out(docs, gone, _key(), "doc_id")
     if repeated.isEmpty():
