@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 KEY_CHARS = 8
 
 
+def naming(rows: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """rows joined with the names that stand in their short text: stretches of the text of the names'
+    lengths meet equal names, so neither side is compared with all of the other.  The driver
+    gets the distinct lengths.  A name counts once for a row's text; blank names never do."""
+    sizes = sorted(r[0] for r in names.where(F.length(name) > 0).select(F.length(name)).distinct().collect())
+    none = F.array().cast("array<string>")
+
+    def stretches(n: int) -> Column:
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(F.col(text), i, F.lit(n)))).otherwise(none)
+
+    parts = [stretches(n) for n in sizes]
+    every = F.array_distinct(F.concat(*parts)) if parts else none
+    return rows.withColumn("_part", F.explode(every)).join(names, F.col("_part") == F.col(name)).drop("_part")
+
+
 def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(id, item): documents (id, text) that contain an item (item, text) whole.
 

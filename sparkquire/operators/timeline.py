@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import one_line, signature
+from ..functions.text import one_line, padded, signature
 from ..params import DEFAULTS, Params
+from .numbering import numbered
+from .search import naming
 
 #: Words that tell of a death, words that tell it isn't one, attributes that may tell.
 DEATH_WORDS = ("死", "亡", "殁", "歿", "卒", "身故", "病故", "已故", "归天", "歸天", "逝", "阵亡", "陣亡", "斩", "斬", "枭首", "梟首", "丧命", "喪命", "殒命", "殞命", "去世", "坐化")
@@ -81,7 +83,7 @@ def ref_candidates(refs: DataFrame, people: DataFrame, order: DataFrame, bigram_
     """
     ref_id = refs.select("scene", "ref").distinct().withColumn("id", F.xxhash64("scene", "ref"))
     cast = people.select("scene", "who").distinct()
-    named = ref_id.join(F.broadcast(aliases.where("name <> ''")), F.contains("ref", "name")).select("id", "scene", "who").distinct()
+    named = naming(ref_id, "ref", aliases, "name").select("id", "scene", "who").distinct()
     hit = named.join(cast.withColumnRenamed("scene", "candidate"), "who").where("scene <> candidate").select("id", "candidate").distinct().withColumn("named", F.lit(1))
     own = ref_id.select("scene").distinct().join(cast, "scene").join(cast.withColumnRenamed("scene", "candidate"), "who").where("scene <> candidate").groupBy("scene", "candidate").agg(F.count("*").alias("shared"))
     shared = ref_id.join(own, "scene").select("id", "candidate", "shared")
@@ -117,8 +119,8 @@ def carry_ids(conflicts: DataFrame, registry: DataFrame, verdicts: DataFrame, pr
     after the largest id ever given.  registry: sig, id; verdicts: sig, verdict."""
     once = conflicts.withColumn("_r", F.row_number().over(W.partitionBy("sig").orderBy("no"))).where("_r = 1").drop("_r")
     top = registry.agg(F.coalesce(F.max(F.regexp_extract("id", r"(\d+)$", 1).cast("long")), F.lit(0)).alias("top"))
-    known = once.join(registry.select("sig", "id"), "sig", "left").crossJoin(F.broadcast(top))
-    fresh = F.sum(F.col("id").isNull().cast("long")).over(W.orderBy("no").rowsBetween(W.unboundedPreceding, 0))
-    number = (F.col("top") + fresh).cast("string")
-    known = known.withColumn("id", F.coalesce("id", F.concat(F.lit(prefix), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)))).drop("top")
+    known = once.join(registry.select("sig", "id"), "sig", "left")
+    fresh = numbered(known.where("id is null").select("sig", "no"), ["no", "sig"], "k").crossJoin(F.broadcast(top))  # ``top`` is one row
+    fresh = fresh.select("sig", F.concat(F.lit(prefix), padded(F.col("top") + F.col("k"), 3)).alias("new_id"))
+    known = known.join(fresh, "sig", "left").withColumn("id", F.coalesce("id", "new_id")).drop("new_id")
     return known.join(verdicts.select("sig", "verdict"), "sig", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_text
+from .search import naming
 from .entities import PRONOUNS
 
 COLUMNS = ("keep", "merge", "cut", "undecided")
@@ -75,11 +76,10 @@ def only_here(appearances: DataFrame) -> DataFrame:
 
 def maybe_refs(only: DataFrame, aliases: DataFrame, refs: DataFrame) -> DataFrame:
     """(thread, scene, other, text, name): references in other lines that name such a person by any
-    alias.  aliases: name, alias (a stated list of a line's persons, broadcast after a check of its
-    size by the planner); refs: thread, scene, text."""
+    alias.  aliases: name, alias; refs: thread, scene, text."""
     known = only.select("thread", "name").join(aliases, "name", "left").select("thread", "name", F.explode(F.array_distinct(F.array(F.coalesce("alias", "name"), "name"))).alias("alias"))
     texts = refs.select(F.col("thread").alias("other"), "scene", "text")
-    hit = texts.join(known, F.contains("text", "alias") & (F.col("thread") != F.col("other")))
+    hit = naming(texts, "text", known, "alias").where(F.col("thread") != F.col("other"))
     return hit.select("thread", "scene", "other", "text", "name").distinct()
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup
-from ..params import DEFAULTS
 from ..storage import cut
 from .registry import query, table
 
@@ -47,10 +46,10 @@ def q_near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "inter", "jaccard", "containment", F.col("smaller").cast("long").alias("smaller"), "kind")
 
 
-@query(f"{_GROUPS} SELECT doc_id, first FROM g")
+@query(f"{_GROUPS}, z AS (SELECT doc_id, first, dense_rank() OVER (ORDER BY first)::VARCHAR AS no FROM g) SELECT doc_id, first, 'G-' || lpad(no, greatest(3, length(no))::INTEGER, '0') AS label FROM z")
 def q_version_groups(spark: SparkSession, d: str) -> DataFrame:
     groups = dedup.version_groups(dedup.near_duplicate_pairs(_docs(spark, d)))
-    return groups.select(F.col("id").cast("long").alias("doc_id"), F.col("first").cast("long").alias("first"))
+    return groups.select(F.col("id").cast("long").alias("doc_id"), F.col("first").cast("long").alias("first"), F.col("group").alias("label"))
 
 
 @query(f"{_GROUPS} SELECT first, doc_id AS main FROM (SELECT first, doc_id, row_number() OVER (PARTITION BY first ORDER BY n_chars DESC, doc_id) AS r FROM g JOIN documents USING (doc_id)) WHERE r = 1")
@@ -80,4 +79,9 @@ def q_planted_recall(spark: SparkSession, d: str) -> DataFrame:
     return items.join(counts, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0).cast("long")).alias("documents"))
 
 
-PARAMS = DEFAULTS
+@query(f"WITH {_PAIRS} SELECT smaller, CASE WHEN smaller = a THEN b ELSE a END AS container, inter::BIGINT AS inter, containment FROM p WHERE kind = 'containment'")
+def q_containment_best(spark: SparkSession, d: str) -> DataFrame:
+    """The one best container of each text that is no more than a part of others."""
+    pairs = dedup.near_duplicate_pairs(_docs(spark, d)).where("kind = 'containment'")
+    container = F.when(F.col("smaller") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    return pairs.select(F.col("smaller").cast("long").alias("smaller"), container.cast("long").alias("container"), "inter", "containment")

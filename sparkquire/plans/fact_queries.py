@@ -42,8 +42,11 @@ def q_candidates_cap(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_merge_values(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of every brand's part names, and hand-made ages and arms."""
     rows = [(s, "甲", "年龄", v, "") for s, v in (("S-0001", "十六"), ("S-0002", "16岁"), ("S-0003", "十六岁"), ("S-0004", "二十"))] + [(s, "甲", "兵器", v, "") for s, v in (("S-0001", "金箍棒"), ("S-0002", "如意金箍棒"), ("S-0003", "千年"), ("S-0004", "万年"))]
-    return facts.merge_values(spark.createDataFrame(rows, "scene string, subject string, attribute string, value string, quote string")).select("scene", "attribute", "value", "merged")
+    made = spark.createDataFrame(rows, "scene string, subject string, attribute string, value string, quote string")
+    parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("scene"), F.col("p_brand").alias("subject"), F.lit("外貌").alias("attribute"), F.when(F.col("p_partkey") % 3 == 0, F.substring_index("p_name", " ", 1)).otherwise(F.col("p_name")).alias("value"), F.lit("").alias("quote"))
+    return facts.merge_values(made.union(parts)).select("scene", "subject", "attribute", "value", "merged")
 
 
 @query(f"""WITH {_FACTS}, v AS (SELECT subject, attribute, value, string_agg(DISTINCT scene::VARCHAR, ',' ORDER BY scene::VARCHAR) AS scenes FROM f WHERE attribute <> '其他' GROUP BY 1, 2, 3)
@@ -102,12 +105,12 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("scene"), F.lit("person").alias("type"), F.explode(words).alias("name"))
 
 
-@query("""WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]{3,}')) AS name, text FROM benchmark), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY item_id) AS r FROM w)
-SELECT name, item_id, trim(regexp_replace(substr(text, greatest(instr(text, name) - 20, 1), instr(text, name) + length(name) + 20 - greatest(instr(text, name) - 20, 1)), '[\\s]+', ' ', 'g')) AS context FROM k WHERE r <= 2""")
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]{3,}')) AS name FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS r FROM w)
+SELECT name, doc_id, trim(regexp_replace(substr(text, greatest(instr(text, name) - 20, 1), instr(text, name) + length(name) + 20 - greatest(instr(text, name) - 20, 1)), '[\\s　\xa0]+', ' ', 'g')) AS context FROM k JOIN documents USING (doc_id) WHERE r <= 2""")
 def q_mention_contexts(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
-    names = items.select(F.col("id").alias("scene"), F.lit("person").alias("type"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{3,}"), 0))).alias("name"))
-    return entities.contexts(names, items).select("name", F.col("scene").cast("long").alias("item_id"), "context")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    names = _names(spark, d).withColumn("scene", F.col("scene").cast("string"))
+    return entities.contexts(names, docs).select("name", F.col("scene").cast("long").alias("doc_id"), "context")
 
 
 @query("""WITH n AS (SELECT name, row_number() OVER (ORDER BY c DESC, name) - 1 AS place FROM (SELECT p_name AS name, count(*) AS c FROM part GROUP BY 1 UNION ALL SELECT DISTINCT split_part(p_name, ' ', 1), 1 FROM part)), 
@@ -145,12 +148,11 @@ def _entity_votes(rows: DataFrame) -> DataFrame:
     return merged.select("name", "component", "members")
 
 
-@query("""WITH RECURSIVE g AS (SELECT l_orderkey % 40 AS batch, l_orderkey AS grp, l_suppkey AS name FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 97 = 0), u AS (SELECT DISTINCT a.name AS x, b.name AS y FROM g a JOIN g b USING (grp)), reach AS (SELECT x, x AS y FROM u UNION SELECT reach.x, u.y FROM reach JOIN u ON reach.y = u.x)
+@query("""WITH RECURSIVE g AS (SELECT DISTINCT l_orderkey AS grp, l_suppkey AS name FROM lineitem), u AS (SELECT DISTINCT a.name AS x, b.name AS y FROM g a JOIN g b USING (grp)), reach AS (SELECT x, x AS y FROM u UNION SELECT reach.x, u.y FROM reach JOIN u ON reach.y = u.x)
 SELECT x AS name, min(y) AS component, count(*)::BIGINT AS members FROM reach GROUP BY 1""")
 def q_entity_votes(spark: SparkSession, d: str) -> DataFrame:
-    """Groups proposed by a judge (a stated set of orders naming two suppliers each), joined by shared
-    names.  Its recursive SQL bounds it to that set; ``q_entity_votes_all`` takes all of lineitem."""
-    return _entity_votes(table(spark, d, "lineitem").where("l_linenumber <= 2 and l_orderkey % 97 = 0"))
+    """Groups proposed by a judge (an order names its suppliers), joined by shared names."""
+    return _entity_votes(table(spark, d, "lineitem"))
 
 
 @query()

@@ -44,12 +44,15 @@ def q_id_registry(spark: SparkSession, d: str) -> DataFrame:
     return manifest.next_ids(existing, fresh, "E", [F.col("doc_id")]).select("doc_id", "id")
 
 
-@query("WITH o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, n_chars FROM documents), a AS (SELECT source, i, n_chars AS h FROM o WHERE i % 4 <> 3), b AS (SELECT source, i, n_chars + CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END AS h FROM o WHERE i % 3 <> 2)\nSELECT coalesce(a.source, b.source) AS source, coalesce(a.i, b.i)::BIGINT AS i, CASE WHEN a.i IS NULL THEN 'new' WHEN b.i IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.source = b.source AND a.i = b.i")
+@query("""WITH o AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, n_chars FROM documents), a AS (SELECT source, i, n_chars AS h FROM o WHERE i % 4 <> 3), b AS (SELECT source, i, n_chars + CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END AS h FROM o WHERE i % 3 <> 2),
+u AS (SELECT coalesce(a.source, b.source) AS source, coalesce(a.i, b.i) AS i, CASE WHEN a.i IS NULL THEN 'new' WHEN b.i IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.source = b.source AND a.i = b.i),
+k AS (SELECT *, (row_number() OVER (PARTITION BY status = 'new' ORDER BY regexp_extract(source, '^\\D+'), CAST(regexp_extract(source, '\\d+$') AS BIGINT), i) + (SELECT max(i) FROM a))::VARCHAR AS no FROM u)
+SELECT CASE WHEN status = 'new' THEN 'S-' || lpad(no, greatest(4, length(no))::INTEGER, '0') ELSE 'S-' || source || '-' || i END AS id, source, i::BIGINT AS i, status FROM k""")
 def q_scene_reconcile(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("source", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("index"), F.col("n_chars").alias("hash"))
     old = rows.where("index % 4 <> 3").select(F.concat_ws("-", F.lit("S"), "source", "index").alias("id"), "source", "index", "hash", F.lit(False).alias("removed"))
     new = rows.where("index % 3 <> 2").withColumn("hash", F.col("hash") + (F.col("index") % 5 == 0).cast("long"))
-    return manifest.reconcile_scenes(old, new).select("source", F.col("index").alias("i"), "status")
+    return manifest.reconcile_scenes(old, new).select("id", "source", F.col("index").alias("i"), "status")
 
 
 @query("SELECT count(*) FILTER (quality = 1 AND n_chars >= 300)::BIGINT AS tp, count(*) FILTER (quality <> 1 AND n_chars >= 300)::BIGINT AS fp, count(*) FILTER (quality = 1 AND n_chars < 300)::BIGINT AS fn, round(count(*) FILTER (quality = 1 AND n_chars >= 300) / count(*) FILTER (n_chars >= 300), 6) AS precision, round(count(*) FILTER (quality = 1 AND n_chars >= 300) / count(*) FILTER (quality = 1), 6) AS recall FROM documents JOIN labels USING (doc_id)")
@@ -146,18 +149,27 @@ def _cards(spark: SparkSession, d: str) -> DataFrame:
     return cards.coerce(rows.withColumns(blank))
 
 
-@query("SELECT doc_id AS id, 1::BIGINT AS names, 1::BIGINT AS refs FROM documents")
+# What the cards above must become: words as persons, Nobody where no text names it, the quote's key, its length.
+_KEY = "regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_CARDS = f"""o AS (SELECT doc_id, text, regexp_extract_all(text, '\\b[A-Z][a-z]{{3,}}') AS w FROM documents),
+f AS (SELECT doc_id, text, list_filter(w, lambda x, i: list_position(w, x) = i)[1:5] AS words FROM o),
+c AS (SELECT *, contains({_KEY.format(x="text")}, 'nobody') AS named, length({_KEY.format(x="substr(text, 1, 12)")}) AS q FROM f)"""
+
+
+@query(f"WITH {_CARDS} SELECT doc_id AS id, (len(words) + CASE WHEN named THEN 1 ELSE 0 END)::BIGINT AS people, CASE WHEN q >= 4 AND len(words) > 0 THEN 2 ELSE 0 END::BIGINT AS facts, CASE WHEN q >= 4 AND len(words) > 0 THEN '年龄' ELSE '' END AS attribute, CASE WHEN named THEN '' ELSE 'Nobody' END AS names, 1::BIGINT AS refs FROM c")
 def q_card_clean(spark: SparkSession, d: str) -> DataFrame:
     out = cards.clean(_cards(spark, d))
-    return out.select("id", F.size("dropped.names").cast("long").alias("names"), F.size("dropped.refs").cast("long").alias("refs"))
+    first = F.coalesce(F.get("facts", 0)["attribute"], F.lit(""))
+    return out.select("id", F.size("characters").cast("long").alias("people"), F.size("facts").cast("long").alias("facts"), first.alias("attribute"), F.array_join("dropped.names", ",").alias("names"), F.size("dropped.refs").cast("long").alias("refs"))
 
 
-@query()
+@query(f"""WITH {_CARDS} SELECT doc_id AS id, array_to_string(list_filter([CASE WHEN trim(substr(text, 1, 40), ' ') = '' THEN 'summary is empty' END, CASE WHEN q < 4 THEN 'quotes too short: 2' END,
+CASE WHEN NOT named THEN 'names not in the text: Nobody' END, CASE WHEN len(words) = 0 THEN 'facts without a subject' END], lambda x: x IS NOT NULL), ' | ') AS faults FROM c""")
 def q_card_check(spark: SparkSession, d: str) -> DataFrame:
     return cards.check(_cards(spark, d)).select("id", F.array_join("faults", " | ").alias("faults"))
 
 
-@query()
+@query(f"WITH {_CARDS} SELECT doc_id AS id, doc_id || '｜正文｜' || coalesce(nullif(trim(regexp_replace(replace(substr(text, 1, 40), '｜', '/'), '[\\s　\xa0]+', ' ', 'g')), ''), '（无摘要）') || '｜人物：' || array_to_string(list_append(words, 'Nobody'), '、') AS line FROM c")
 def q_card_lines(spark: SparkSession, d: str) -> DataFrame:
     return cards.line(_cards(spark, d))
 

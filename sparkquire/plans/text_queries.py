@@ -43,8 +43,9 @@ def q_loose_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.length(key).cast("long").alias("n"), T.short_hash(key).alias("digest"))
 
 
-@query(f"""WITH l AS (SELECT i, {_S} AS s, line FROM (VALUES {_VALUES}) t(i, line))
-SELECT i::BIGINT AS i, s = '' AS blank,
+@query(f"""WITH r AS (SELECT -1::BIGINT AS doc_id, i::BIGINT AS i, line FROM (VALUES {_VALUES}) t(i, line) UNION ALL SELECT doc_id, i, lines[i + 1] FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+l AS (SELECT doc_id, i, {_S} AS s, line FROM r)
+SELECT doc_id, i, s = '' AS blank,
  length(regexp_replace(line, '[\\s　\xa0]+', '', 'g')) >= 3 AND translate(regexp_replace(line, '[\\s　\xa0]+', '', 'g'), '{T.SEPARATOR_CHARS}', '') = '' AS separator,
  CASE WHEN s = '' OR length(s) > 50 THEN false WHEN regexp_matches(s, '^#{{1,6}}\\s+\\S') THEN true
   WHEN regexp_matches(s, '^第[{_N}]+[{_U}]($|[{_B}])') OR regexp_matches(s, '(?i)^chapter\\s+[0-9ivxlc]+\\b') THEN NOT contains('{T.PLAIN_END}', right(s, 1))
@@ -54,9 +55,11 @@ SELECT i::BIGINT AS i, s = '' AS blank,
   WHEN regexp_matches(s, '(?i)^chapter\\s+[0-9ivxlc]+\\b') THEN 'chapter' WHEN regexp_matches(s, '^[0-9０-９]{{1,4}}[.、．]?$') OR regexp_matches(s, '^[一二三四五六七八九十百零〇]{{1,6}}$') THEN 'num' END AS level
 FROM l""")
 def q_line_classes(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(LINES)), "i long, line string")
+    """Every line of all documents, and hand-made ones of each kind."""
+    made = spark.createDataFrame([(-1, i, x) for i, x in enumerate(LINES)], "doc_id long, i long, line string")
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     line = F.col("line")
-    return rows.select("i", T.is_blank(line).alias("blank"), T.is_separator(line).alias("separator"), T.is_heading(line).alias("heading"), T.heading_level(line).alias("level"))
+    return made.union(lines.withColumn("i", F.col("i").cast("long"))).select("doc_id", "i", T.is_blank(line).alias("blank"), T.is_separator(line).alias("separator"), T.is_heading(line).alias("heading"), T.heading_level(line).alias("level"))
 
 
 @query("SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?is)<p[ >]'))::BIGINT AS paragraphs FROM pages")

@@ -103,11 +103,12 @@ _GAPS = "g AS (SELECT event_id AS gap, user_id AS thread, CASE WHEN event_id % 2
 
 
 @query(f"""WITH {_PLACED}, {_GAPS}, h AS (SELECT gap, g.thread, coalesce(a.place, b.place) AS p, CASE WHEN a.place IS NOT NULL THEN 2 ELSE 0 END AS side FROM g LEFT JOIN pl a ON a.scene = aft LEFT JOIN pl b ON b.scene = bef WHERE g.thread % 5 <> 0),
-i AS (SELECT 'scene' AS type, scene AS ref, thread, place AS p, 1 AS side, 0 AS o FROM pl UNION ALL SELECT 'hole', gap, thread, p, side, gap FROM h WHERE p IS NOT NULL)
-SELECT type, thread, row_number() OVER (ORDER BY p, side, o)::BIGINT AS place FROM i""")
+m AS (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, CASE WHEN p IS NULL THEN 0 ELSE side END, gap)::VARCHAR AS no FROM h),
+i AS (SELECT 'scene' AS type, scene::VARCHAR AS item, thread, place AS p, 1 AS side, 0 AS o FROM pl UNION ALL SELECT 'hole', 'H-' || lpad(no, greatest(3, length(no))::INTEGER, '0'), thread, p, side, gap FROM m WHERE p IS NOT NULL)
+SELECT type, item, thread, row_number() OVER (ORDER BY p, side, o)::BIGINT AS place FROM i""")
 def q_insert_holes(spark: SparkSession, d: str) -> DataFrame:
     items, _ = sequence.insert_holes(*_holes(spark, d))
-    return items.select("type", "thread", F.col("place").cast("long").alias("place"))
+    return items.select("type", "item", "thread", F.col("place").cast("long").alias("place"))
 
 
 def _holes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -137,7 +138,10 @@ def q_equal_windows(spark: SparkSession, d: str) -> DataFrame:
     return threads.equal_windows(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id", 20)
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT source, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY source) AS n, sum(n_chars + 1) OVER w AS upto, n_chars + 1 AS size FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+e AS (SELECT a.source, a.k AS s, a.n, least(a.n, greatest(max(CASE WHEN b.upto - a.upto + a.size <= 30000 THEN b.k + 1 ELSE a.k + 1 END), a.k + 11)) AS e FROM r a JOIN r b ON a.source = b.source AND b.k >= a.k GROUP BY a.source, a.k, a.n),
+w AS (SELECT source, 0 AS "window", s, e, n FROM e WHERE s = 0 UNION ALL SELECT w.source, "window" + 1, e.s, e.e, w.n FROM w JOIN e ON e.source = w.source AND e.s = w.e - 10 WHERE w.e < w.n)
+SELECT source, "window"::BIGINT AS "window", s::BIGINT AS first, e::BIGINT AS last FROM w""")
 def q_overlap_windows(spark: SparkSession, d: str) -> DataFrame:
     return folds.window_rows(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 30_000)
 
@@ -159,7 +163,10 @@ def q_budget_batches(spark: SparkSession, d: str) -> DataFrame:
     return folds.budget_batches(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 12_000, 5)
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT event_type, event_id, user_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
+f AS (SELECT event_type, event_id, user_id, k, 1 AS n, 0 AS batch FROM r WHERE k = 1 UNION ALL
+SELECT r.event_type, r.event_id, r.user_id, r.k, CASE WHEN f.n >= 20 AND r.user_id <> f.user_id THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 20 AND r.user_id <> f.user_id THEN f.batch + 1 ELSE f.batch END FROM f JOIN r ON r.event_type = f.event_type AND r.k = f.k + 1)
+SELECT event_type, event_id, batch::BIGINT AS batch FROM f""")
 def q_group_batches(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_type", "event_id", "user_id")
     return folds.group_batches(rows, "event_type", "event_id", "user_id", 20)
@@ -220,7 +227,7 @@ def q_bigram_filter(spark: SparkSession, d: str) -> DataFrame:
     return rare.groupBy("id").agg(F.count("*").alias("rare")).select("id.conv_id", "id.turn", "rare")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_orderkey AS scene, l_suppkey AS who FROM lineitem), o AS (SELECT o_orderkey AS scene, o_orderkey AS pos FROM orders), r AS (SELECT o_orderkey AS scene FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderkey % 50 = 0),
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS scene, l_suppkey AS who FROM lineitem), o AS (SELECT o_orderkey AS scene, o_orderkey AS pos FROM orders), r AS (SELECT o_orderkey AS scene FROM orders WHERE o_orderkey % 50 = 0),
 c AS (SELECT r.scene, b.scene AS candidate, count(*) AS shared FROM r JOIN p a ON a.scene = r.scene JOIN p b ON b.who = a.who AND b.scene <> a.scene GROUP BY 1, 2 HAVING count(*) >= 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY shared DESC, abs(candidate - scene), candidate) AS r FROM c)
 SELECT scene, candidate, r::BIGINT AS r FROM k WHERE r <= 8""")
@@ -229,7 +236,7 @@ def q_ref_candidates(spark: SparkSession, d: str) -> DataFrame:
     people = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scene"), F.col("l_suppkey").alias("who")).distinct()
     orders = table(spark, d, "orders")
     order = orders.select(F.col("o_orderkey").alias("scene"), F.col("o_orderkey").alias("pos"), F.lit("one").alias("line"))
-    refs = orders.where("o_orderpriority like '1%' and o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("scene"), F.lit("那件事").alias("ref"))
+    refs = orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("scene"), F.lit("那件事").alias("ref"))
     none = spark.createDataFrame([], "id long, bigram string")
     aliases = spark.createDataFrame([], "name string, who long")
     found = timeline.ref_candidates(refs, people, order, none, aliases)
@@ -247,18 +254,34 @@ def _global(spark: SparkSession, d: str) -> DataFrame:
     return _scenes(spark, d).join(_threads(spark, d), "thread").select("thread", "scene", "event_type", (F.col("offset") + F.col("t")).alias("g"))
 
 
-@query()
+_AXIS = f"""{_LINES}, p AS (SELECT DISTINCT thread, off + t AS g FROM e WHERE off IS NOT NULL AND t IS NOT NULL), s AS (SELECT thread, g, g - lag(g) OVER (PARTITION BY thread ORDER BY g) AS gap, min(g) OVER (PARTITION BY thread) AS lo, max(g) OVER (PARTITION BY thread) AS hi FROM p),
+b AS (SELECT *, sum(CASE WHEN gap > (hi - lo) * 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY thread ORDER BY g) AS block FROM s),
+k AS (SELECT thread, block, lo, hi, min(g) AS t0, max(g) AS t1 FROM b GROUP BY 1, 2, 3, 4),
+m AS (SELECT *, count(*) OVER (PARTITION BY thread) AS n, sum(t1 - t0) OVER (PARTITION BY thread) AS total FROM k),
+v AS (SELECT *, CASE WHEN n = 1 THEN 0.0::DOUBLE WHEN (n - 1) * 3.0::DOUBLE + n >= 100 THEN greatest(1.0::DOUBLE, greatest(0.0::DOUBLE, 100.0::DOUBLE - n) * 0.4::DOUBLE / (n - 1)) ELSE 3.0::DOUBLE END AS bw FROM m),
+x AS (SELECT *, 1.0::DOUBLE + CASE WHEN total > 0 THEN (t1 - t0) / total * (100.0::DOUBLE - (n - 1) * bw - n) ELSE (100.0::DOUBLE - (n - 1) * bw - n) / n END AS w, n > 1 AND (n - 1) * bw + n >= 100 AS degraded FROM v),
+y AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY thread ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) + block * bw AS l FROM x),
+axis AS (SELECT thread, block::BIGINT AS block, CASE WHEN degraded THEN lo ELSE t0 END AS t0, CASE WHEN degraded THEN hi ELSE t1 END AS t1, CASE WHEN degraded THEN 0.0::DOUBLE ELSE l END AS x0, CASE WHEN degraded OR block = n - 1 THEN 100.0::DOUBLE ELSE l + w END AS x1, degraded FROM y WHERE NOT degraded OR block = 0)"""
+
+
+@query(f"WITH {_AXIS} SELECT thread, block, round(x0, 6) AS x0, round(x1, 6) AS x1, degraded FROM axis")
 def q_axis_widths(spark: SparkSession, d: str) -> DataFrame:
     return axis.build(_global(spark, d), ["thread"], "g").select("thread", "block", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"), "degraded")
 
 
-@query()
+@query(f"""WITH {_AXIS}, z AS (SELECT e.thread, event_type, block, axis.t0 AS b0, axis.t1 AS b1, x0 AS c0, x1 AS c1, min(off + t) AS t0, max(off + t) AS t1 FROM e JOIN axis ON e.thread = axis.thread AND off + t BETWEEN axis.t0 AND axis.t1 GROUP BY ALL),
+q AS (SELECT *, CASE WHEN b0 = b1 THEN (c0 + c1) / 2 ELSE c0 + (t0 - b0) / (b1 - b0) * (c1 - c0) END AS p0, CASE WHEN b0 = b1 THEN (c0 + c1) / 2 ELSE c0 + (t1 - b0) / (b1 - b0) * (c1 - c0) END AS p1 FROM z),
+u AS (SELECT *, least(greatest(c0, (p0 + p1) / 2 - 0.3::DOUBLE), c1 - 0.6::DOUBLE) AS s FROM q)
+SELECT thread, event_type, block, t0, t1, round(CASE WHEN b0 = b1 THEN c0 WHEN p1 - p0 < 0.6::DOUBLE THEN s ELSE p0 END, 6) AS x0, round(CASE WHEN b0 = b1 THEN c1 WHEN p1 - p0 < 0.6::DOUBLE THEN s + 0.6::DOUBLE ELSE p1 END, 6) AS x1 FROM u""")
 def q_lane_segments(spark: SparkSession, d: str) -> DataFrame:
     g = _global(spark, d)
     return axis.lane_segments(g, axis.build(g, ["thread"], "g"), ["thread"], "event_type", "g").select("thread", "event_type", "block", "t0", "t1", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINES}, r AS (SELECT thread, off + t AS g, row_number() OVER (PARTITION BY thread ORDER BY off + t) AS k FROM e WHERE event_type = 'error' AND off IS NOT NULL AND t IS NOT NULL),
+f AS (SELECT thread, g, k, g AS a, 0 AS cluster FROM r WHERE k = 1 UNION ALL
+SELECT r.thread, r.g, r.k, CASE WHEN r.g - (f.a + f.g) / 2 < 24 THEN f.a ELSE r.g END, CASE WHEN r.g - (f.a + f.g) / 2 < 24 THEN f.cluster ELSE f.cluster + 1 END FROM f JOIN r ON r.thread = f.thread AND r.k = f.k + 1)
+SELECT thread, g AS position, cluster::BIGINT AS cluster, round((min(g) OVER (PARTITION BY thread, cluster) + max(g) OVER (PARTITION BY thread, cluster)) / 2, 6) AS centre FROM f""")
 def q_gap_clusters(spark: SparkSession, d: str) -> DataFrame:
     g = _global(spark, d).where("event_type = 'error' and g is not null")
     return folds.gap_clusters(g.select("thread", "g"), "thread", "g", 24.0)
