@@ -14,8 +14,11 @@ from ..operators.components import components
 from ..storage import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-META_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+#: ``canonical`` is one of rel's words, wherever it stands among them; a longer word that begins so is another.
+LINK_TAG = r"(?is)<link\b[^>]*\srel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))[^>]*>"
+META_TAG = r"(?is)<meta\b[^>]*\shttp-equiv\s*=\s*(?:\"\s*refresh\s*\"|'\s*refresh\s*'|refresh(?=[\s/>]))[^>]*>"
+#: What a browser doesn't read as tags.
+UNREAD = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
 HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 REFRESH = r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)"
 
@@ -75,11 +78,11 @@ def absolute(target: Column, base: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b) nodes that a page names equal: every canonical link and every meta refresh."""
-    body = F.col(html)
+    """(a, b) nodes that a page names equal: every canonical link and every meta refresh outside comments and scripts."""
+    body = F.regexp_replace(F.col(html), UNREAD, "")
     links = F.transform(F.regexp_extract_all(body, F.lit(LINK_TAG), 0), lambda tag: F.concat(F.regexp_extract(tag, HREF, 1), F.regexp_extract(tag, HREF, 2), F.regexp_extract(tag, HREF, 3)))
     turns = F.transform(F.regexp_extract_all(body, F.lit(META_TAG), 0), lambda tag: F.regexp_extract(tag, REFRESH, 1))
-    some = F.lower(body).contains("canonical") | F.lower(body).contains("http-equiv")  # before any pattern runs
+    some = F.lower(F.col(html)).contains("canonical") | F.lower(F.col(html)).contains("http-equiv")  # before any pattern runs
     named = pages.where(F.col(url).isNotNull() & some).select(F.col(url).alias("base"), F.explode(F.concat(links, turns)).alias("to"))
     return named.select(node_of(F.col("base")).alias("a"), node_of(absolute(F.col("to"), F.col("base"))).alias("b")).where("a is not null and b is not null and a <> b")
 

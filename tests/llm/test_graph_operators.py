@@ -221,3 +221,17 @@ def test_near_copy_stage_with_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
     assert sorted((r.doc_id is None, r.doc_id) for r in out.collect()) == [(False, 5), (False, 7), (False, 8), (True, None)]
+
+
+def test_links_by_words_of_rel_outside_comments(spark):
+    """Which tags name an alias, and that a block reaches a page through one."""
+    tags = {
+        '<link rel="alternate canonical" href="http://x.net/fr/a">': True, "<LINK HREF='http://x.net/fr/a' REL='canonical'>": True, "<link rel=canonical href=http://x.net/fr/a>": True,
+        '<link rel="canonical-x" href="http://x.net/fr/a">': False, '<!-- <link rel="canonical" href="http://x.net/fr/a"> -->': False, "<script>'<link rel=\"canonical\" href=\"http://x.net/fr/a\">'</script>": False,
+        '<meta http-equiv="refresh" content="0; url=http://x.net/fr/a">': True, '<link data-rel="canonical" href="http://x.net/fr/a">': False,
+    }
+    pages = spark.createDataFrame([(i, f"http://site{i}.org/", f"<html>{t}</html>") for i, t in enumerate(tags)], "page_id long, url string, html string")
+    from sparkquire.llm import queries, url_filter
+
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, queries.URL_RULES).collect()}
+    assert got == {i: "block" if named else "allow" for i, named in enumerate(tags.values())}
