@@ -155,10 +155,8 @@ def q_entity_votes(spark: SparkSession, d: str) -> DataFrame:
     return _entity_votes(table(spark, d, "lineitem"))
 
 
-@query()
-def q_entity_votes_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over every order and all of its lines; a test holds it against a brute-force version."""
-    return _entity_votes(table(spark, d, "lineitem"))
+#: Both cover every order and all of its lines.
+q_entity_votes_all = q_entity_votes
 
 
 @query("""WITH p AS (SELECT conv_id, turn, regexp_replace(text, '[\\s\\p{P}\\p{S}的了着过之其此]', '', 'g') AS k FROM conversations WHERE role = 'user'), r AS (SELECT DISTINCT regexp_replace(text, '[\\s\\p{P}\\p{S}的了着过之其此]', '', 'g') AS k FROM conversations WHERE role = 'assistant')
