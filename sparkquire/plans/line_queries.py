@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import archive, cards, contradictions, dedup, entities, evaluation, facts, rendering, sequence, state, threads, timeline
+from ..operators import archive, cards, contradictions, dedup, entities, evaluation, facts, rendering, sequence, state, steps, threads, timeline
 from ..params import DEFAULTS
 from .registry import query, table
 from .thread_queries import _LINES, _PLACED, _board, _placed, _scenes, _threads
@@ -261,3 +261,10 @@ def q_registry_ids(spark: SparkSession, d: str) -> DataFrame:
     old = groups.limit(0).select("subject", "attribute", "sig", F.lit("").alias("verdict"), F.lit("").alias("verdict_sig"), F.lit(False).alias("verdict_stale"), F.lit(False).alias("orphan"))
     judged = groups.select("subject", "attribute", F.lit(None).cast("string").alias("status"), F.lit("").alias("reason"))
     return contradictions.build_result(groups, judged, old, registry)[0].where("subject % 2 = 0").select("subject", "attribute", "id")
+
+
+@query()
+def q_book_steps(spark: SparkSession, d: str) -> DataFrame:
+    """All steps over all documents as one book, from import to export: the rows that each leaves."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return steps.summary(steps.run(docs))
