@@ -121,6 +121,16 @@ def safe_name(s: Column) -> Column:
     return F.btrim(F.btrim(F.btrim(F.regexp_replace(s, r'[<>:"/\\|?*\x00-\x1f]', "_")), F.lit(".")))
 
 
+def now_iso() -> Column:
+    """The query's time in the session's zone, to the second; never part of what is compared."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def shortened(s: Column, most: int) -> Column:
+    """A long text's beginning and an ellipsis, for fixtures."""
+    return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("…"))).otherwise(s)
+
+
 def short_hash(s: Column, digits: int = 16) -> Column:
     return F.substring(F.sha2(s.cast("binary"), 256), 1, digits)
 

@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch of texts; Spark's own default is 64 MB, of which a task holds several at once.
+BATCH_BYTES = 4 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for tasks that send texts to Python, where the session has Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m").removesuffix("b") in ("64m", str(64 << 20)):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept as a reliable checkpoint: an executor's loss
     afterwards costs a read, and Spark's cleaner removes the files of dropped frames."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkquire.functions import text as T
-from sparkquire.operators import dedup, facts, numbering, sequence, threads
+from sparkquire.operators import dedup, facts, judging, numbering, sequence, threads
 from sparkquire.sinks import export
 from sparkquire.sources import manifest, readers
 
@@ -92,3 +92,18 @@ def test_hand_broken_lines_become_paragraphs():
     assert export.paragraphs("一行。\n二行。") == ["一行。", "二行。"]
     assert export.paragraphs("　　第一段的第一行\n第二行\n第三行。\n　　第二段。") == ["第一段的第一行第二行第三行。", "第二段。"]
     assert export.paragraphs(" \n\n") == []
+
+
+def test_paths_stay_within_their_folder(tmp_path):
+    assert manifest.ensure_within(str(tmp_path), "a/../b.txt") == tmp_path.resolve() / "b.txt"
+    assert manifest.ensure_within(str(tmp_path), ".") == tmp_path.resolve()
+    for bad in ("../x", "/etc/passwd", "a/../../x"):
+        with pytest.raises(ValueError):
+            manifest.ensure_within(str(tmp_path), bad)
+
+
+def test_small_rules(spark):
+    row = spark.createDataFrame([("abcdef", "ab")], "a string, b string").select(T.now_iso().alias("now"), T.shortened(F.col("a"), 3).alias("x"), T.shortened(F.col("b"), 3).alias("y")).first()
+    assert len(row.now) == 19 and row.now[10] == "T" and row.x == "abc…" and row.y == "ab"
+    plain, refused = ValueError("one"), judging.Refused("no key")
+    assert judging.pick_error([plain, refused]) is refused and judging.pick_error([plain, KeyError("two")]) is plain and judging.pick_error([]) is None
