@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import format_number, one_line
+from .numbering import numbered
 
 NOTHING = "（没有）"
 
@@ -74,7 +75,7 @@ def reading_order(members: DataFrame, ranks: DataFrame | None, cards: DataFrame)
     """(scene, place) of scenes with cards: by the global order if there is one, else line after line."""
     rows = ranks.select("scene", F.struct(F.col("rank").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("at")) if ranks is not None else members.select("scene", F.struct(F.col("line_no").cast("long").alias("a"), F.col("pos").cast("long").alias("b")).alias("at"))
     first = rows.groupBy("scene").agg(F.min("at").alias("at")).join(cards.select("scene"), "scene", "left_semi")
-    return first.select("scene", F.row_number().over(W.orderBy("at")).alias("place"))
+    return numbered(first, ["at"], "place").select("scene", "place")
 
 
 def find_snippets(text: str, names: list[str], width: int = 40, most: int = 3) -> list[str]:
