@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import give_back
-from ..storage import cut, shared_dir, store
+from ..storage import cut, modest_batches, shared_dir, store
 
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 32  # the longest word in the lexicon
@@ -415,6 +415,7 @@ def encoder(name: str, lexicon: str | None) -> Encoder:
 
 def ship(spark, uri: str) -> str:
     """Has every executor fetch a file from the driver or a store; its name there.  Again with the same uri does nothing."""
+    modest_batches(spark)
     spark.sparkContext.addFile(uri)
     return os.path.basename(uri)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .bytetext import give_back, mix, shingle_sets
 from .sieve import Sieve
 from ..operators.components import components
-from ..storage import cut, release, shared_dir, store
+from ..storage import cut, modest_batches, release, shared_dir, store
 
 BAND_RATIO = 1.5
 BLOCK_SETS = 512
@@ -311,6 +311,7 @@ def _rooted(docs: DataFrame, num: int, den: int, words: int, doc_id: str, text:
     """(doc_id, rid, n, cid, root) of every row: rid a hash of id and text, root the same for all rows
     that links join, null for a row without words."""
     spark = docs.sparkSession
+    modest_batches(spark)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     rows = cut(base.select("doc_id", "rid", "text").mapInArrow(_class_rows(num, den, words), f"doc_id {kind}, rid long, n long, c1 long, cid binary, sigs array<long>, signs boolean"))

@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import give_back
-from ..storage import cut
+from ..storage import cut, modest_batches
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -45,6 +45,7 @@ def over_texts(make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str) ->
         del work
         give_back()
 
+    modest_batches(SparkSession.active())
     return F.arrow_udf(run, kind)
 
 
