@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries whose rows SQL can give, on the same tables.
 
-Those of op1, op4, op6 and op10 hold a trained model or a tokenizer; tests check them by held-out
+Those of op1, op4, op6 and op10 hold a trained model or a tokenizer, that of op13 random walks; tests check them by held-out
 accuracy or against the tokenizer library instead.
 """
 
@@ -63,5 +63,30 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
 CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM h"""
 
 
+def _op12(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Plain Lloyd rounds in integers, one chain of tables a round."""
+    distances = "list_transform(g, lambda y: list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT)"
+    out = f"""WITH e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda y: floor(4096 * y::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+v AS MATERIALIZED (SELECT vec_id, p, e[p * (len(e) // {parts}) + 1 : (p + 1) * (len(e) // {parts})] AS x FROM e, range({parts}) r(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x AS c FROM v WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT {entries}))"""
+    for r in range(rounds + 1):
+        out += f""",
+g{r} AS MATERIALIZED (SELECT p, list(c ORDER BY k) AS g FROM c{r} GROUP BY p),
+d{r} AS MATERIALIZED (SELECT vec_id, p, x, {distances} AS d FROM v JOIN g{r} USING (p)),
+a{r} AS MATERIALIZED (SELECT vec_id, p, x, list_position(d, list_min(d)) - 1 AS k, list_min(d) AS least FROM d{r})"""
+        if r < rounds:
+            out += f""",
+s{r} AS (SELECT p, k, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, (SELECT max(len(x)) FROM v) + 1) q(i) GROUP BY ALL),
+m{r} AS (SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT p, k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (p, k))"""
+    return out + f""",
+t AS (SELECT vec_id, string_agg(lower(printf('%02x', k)), '' ORDER BY p) AS code, sum(least)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+b AS (SELECT string_agg(array_to_string(c, ','), ',' ORDER BY p, k) AS b FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha256(b) AS codebooks_sha256 FROM t JOIN e USING (vec_id), b"""
+
+
+OP12 = _op12()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2, "op3_url_filter": OP3, "op5_embedding_dedup": OP5, "op7_decontamination": OP7, "op8_jaccard_join": OP8, "op9_warc": OP9}
+    return {"op2_sharding": OP2, "op3_url_filter": OP3, "op5_embedding_dedup": OP5, "op7_decontamination": OP7, "op8_jaccard_join": OP8, "op9_warc": OP9, "op12_vector_codes": OP12}
