@@ -63,6 +63,19 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
 CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM h"""
 
 
+OP11 = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format(t="coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM d),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g, count(*)::HUGEINT AS f FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, range(1, 4) r(k) WHERE len(w) >= k) GROUP BY ALL HAVING f >= 10),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w, unnest(range(1, k)) AS j FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.g, a, j, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score FROM c JOIN f x ON x.lang = c.lang AND x.g = array_to_string(w[:j], ' ') JOIN f y ON y.lang = c.lang AND y.g = array_to_string(w[j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+o AS (SELECT lang, array_to_string(w[2:], ' ') AS g, f FROM (SELECT lang, string_split(g, ' ') AS w, f FROM f WHERE k = 3) UNION ALL SELECT lang, array_to_string(w[:2], ' '), f FROM (SELECT lang, string_split(g, ' ') AS w, f FROM f WHERE k = 3)),
+m AS (SELECT lang, g, max(f) AS f FROM o GROUP BY ALL),
+q AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank FROM b LEFT JOIN m ON m.lang = b.lang AND m.g = b.g WHERE coalesce(100 * m.f < 50 * a, true))
+SELECT lang, rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM q JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def _op12(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
     """Plain Lloyd rounds in integers, one chain of tables a round."""
     distances = "list_transform(g, lambda y: list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT)"
@@ -89,4 +102,4 @@ OP12 = _op12()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2, "op3_url_filter": OP3, "op5_embedding_dedup": OP5, "op7_decontamination": OP7, "op8_jaccard_join": OP8, "op9_warc": OP9, "op12_vector_codes": OP12}
+    return {"op2_sharding": OP2, "op3_url_filter": OP3, "op5_embedding_dedup": OP5, "op7_decontamination": OP7, "op8_jaccard_join": OP8, "op9_warc": OP9, "op11_collocations": OP11, "op12_vector_codes": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, edit_embedding, embedding_join, jaccard_join, language_id, quality, sharding, toxicity, url_filter, vector_codes, warc_zip
+from . import bpe, collocations, decontaminate, edit_embedding, embedding_join, jaccard_join, language_id, quality, sharding, toxicity, url_filter, vector_codes, warc_zip
 
 SHARDS = 8
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), most=3, least=10, share=50, top=2000)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
 
@@ -70,7 +74,7 @@ def op13_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_url_filter, op4_bpe, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_jaccard_join, op9_warc, op10_toxicity, op12_vector_codes, op13_edit_embedding)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_url_filter, op4_bpe, op5_embedding_dedup, op6_language_id, op7_decontamination, op8_jaccard_join, op9_warc, op10_toxicity, op11_collocations, op12_vector_codes, op13_edit_embedding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""A bit set of fixed size over 64-bit keys: rows that it clears need no shuffle.
+"""A bit set over 64-bit keys, sized by their number: rows that it clears need no shuffle.
 
 A key in the set always passes; another one passes by chance.  What passes is joined exactly, so
 the size of the set decides how much is shuffled, never the result.
@@ -12,21 +12,25 @@ from pyspark.sql import functions as F
 
 from ..storage import cut
 
-#: 1 MB, whatever the input; two bits a key.
-BITS = 1 << 23
+#: Two bits a key.  The set has BITS at least (1 MB) and 8 to 16 times as many bits as keys, so that at most one foreign row
+#: in 20 passes, up to MOST_BITS (64 MB, which is broadcast).  Beyond 67 million keys more pass, and are joined by key.
+BITS, MOST_BITS = 1 << 23, 1 << 29
 
 
 class Sieve:
-    """Built from the column ``key`` (long, hashes) of a DataFrame: at most BITS / 64 rows reach the driver.
-    Tasks get it by broadcast (``passes``), expressions by a subquery of one row (``may``)."""
+    """Built from the column ``key`` (long, hashes, different ones) of a cheap DataFrame: at most MOST_BITS / 64 numbers reach
+    the driver.  Tasks get it by broadcast (``passes``), expressions by a subquery of one row (``may``)."""
 
     def __init__(self, keys: DataFrame):
+        size = BITS
+        while size < min(8 * keys.count(), MOST_BITS):
+            size *= 2
         places = F.array(F.col("key"), F.shiftright("key", 32)).alias("at")
-        at = keys.select(F.explode(F.array_distinct(F.transform(places, lambda x: x.bitwiseAND(F.lit(BITS - 1))))).alias("at"))
+        at = keys.select(F.explode(F.array_distinct(F.transform(places, lambda x: x.bitwiseAND(F.lit(size - 1))))).alias("at"))
         words = at.select(F.shiftright("at", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b"))
-        bits = np.zeros(BITS // 64, np.uint64)
-        for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-            bits[r.w] = r.b & (2**64 - 1)
+        found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        bits = np.zeros(size // 64, np.uint64)
+        bits[np.asarray(found["w"])] = np.asarray(found["b"]).view(np.uint64)
         self.spark = keys.sparkSession
         self.shared = self.spark.sparkContext.broadcast(bits)
 

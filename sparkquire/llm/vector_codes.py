@@ -87,13 +87,13 @@ class Books:
         return code, upper, lower
 
 
-def _packed(scale: int, dim: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packed(scale: int, dim: int, parts: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (vec_id, label, vector) as blocks: ids and labels as lists, integers in the least type that holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, len(whole), BLOCK_ROWS):
-                batch = whole.slice(a, BLOCK_ROWS)
+            for a in range(0, len(whole), block):
+                batch = whole.slice(a, block)
                 n = len(batch)
                 x = np.floor(scale * np.asarray(batch["vector"].flatten()).reshape(n, dim))
                 top = np.abs(x).max(initial=0)
@@ -209,7 +209,7 @@ def vector_codes(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds:
     seeds = [r.vector for r in kept.orderBy(*order).limit(entries).collect()]
     book = np.floor(scale * np.array(seeds)).astype(np.int64).reshape(len(seeds), parts, dim // parts).transpose(1, 0, 2)
     schema = f"ids array<{id_kind}>, labels array<{label_kind}>, size long, x binary, code binary, upper binary, lower binary"
-    state, sums, moved = spread(kept).mapInArrow(_packed(scale, dim, parts), schema), 0, np.zeros(book.shape[:2], np.float32)
+    state, sums, moved = spread(kept).mapInArrow(_packed(scale, dim, parts, BLOCK_ROWS), schema), 0, np.zeros(book.shape[:2], np.float32)
     context = vectors.sparkSession.sparkContext
     for _ in range(rounds):
         state = cut(state.mapInArrow(_round(context.broadcast(Books(book, moved)), dim), f"{schema}, changed array<long>"))
