@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,66 +108,94 @@ class Walk:
             self.step = t
         return self
 
-    def fingerprint(self) -> str:
-        """SLOTS hex digits; of an empty text none."""
-        return "".join("0123456789abcdef"[d] for d in self.digits) if self.step else ""
+    def fingerprint(self) -> bytes:
+        """SLOTS digits of four bits; of an empty text none."""
+        return (self.digits[::2] << 4 | self.digits[1::2]).tobytes() if self.step else b""
 
 
 def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal digits, less what chance makes equal; rows of digits."""
-    return np.maximum(0.0, (16 * (a == b).mean(axis=-1) - 1) / 15)
+    """Share of equal digits, less what chance makes equal; rows of packed digits."""
+    other = a ^ b
+    same = ((other & 15) == 0).mean(axis=-1) + ((other >> 4) == 0).mean(axis=-1)
+    return np.maximum(0.0, (8 * same - 1) / 15)
 
 
-def _as_digits(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A row of digits for each fingerprint, and which of them are empty."""
-    some = [x or "" for x in column.to_pylist()]
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A row of bytes for each fingerprint, and which of them are empty or null."""
+    some = [x or b"" for x in column.to_pylist()]
     empty = np.array([not x for x in some], bool)
-    return np.frombuffer("".join(x or "x" * SLOTS for x in some).encode(), np.uint8).reshape(-1, SLOTS), empty
+    return np.frombuffer(b"".join(x or bytes(SLOTS // 2) for x in some), np.uint8).reshape(-1, SLOTS // 2), empty
+
+
+def _alike(x: pa.Array, y: pa.Array) -> np.ndarray:
+    (x, none_x), (y, none_y) = _packed(x), _packed(y)
+    return np.where(none_x | none_y, (none_x & none_y).astype(float), _likeness(x, y))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two fingerprints, 0 to 1: equal ones 1 (empty ones too), an empty and another one 0; a null counts as empty."""
+    """Of two fingerprints (binary), 0 to 1: equal ones 1 (empty ones too), an empty and another one 0; a null counts as empty."""
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in batches:
-            (x, none_x), (y, none_y) = _as_digits(x), _as_digits(y)
-            yield pa.array(np.where(none_x | none_y, (none_x & none_y).astype(float), _likeness(x, y)))
+            yield pa.array(_alike(x, y))
 
     return F.arrow_udf(run, "double")(a, b)
 
 
+def _pressed(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Texts as zstd frames: less than two thirds of what Spark's own compression makes of them in a shuffle."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    for texts in column:
+        yield pa.array([press(x.as_py().encode()) for x in texts], pa.binary())
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first ``k`` code points of each packed text, packed."""
+    press, open_ = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        heads = [press(open_(x.as_py()).decode()[: k.as_py()].encode()) for x, k in zip(batch["body"], batch["k"])]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(heads, pa.binary())], [*batch.schema.names[:4], "head"])
+    give_back()
+
+
 def _walked(share: int):
-    """(.., text, head) to fingerprints of the text and of the text whose last 1/share is replaced by ``head``."""
+    """(four key columns, body, head) to fingerprints of the text and of the text whose last 1/share is replaced by the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             size, prints, edited, digests = [], [], [], []
-            for text, head in zip(batch["text"], batch["head"]):
-                text, head = text.as_py(), head.as_py() or ""
+            for text, head in zip(batch["body"], batch["head"]):
+                text, head = open_(text.as_py()).decode(), open_(head.as_py()).decode()
                 keep = len(text) - len(text) // share
                 kept = Walk().over(text[:keep])
                 edited.append(kept.copy().over(head).fingerprint())
-                digests.append(hashlib.sha256((text[:keep] + head).encode()).hexdigest())
+                digests.append(hashlib.sha256((text[:keep] + head).encode()).digest())
                 prints.append(kept.over(text[keep:]).fingerprint())
                 size.append(len(text))
-            names = [c for c in batch.schema.names if c not in ("text", "head")]
-            made = [pa.array(size, pa.int64()), pa.array(prints, pa.string()), pa.array(edited, pa.string()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *made], [*names, "n_chars", "fingerprint", "edited_fingerprint", "edited_sha256"])
+            prints, edited = pa.array(prints, pa.binary()), pa.array(edited, pa.binary())
+            made = [pa.array(size, pa.int64()), pa.array(digests, pa.binary()), prints, edited, pa.array(_alike(prints, edited))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], [*batch.schema.names[:4], "n_chars", "digest", "fingerprint", "edited", "near_edited"])
         give_back()
 
     return run
 
 
+def _hex(column: str) -> Column:
+    return F.lower(F.hex(column))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) for every row; a null text counts as empty and has an empty fingerprint.  Equal
+    """(doc_id, fingerprint) for every row: SLOTS hex digits, of an empty or null text none.  Equal
     texts have equal fingerprints, whatever the ids; other columns are not read."""
 
     def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in column:
-            yield pa.array([Walk().over(x.as_py() or "").fingerprint() for x in texts], pa.string())
+            yield pa.array([Walk().over(x.as_py() or "").fingerprint() for x in texts], pa.binary())
         give_back()
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.arrow_udf(run, "string")(F.col(text)).alias("fingerprint"))
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.arrow_udf(run, "binary")(F.col(text)).alias("fingerprint"))
+    return out.withColumn("fingerprint", _hex("fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame, share: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,33 +204,38 @@ def edited_fingerprints(docs: DataFrame, share: int = 3, doc_id: str = "doc_id",
     The edited text: of n code points the last floor(n / share) give way to the first as many (or all) of the
     next document's text, by descending id; after the last document comes the first.  A document here is
     a pair of id and text: rows that repeat one have the same next one, and texts of one id follow each other by their SHA-256;
-    a null id comes last.  A lone document is its own next.  Null texts count as empty; an empty text has an empty fingerprint, which is like
-    another empty one (1) and unlike all others (0).
+    a null id comes last.  A lone document is its own next.  Null texts count as empty; an empty text has an empty fingerprint,
+    which is like another empty one (1) and unlike all others (0).
 
-    Texts are shuffled once, by id and hash; that exchange serves both a document's own row and the beginning that the
-    document before it takes.  Numbers, hashes and fingerprints are all else that moves.
+    Texts are shuffled once, compressed, by id and hash; that exchange serves both a document's own row and the beginning that
+    the document before it takes.  Numbers, hashes and fingerprints are all else that moves.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.unhex(F.sha2("text", 256)))
+    rows = rows.withColumn("h", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     light = rows.groupBy("doc_id", "h").agg(F.max(F.char_length("text")).alias("n"), F.count("*").alias("copies"))
     known = numbered(light, [F.col("doc_id").desc_nulls_last(), F.col("h")], "no")
     total, repeated = known.agg(F.count("*"), F.coalesce(F.max("copies"), F.lit(0)) > 1).first()
     after = known.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.when(F.col("no") == 1, F.lit(total)).otherwise(F.col("no") - 1).alias("no"))
-    links = known.join(after, "no").select("doc_id", "h", F.floor(F.col("n") / share).cast("int").alias("k"), "next_id", "next_h")
+    links = known.join(after, "no").select("doc_id", "h", F.floor(F.col("n") / share).alias("k"), "next_id", "next_h")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    keys = f"doc_id {kind}, h binary, next_id {kind}, next_h binary"
+    # both joins below read one exchange of these rows; rows of one key are copies, and a join may split them
+    rows = rows.select("doc_id", "h", F.arrow_udf(_pressed, "binary")(F.col("text")).alias("body"))
     a, b = links.alias("a"), rows.alias("b")
     heads = a.join(b, F.col("a.next_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.next_h") == F.col("b.h")))
-    heads = heads.select("a.doc_id", "a.h", "next_id", "next_h", F.expr("left(b.text, a.k)").alias("head"))
+    heads = heads.select("a.doc_id", "a.h", "next_id", "next_h", "body", "k").mapInArrow(_heads, f"{keys}, head binary")
     if repeated:
         heads = heads.distinct()
     own = rows.alias("a").join(heads.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")))
-    own = own.select("a.doc_id", "a.h", "next_id", "next_h", "a.text", "head")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    made = cut(own.mapInArrow(_walked(share), f"doc_id {kind}, h binary, next_id {kind}, next_h binary, n_chars long, fingerprint string, edited_fingerprint string, edited_sha256 string"))
-    prints = made.select(F.col("doc_id").alias("other"), F.col("h").alias("other_h"), F.col("fingerprint").alias("next_fingerprint")).distinct()
+    own = own.select("a.doc_id", "a.h", "next_id", "next_h", "body", "head")
+    made = cut(own.mapInArrow(_walked(share), f"{keys}, n_chars long, digest binary, fingerprint binary, edited binary, near_edited double"))
+    prints = made.select(F.col("doc_id").alias("other"), F.col("h").alias("other_h"), F.col("fingerprint").alias("after"))
+    if repeated:
+        prints = prints.dropDuplicates(["other", "other_h"])
     out = made.join(prints, F.col("next_id").eqNullSafe(F.col("other")) & (F.col("next_h") == F.col("other_h")))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "doc_id", "n_chars", _hex("digest").alias("edited_sha256"), _hex("fingerprint").alias("fingerprint"), _hex("edited").alias("edited_fingerprint"),
+        "near_edited", likeness(F.col("fingerprint"), F.col("after")).alias("near_next"),
     )
 
 
@@ -210,8 +244,8 @@ def _forest(least: float):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        names, side = table["fingerprint"].combine_chunks(), np.asarray(table["own"].combine_chunks())
-        digits, _ = _as_digits(names)
+        names, side = pa.array([bytes.fromhex(x) for x in table["fingerprint"].to_pylist()], pa.binary()), np.asarray(table["own"].combine_chunks())
+        digits, _ = _packed(names)
         left = np.flatnonzero(side == i)
         right = left if i == j else np.flatnonzero(side == j)
         root, a, b = np.arange(len(side)), [], []
@@ -222,7 +256,8 @@ def _forest(least: float):
                     a.append(x)
                     b.append(y)
                     root[root == root[y]] = root[x]
-        return pa.table({"a": names.take(pa.array(a, pa.int64())), "b": names.take(pa.array(b, pa.int64()))})
+        whole = table["fingerprint"].combine_chunks()
+        return pa.table({"a": whole.take(pa.array(a, pa.int64())), "b": whole.take(pa.array(b, pa.int64()))})
 
     return run
 

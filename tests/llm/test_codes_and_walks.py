@@ -139,7 +139,7 @@ def test_no_documents_and_one(spark):
 def test_small_edits_stay_near_and_other_texts_far():
     rng = random.Random(2)
     text = lambda n: "".join(rng.choices("abcdefghij klmno", k=n))
-    mark = lambda t: edit_embedding.Walk().over(t).fingerprint()
+    mark = lambda t: edit_embedding.Walk().over(t).fingerprint().hex()
     near, far = [], []
     for _ in range(30):
         t = text(3000)
