@@ -23,7 +23,9 @@ from ..storage import cut
 SAMPLE_ROWS = 2_000
 ORDERS = (2, 3)
 BUCKETS = 1 << 16
-SLICE_BYTES = 400_000  # a longer text comes in parts; n-grams over a cut are left out
+#: A longer text comes in parts of so many bytes, cut anywhere; the n-grams over a cut are counted with the part behind it.
+SLICE_BYTES = 400_000
+ANYWHERE = np.ones(256, bool)
 #: Sharpness of a bit's margin, and the gap of the two best scores below which a text is ambiguous.
 SHARPNESS, GAP = 8.0, 0.2
 MOST_EXHAUSTIVE = 6
@@ -47,9 +49,16 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
 
 def _grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
     """(first row, offsets, bucket of the n-gram at each byte for each of ORDERS) of pieces of
-    the lower-cased texts; BUCKETS where an n-gram would run over its text's end."""
-    for p in pieces(pc.utf8_lower(column.cast(pa.large_string())), most=SLICE_BYTES):
-        own, part = p.offsets, p.body
+    the lower-cased texts; BUCKETS where an n-gram would run over its text's end.  A later part of a text begins
+    with the last bytes of the one before, from which only n-grams that reach into it count."""
+    tail, back = np.zeros(0, np.uint8), max(ORDERS) - 1
+    for p in pieces(pc.utf8_lower(column.cast(pa.large_string())), ANYWHERE, SLICE_BYTES):
+        own, part, held = p.offsets, p.body, 0
+        if p.part:
+            part, held = np.concatenate([tail, part]), len(tail)
+            own = np.array([0, len(part)])
+        if p.more:
+            tail = part[-back:]
         left = np.repeat(own[1:], np.diff(own)) - np.arange(len(part))
         code, found = part.astype(np.uint64), []
         for n in range(1, max(ORDERS) + 1):
@@ -59,7 +68,9 @@ def _grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]
                 code = code * np.uint64(257) + nxt + np.uint64(1)
             if n in ORDERS:
                 bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-                found.append(np.where(left >= n, bucket, BUCKETS))
+                bucket[left < n] = BUCKETS
+                bucket[: max(0, held - n + 1)] = BUCKETS
+                found.append(bucket)
         yield p.first, own, found
 
 

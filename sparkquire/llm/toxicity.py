@@ -78,6 +78,10 @@ class Vocabulary:
             out[first : first + rows] += np.bincount(row[hit] * n + at[hit], minlength=rows * n).reshape(rows, n)
         return out
 
+    def strengths(self, column: pa.Array) -> np.ndarray:
+        """What the chain is fitted on and scores: the logarithms of 1 + counts, in half precision."""
+        return np.log1p(self.counts(column)).astype(np.float16)
+
 
 @dataclass
 class Chain:
@@ -87,7 +91,7 @@ class Chain:
     def probabilities(self, column: pa.Array) -> np.ndarray:
         out = np.zeros((len(column), len(self.weights)))
         for a in range(0, len(column), TEXTS_AT_ONCE):
-            x = np.log1p(self.vocabulary.counts(column.slice(a, TEXTS_AT_ONCE)))
+            x = self.vocabulary.strengths(column.slice(a, TEXTS_AT_ONCE)).astype(np.float32)
             for k, w in enumerate(self.weights):
                 out[a : a + TEXTS_AT_ONCE, k] = sigmoid(x @ w[: x.shape[1]] + out[a : a + TEXTS_AT_ONCE, :k] @ w[x.shape[1] : -1] + w[-1])
         return out
@@ -151,7 +155,7 @@ def _training_rows(vocabulary: Vocabulary, categories: Sequence[str]):
         for batch in batches:
             for a in range(0, len(batch), TEXTS_AT_ONCE):
                 part = batch.slice(a, TEXTS_AT_ONCE)
-                x = np.minimum(vocabulary.counts(part["text"]), 255).astype(np.uint8)
+                x = vocabulary.strengths(part["text"])
                 y = np.stack([part[c].to_numpy(zero_copy_only=False) > 0 for c in categories], axis=1).astype(np.int8)
                 yield pa.RecordBatch.from_arrays([part["fold"], pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in y], pa.binary())], ["fold", "x", "y"])
         give_back()
@@ -229,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("toxic"
     vocabulary = Vocabulary(np.unique(np.concatenate(chosen)))
     rows = sample.mapInArrow(_training_rows(vocabulary, columns), "fold int, x binary, y binary").toPandas()
     rows = rows.sort_values(["y", "x", "fold"], kind="stable")  # the same sums whatever the order of the rows
-    x = np.log1p(np.frombuffer(b"".join(rows["x"]), np.uint8).reshape(len(rows), len(vocabulary.features)).astype(np.float32))
+    x = np.frombuffer(b"".join(rows["x"]), np.float16).reshape(len(rows), len(vocabulary.features)).astype(np.float32)
     y = np.frombuffer(b"".join(rows["y"]), np.int8).reshape(len(rows), len(columns))
     used = [np.searchsorted(vocabulary.features, np.sort(c)) for c in chosen]
     weights = fit_chain(x, y, rows["fold"].to_numpy(), used, kinds if len(columns) == 1 else 0)

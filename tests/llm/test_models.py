@@ -162,7 +162,7 @@ def test_chain_scores_equal_a_plain_walk(spark):
             for f in [hashed(b)] + [hashed(b[:k]) + k for k in toxicity.BEGINNINGS if len(b) > k]:
                 if f in counts:
                     counts[f] += 1
-        x, p = [math.log1p(counts[f]) for f in sorted(counts)], []
+        x, p = [float(np.float16(math.log1p(counts[f]))) for f in sorted(counts)], []
         for w in model.weights:
             p.append(1 / (1 + math.exp(-sum(a * b for a, b in zip(x + p, w)) - w[-1])))
         return p[-1]
@@ -281,3 +281,31 @@ def test_a_column_named_like_a_result_stays_out_of_scorers(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
     rows = docs.where(quality.quality_scorer(docs, labels)(docs.text) >= 0).collect()
     assert len(rows) == 10 and all(r.score == -7 for r in rows)
+
+
+@pytest.mark.parametrize("size", [7, 100, 4000])
+def test_language_grams_over_cuts_are_counted(monkeypatch, size):
+    rng = np.random.default_rng(size)
+    texts = pa.array(["".join(rng.choice(list("abcé 你\n"), n)) for n in (3000, 5, 0, 1200)] + [None, "x" * 9000, "tail end"])
+
+    def grams():
+        found = [[[] for _ in language_id.ORDERS] for _ in texts]
+        for first, own, orders in language_id._grams(texts):
+            for k, at in enumerate(orders):
+                for r, (a, b) in enumerate(zip(own[:-1], own[1:])):
+                    found[first + r][k] += [x for x in at[a:b].tolist() if x < language_id.BUCKETS]
+        return found
+
+    whole = grams()
+    for text, per_order in zip(texts.to_pylist(), whole):
+        assert [len(x) for x in per_order] == [max(0, len((text or "").encode()) - n + 1) for n in language_id.ORDERS]
+    monkeypatch.setattr(language_id, "SLICE_BYTES", size)
+    assert grams() == whole
+
+
+def test_a_word_repeated_a_thousand_times_is_the_same_to_fit_and_score():
+    texts = pa.array(["bad " * 1000, "bad good", None])
+    v = toxicity.Vocabulary(np.unique(np.concatenate([h for *_, h in toxicity._features(texts)])))
+    (made,) = toxicity._training_rows(v, ["c0"])(iter([pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), texts, pa.array([1, 0, 0])], ["fold", "text", "c0"])]))
+    shown = np.frombuffer(b"".join(made["x"].to_pylist()), np.float16).reshape(3, -1)
+    assert (shown == v.strengths(texts)).all() and shown.max() == np.float16(math.log1p(1000))
