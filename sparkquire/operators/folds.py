@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -78,17 +79,19 @@ def chapter_starts(rows: DataFrame, key: str, order: str, chars: str, per_chapte
 
 def overlapping_windows(sizes: list[int], budget: int, overlap: int = DEFAULTS.window_overlap) -> Iterator[tuple[int, int]]:
     """[start, end) of windows whose sizes (plus a line end each) stay within the budget; each
-    goes on ``overlap`` rows before the last one's end, and forward by a row at least."""
-    start, n = 0, len(sizes)
+    goes on ``overlap`` rows before the last one's end, and forward by a row at least.
+
+    The end of a window is known for every row that it may start at, from running totals; the windows are a path
+    through these ends."""
+    n = len(sizes)
+    total = np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64) + 1)])
+    fits = np.searchsorted(total, total[:n] + budget, side="right") - 1
+    ends = np.clip(fits, np.arange(1, n + 1) + overlap, n)
+    start = 0
     while start < n:
-        end, total = start, 0
-        while end < n and (end == start or total + sizes[end] + 1 <= budget):
-            total, end = total + sizes[end] + 1, end + 1
-        end = min(n, max(end, start + overlap + 1))
+        end = int(ends[start])
         yield start, end
-        if end >= n:
-            return
-        start = end - overlap
+        start = end - overlap if end < n else n
 
 
 def window_rows(rows: DataFrame, key: str, order: str, size: str, budget: int, overlap: int = DEFAULTS.window_overlap) -> DataFrame:
