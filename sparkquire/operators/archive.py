@@ -30,8 +30,8 @@ def closed_hooks(pairs: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def open_hooks(planted: DataFrame, resolved: DataFrame, closed: DataFrame | None = None, same: DataFrame | None = None) -> DataFrame:
-    """(line, hook, scene, scenes): planted hooks that nothing in the book resolves, by a loose key;
-    the first of equals, and of a group that tells of one thing, with all of its scenes.
+    """(line, hook, scene, scenes, hooks): planted hooks that nothing in the book resolves, by a loose key;
+    the first of equals, and of a group that tells of one thing, with all of its scenes and the number of its hooks.
     planted: line, scene, pos, no, hook; resolved: hook; closed: scene, hook; same: scene, hook, group."""
     rows = planted.withColumn("k", T.loose_key(F.col("hook"))).where("k <> ''")
     rows = rows.join(resolved.select(T.loose_key(F.col("hook")).alias("k")).distinct(), "k", "left_anti")
@@ -41,8 +41,8 @@ def open_hooks(planted: DataFrame, resolved: DataFrame, closed: DataFrame | None
     rows = rows.withColumn("_r", F.row_number().over(first)).where("_r = 1")
     rows = rows.join(same.select("scene", "hook", "group"), ["scene", "hook"], "left") if same is not None else rows.withColumn("group", F.lit(None).cast("long"))
     bunch = F.coalesce(F.col("group").cast("string"), F.concat(F.lit("k"), "k"))
-    out = rows.withColumn("bunch", bunch).groupBy("line", "bunch").agg(F.min(F.struct("pos", "no", "hook", "scene")).alias("x"), F.array_sort(F.collect_set(F.struct("pos", "scene"))).alias("s"))
-    return out.select("line", "x.hook", "x.scene", F.array_distinct(F.transform("s", lambda v: v["scene"])).alias("scenes"))
+    out = rows.withColumn("bunch", bunch).groupBy("line", "bunch").agg(F.min(F.struct("pos", "no", "hook", "scene")).alias("x"), F.array_sort(F.collect_set(F.struct("pos", "scene"))).alias("s"), F.count("*").alias("hooks"))
+    return out.select("line", "x.hook", "x.scene", F.array_distinct(F.transform("s", lambda v: v["scene"])).alias("scenes"), "hooks")
 
 
 def outdated(index: DataFrame, live: DataFrame) -> DataFrame:

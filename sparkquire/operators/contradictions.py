@@ -83,3 +83,22 @@ def check_verdict(kind: str, value: str | None, values: list[str]) -> None:
         raise ValueError("a picked value must be one of the group's")
     if kind == "own" and not (value or "").strip():
         raise ValueError("an own value can't be empty")
+
+
+def carry_judgements(groups: DataFrame, judged: DataFrame, failed: DataFrame, earlier: DataFrame) -> DataFrame:
+    """(subject, attribute, batch, status, reason, from_run, failed): every group of this run with its judgement.
+
+    groups: subject, attribute, sig (of its values), batch; judged: subject, attribute, status, reason (batches may answer in part);
+    failed: batch; earlier: run, subject, attribute, sig, status, reason, of all runs before.  A group that was judged
+    keeps that.  One whose batch failed takes the last judgement that any earlier run gave for the same values (``from_run``
+    says which); values that have changed are never judged by what was said of others, and a group that a sound batch
+    passed over isn't either.  What is left is UNKNOWN.  ``failed`` groups are due again, whether they carry one or not.
+    """
+    told = judged.where(F.col("status").isin(*STATUSES)).groupBy("subject", "attribute").agg(F.min(F.struct("status", "reason")).alias("j"))
+    kept = earlier.where(F.col("status").isin(*STATUSES)).groupBy("subject", "attribute", "sig").agg(F.max(F.struct("run", "status", "reason")).alias("e"))
+    rows = groups.select("subject", "attribute", "sig", "batch").join(failed.select("batch", F.lit(True).alias("_f")).distinct(), "batch", "left").join(told, ["subject", "attribute"], "left").join(kept, ["subject", "attribute", "sig"], "left")
+    lost = F.coalesce("_f", F.lit(False)) & F.col("j").isNull()
+    old = lost & F.col("e").isNotNull()
+    status = F.coalesce("j.status", F.when(old, F.col("e.status")), F.lit(UNKNOWN))
+    reason = F.coalesce("j.reason", F.when(old, F.col("e.reason")), F.lit(""))
+    return rows.select("subject", "attribute", "batch", status.alias("status"), reason.alias("reason"), F.when(old, F.col("e.run")).alias("from_run"), lost.alias("failed"))
