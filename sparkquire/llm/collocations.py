@@ -28,8 +28,8 @@ from ..storage import cut
 from .bytetext import LOWER, SpanHashes, give_back, mix, pieces, word_spans
 from .sieve import Sieve
 
-#: Bytes of text of one automaton: temporaries take about 25 bytes for each.
-SHARD_BYTES = 8 << 20
+#: Bytes of text of one automaton: temporaries take about 50 bytes for each.  Counts of a task's shards meet before they are shuffled.
+SHARD_BYTES = 2 << 20
 #: Hash parts of a language whose best rows are found before those of the whole language.
 RANK_PARTS = 256
 #: A phrase never runs over one of these.
