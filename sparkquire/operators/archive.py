@@ -18,7 +18,7 @@ _DECOR = re.compile(r"[*`_\s【】\[\]]+")
 def hook_items(order: DataFrame, cards: DataFrame, column: str) -> DataFrame:
     """(scene, pos, no, hook): a card's texts in story order, trimmed, each once a scene.
     order: scene, pos; cards: scene, <column> array<string>."""
-    rows = order.join(cards.select("scene", F.array_distinct(F.filter(F.transform(F.col(column), F.btrim), lambda h: h.isNotNull() & (h != ""))).alias("h")), "scene")
+    rows = order.join(cards.select("scene", F.array_distinct(F.filter(F.transform(F.col(column), lambda h: F.btrim(h)), lambda h: h.isNotNull() & (h != ""))).alias("h")), "scene")
     return rows.select("scene", "pos", F.posexplode("h").alias("no", "hook"))
 
 
