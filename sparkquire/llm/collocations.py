@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, release
 from .bytetext import LOWER, SpanHashes, give_back, mix, pieces, word_spans
 from .sieve import Sieve
 
@@ -190,6 +190,8 @@ def phrase_counts(docs: DataFrame, most: int = 3, least: int = 10, text: str = "
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     pairs = rows.mapInArrow(_pair_counts(SHARD_BYTES), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     sieve = Sieve(cut(pairs.where(F.col("n") >= least).select("key")))
+    del pairs
+    release(docs.sparkSession)  # the first pass's shuffle isn't kept beside the second's
     found = rows.mapInArrow(_phrase_counts(sieve, most, SHARD_BYTES), "lang string, phrase string, k int, n long")
     return cut(found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0)))
 
@@ -214,6 +216,7 @@ def collocations(docs: DataFrame, most: int = 3, least: int = 10, share: int = 5
     Rank by score and count, both descending, then the phrase's bytes.  Counts follow ``phrase_counts``; no words, no rows.
     """
     counts = phrase_counts(docs, most, least, text, lang)
+    release(docs.sparkSession)
     a, l, r = (F.col(c).cast("decimal(15,0)") for c in "alr")
     scored = _cuts(counts).withColumn("_top", F.lit(1_000_000).cast("decimal(7,0)") * a * a).withColumn("_base", l * r).withColumn("score", F.expr("_top div _base"))
     best = scored.groupBy("lang", "phrase", "k", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("best"))
