@@ -155,10 +155,6 @@ def q_entity_votes(spark: SparkSession, d: str) -> DataFrame:
     return _entity_votes(table(spark, d, "lineitem"))
 
 
-#: Both cover every order and all of its lines.
-q_entity_votes_all = q_entity_votes
-
-
 @query("""WITH p AS (SELECT conv_id, turn, regexp_replace(text, '[\\s\\p{P}\\p{S}的了着过之其此]', '', 'g') AS k FROM conversations WHERE role = 'user'), r AS (SELECT DISTINCT regexp_replace(text, '[\\s\\p{P}\\p{S}的了着过之其此]', '', 'g') AS k FROM conversations WHERE role = 'assistant')
 SELECT conv_id, min(turn) AS turn FROM p WHERE k <> '' AND k NOT IN (SELECT k FROM r) GROUP BY conv_id, k""")
 def q_open_hooks(spark: SparkSession, d: str) -> DataFrame:
@@ -186,12 +182,18 @@ def q_merge_sections(spark: SparkSession, d: str) -> DataFrame:
     return merged.select(F.col("id").alias("conv_id"), sorted_body.alias("body"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, source, lang, CASE WHEN substr(source, 4)::INTEGER % 2 = 0 THEN '（多个说法，见矛盾 C-' || substr(source, 4) || '）' ELSE '（几处写法略有出入）' END AS a, CASE WHEN lang = 'en' THEN '（多个说法，见矛盾 C-2）' ELSE '（几处写法略有出入）' END AS b FROM documents)
+SELECT doc_id, '## 设定·年齡' || chr(10) || '- **' || source || '**：甲' || a || chr(10) || '* ' || lang || ': 乙' || b || b || chr(10) || '### 地理' || chr(10) || '- ' || source || '：（几处写法略有出入）' AS body, (1 + CASE WHEN a LIKE '%C-%' THEN 0 ELSE 1 END + CASE WHEN b LIKE '%C-%' THEN 0 ELSE 2 END)::BIGINT AS unmatched FROM l""")
 def q_backfill(spark: SparkSession, d: str) -> DataFrame:
-    text = "## 设定·兵器\n- 孙悟空：金箍棒（多个说法）\n- **八戒**: 钉耙（多个说法）\n## 地理\n- 花果山：（多个说法）\n"
-    bodies = spark.createDataFrame([("W-01", text)], "id string, body string")
-    groups = spark.createDataFrame([("孙悟空", "兵器", "C-001")], "subject string, attribute string, id string")
-    return archive.backfill_rows(bodies, groups, {"行者": "孙悟空"})
+    """A text for each document about its source and language; sources of even numbers have a contradiction, a language is an alias."""
+    docs = table(spark, d, "documents")
+    many, old = F.lit(archive.MANY), F.lit("（多个说法，见矛盾 C-99）")
+    body = F.concat(F.lit("## 设定·年齡\n- **"), "source", F.lit("**：甲"), many, F.lit("\n* "), "lang", F.lit(": 乙"), old, many, F.lit("\n### 地理\n- "), "source", F.lit("：" + archive.MINOR))
+    number = F.substr("source", F.lit(4))
+    groups = docs.select("source").distinct().where(number.cast("int") % 2 == 0).select(F.col("source").alias("subject"), F.lit("年龄").alias("attribute"), F.concat(F.lit("C-"), number).alias("id"))
+    aliases = spark.createDataFrame([("en", "src2"), ("de", "src4"), ("de", "src6")], "name string, canonical string")
+    found = archive.backfill(docs.select(F.col("doc_id").alias("id"), body.alias("body")), groups, aliases)
+    return found.select(F.col("id").alias("doc_id"), "body", F.col("left").alias("unmatched"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, 'the') THEN 'S-0001' ELSE '' END AS refs FROM documents")

@@ -158,11 +158,27 @@ def test_hints(spark):
     assert not any("黄兄" in k for k in got)  # one character, and many of it
 
 
-def test_name_batches():
-    names = [f"n{i}" for i in range(50)]
-    out = entities.name_batches(names, [("n40", "n49")], most=20, anchors=5)
-    assert all(b[:5] == names[:5] and len(b) <= 20 for b in out)
-    assert sorted(n for b in out for n in b[5:]) == sorted(names[5:]) and len({i for i, b in enumerate(out) for n in ("n40", "n49") if n in b}) == 1
+def test_name_batches(spark):
+    big = [f"n{i}" for i in range(50)]
+    rows = [("big", n, i) for i, n in enumerate(big, 1)] + [("small", n, i) for i, n in enumerate(big[:20], 1)]
+    chain = [("big", f"n{i}", f"n{i + 1}") for i in range(28, 46)] + [("big", "n6", "n20"), ("big", "n20", "n26"), ("big", "n0", "n49"), ("big", "zz", "n7"), ("small", "n1", "n2")]
+    names = spark.createDataFrame(rows, "book string, name string, place int")
+    out = {}
+    for r in entities.name_batches(names, spark.createDataFrame(chain, "book string, a string, b string"), most=20, anchors=5).orderBy("place").collect():
+        out.setdefault((r.book, r.batch), []).append(r.name)
+    assert out.pop(("small", 1)) == big[:20]
+    assert all(b[:5] == big[:5] and len(b) <= 20 for b in out.values()) and len(out) == 3
+    assert sorted(n for b in out.values() for n in b[5:]) == sorted(big[5:])
+    home = {n: k for k, b in out.items() for n in b[5:]}
+    assert home["n6"] == home["n20"] == home["n26"]  # a family, though no pair links its ends
+    assert len({home[f"n{i}"] for i in range(28, 43)}) == 1  # the first 15 of a family of 19: a batch's room
+
+
+def test_dealt_sizes():
+    assert entities.dealt_sizes([3, 3, 1, 2, 1], 5) == [1, 2, 1, 2, 1]
+    assert entities.dealt_sizes([5, 1, 4], 5) == [1, 2, 2] and entities.dealt_sizes([], 5) == []
+    assert entities.dealt_sizes([4, 4, 4], 6) == [1, 2, 3]  # more than all need, as none has room
+    assert entities.dealt_sizes([3, 4, 3], 6) == [1, 2, 1]
 
 
 def test_group_merging_with_anchors(spark):
@@ -376,12 +392,18 @@ def test_jobs(spark):
 # archives, files, books
 
 
-def test_backfill_runs_twice_to_the_same():
-    text = "### 兵器\n- **孫悟空**：棒（多个说法）\n- 行者: 棒（多个说法）\n- 八戒：耙（多个说法）\n"
-    fold = str.maketrans("孫", "孙")
-    once, left = archive.backfill(text, {("孙悟空", "兵器"): "C-007"}, {"行者": "孙悟空"}, fold)
-    assert once.count("见矛盾 C-007") == 2 and left == 1
-    assert archive.backfill(once, {("孙悟空", "兵器"): "C-007"}, {"行者": "孙悟空"}, fold) == (once, 1)
+def test_backfill_runs_twice_to_the_same(spark):
+    text = "### 兵器\n- **孫悟空**：棒（多个说法）\n- 行者: 棒（多个说法）\n- 八戒：耙（多个说法）（多个说法）\n# 兵器\n- 二名：（多个说法）\n## 兵器（多个说法）\n## 地理\n- 孙悟空：（多个说法）\n（多个说法）\n"
+    bodies = spark.createDataFrame([("w", text), ("x", None), ("y", "无")], "id string, body string")
+    groups = spark.createDataFrame([("孙悟空", "兵器", "C-007"), ("沙僧", "兵器", "C-008")], "subject string, attribute string, id string")
+    aliases = spark.createDataFrame([("行者", "孙悟空"), ("二名", "孙悟空"), ("二名", "沙僧")], "name string, canonical string")
+    once = archive.backfill(bodies, groups, aliases, ("孫", "孙"))
+    got = {r.id: (r.body, r.left) for r in once.collect()}
+    assert got["x"] == ("", 0) and got["y"] == ("无", 0)
+    lines = got["w"][0].split("\n")
+    assert [k for k, x in enumerate(lines) if "见矛盾 C-007" in x] == [1, 2] and got["w"][1] == 5
+    assert lines[6] == "## 兵器（多个说法）" and lines[3].count(archive.MINOR) == 2 and lines[-1] == "" and len(lines) == text.count("\n") + 1
+    assert {r.id: (r.body, r.left) for r in archive.backfill(once.select("id", "body"), groups, aliases, ("孫", "孙")).collect()} == got
 
 
 def test_archive_faults(spark):
