@@ -1,7 +1,8 @@
-"""Queries of cards, contracts, state, evaluation, readers, export and streams."""
+"""Queries of cards, answers, state, evaluation, readers, export and streams."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pandas as pd
@@ -10,10 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ..operators import cards, contracts, evaluation, judging, sequence, state
+from ..operators import answers, cards, evaluation, judging, sequence, state
 from ..sinks import export
 from ..sources import manifest, readers
-from ..storage import shared_dir
+from ..storage import cut, shared_dir
 from ..streaming import ingest
 from .registry import query, table
 
@@ -174,18 +175,34 @@ def q_card_lines(spark: SparkSession, d: str) -> DataFrame:
     return cards.line(_cards(spark, d))
 
 
-@query("SELECT count(*)::BIGINT AS calls, 0::BIGINT AS failed, count(*)::BIGINT AS cached FROM (SELECT DISTINCT source FROM documents)")
+# a judge's answer about a source's documents: every sixth id is forgotten in the first try, every seventh source repeats one, every
+# fifth names an unknown one, whatever it is asked
+_ASKED = """s AS (SELECT source, substr(source, 4)::INTEGER AS k, count(*) AS n, count(*) FILTER (doc_id % 6 = 0) AS lost FROM documents GROUP BY 1),
+f AS (SELECT *, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS bad FROM s)"""
+
+
+@query(f"WITH {_ASKED} SELECT source, CASE WHEN bad > 0 THEN 3 WHEN lost > 0 THEN 2 ELSE 1 END::BIGINT AS calls, bad::BIGINT AS faults, n::BIGINT AS scenes, 0::BIGINT AS due FROM f")
 def q_judge_cache(spark: SparkSession, d: str) -> DataFrame:
     """A call for each source, then the same work again: the second time the cache has every answer."""
-    docs = table(spark, d, "documents").select("source").distinct()
-    work = docs.select(judging.key(F.col("source"), F.lit("rule")).alias("key"), F.col("source").alias("prompt"), F.col("source").alias("context"))
-    judge = judging.rule_judge(lambda prompt: {"worlds": [{"name": "w", "scenes": [prompt]}]})
-    none = spark.createDataFrame([], judging.CACHE)
-    from ..storage import cut
-
-    cache = cut(judging.with_cache(work, none, judge, lambda context: contracts.Worlds([context])))
-    left = judging.pending(work, cache)
-    return cache.agg(F.count("*").alias("calls"), F.count("failed").alias("failed")).crossJoin(left.agg(F.count("*").alias("left"))).select("calls", "failed", (F.col("calls") - F.col("left")).alias("cached"))
+    docs = table(spark, d, "documents").select("source", F.concat(F.lit("S-"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("id"))
+    listed = docs.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("id")), " ").alias("ids"))
+    prompt = F.concat("source", F.lit(" "), "ids")
+    work = listed.select(judging.key(prompt, F.lit("rule")).alias("key"), prompt.alias("prompt"), F.col("source").alias("context"))
+
+    def judge(prompt: str, tries: int) -> judging.Reply:
+        source, *ids = prompt.split()
+        k, told = int(source[3:]), [x for x in ids if tries or int(x[2:]) % 6]
+        told += ids[:1] * (k % 7 == 0 and bool(tries)) + ["S-x"] * (k % 5 == 0)
+        if k % 7 == 0 and not tries:
+            told += told[:1]
+        return judging.Reply("```json\n" + json.dumps({"time_unit": "", "worlds": [{"name": "w", "scenes": told}]}) + "\n```")
+
+    owned = answers.pool(docs.join(work.select("key", F.col("context").alias("source")), "source"), "scene", "key", "id")
+    cache = cut(judging.with_cache(work, spark.createDataFrame([], judging.CACHE), judge, lambda told: answers.WORLDS.faults(told, owned)))
+    left = judging.pending(work, cache).select("key", F.lit(1).alias("left"))
+    rows = cache.join(work.select("key", F.col("context").alias("source")), "key").join(left, "key", "left")
+    named = F.size(F.array_distinct(F.regexp_extract_all("data", F.lit(r"(S-[0-9]+)"), 1)))
+    return rows.select("source", "calls", F.size("faults").cast("long").alias("faults"), named.cast("long").alias("scenes"), F.coalesce("left", F.lit(0)).cast("long").alias("due"))
 
 
 @query("WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, count(*)::BIGINT AS events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first FROM s GROUP BY user_id, k")

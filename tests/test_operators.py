@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkquire.functions import text as T
 from sparkquire.functions import vectorised as V
-from sparkquire.operators import archive, contracts, dedup, entities, facts, folds, judging, sequence, split, state, threads, timeline, triage
+from sparkquire.operators import archive, dedup, entities, facts, folds, sequence, split, state, threads, timeline, triage
 from sparkquire.operators.components import components
 from sparkquire.params import DEFAULTS, Params
 from sparkquire.plans import fact_queries
@@ -293,83 +293,6 @@ def test_board(spark):
         triage.set_card(board, lines, "X", "keep")
 
 
-# contracts and judges
-
-JUNK = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(-5, 5), st.floats(allow_nan=True), st.sampled_from(["S-0001", "s-1", "L-001", "W-01", "x", "", "高"])), lambda c: st.one_of(st.lists(c, max_size=4), st.dictionaries(st.sampled_from("order times threads worlds scenes outlines id name main offset intersections gaps event mentioned_in thread after before volumes title assign groups members canonical items status end state S-0001 world_outlines".split()), c, max_size=5)), max_leaves=14)
-IDS = ["S-0001", "S-0002", "S-0010"]
-CONTRACTS = {
-    "worlds": contracts.Worlds(IDS, ["W-01"], {"W-01": "甲"}, True), "lines": contracts.Lines(IDS[:2], IDS[2:], ["L-001"], {"L-001": "x"}), "order": contracts.Order({"#1": IDS[:2]}, IDS, IDS), "volumes": contracts.Volumes(1, 2),
-    "assign": contracts.Assignment(IDS, ["V-01"]), "align": contracts.Alignment("L-001", {"L-001": IDS[:1], "L-002": IDS[1:]}), "gaps": contracts.Gaps(IDS, {"L-001": IDS}), "names": contracts.NameGroups(["x", "y"]), "verdicts": contracts.Verdicts(IDS, ("a", "b"), "a"),
-    "tasks": contracts.Tasks({"Q-001": IDS}), "advice": contracts.Advice(["L-001", "L-002"], IDS), "remedy": contracts.Remedy(IDS[:1], IDS[1:]), "bunches": contracts.Bunches(IDS), "chapters": None, "picks": contracts.Picks(IDS, IDS),
-}
-
-
-@pytest.mark.parametrize("name", sorted(CONTRACTS))
-@settings(max_examples=120, deadline=None)
-@given(data=JUNK)
-def test_contracts_take_anything(name, data):
-    c = CONTRACTS[name]
-    if c is None:
-        c = contracts.Chapters(5)
-        assert (c.faults(data).score == 0) == (not c.faults(data).found)
-        return
-    f = c.faults(data)
-    assert (f.score == 0) == (not f.found)
-    c.repair(data)
-
-
-def test_contract_cases():
-    w = CONTRACTS["worlds"]
-    good = {"time_unit": "年", "worlds": [{"id": "w1", "scenes": ["s-1", "S-0002"]}, {"name": "乙", "scenes": ["S-10"]}]}
-    assert w.faults(good).score == 0
-    assert [x["key"] for x in w.repair(good)["worlds"]] == ["W-01", None]
-    assert w.faults({"time_unit": "年", "worlds": [{"name": "甲", "scenes": ["S-0001", "S-0001", "S-9"]}]}).score == 1 + 1 + 1 + 4
-    o = CONTRACTS["order"]
-    fixed = o.repair({"order": ["#1", "S-0001"], "times": {"s1": ["3", "高"], "S-0002": [True, "高"]}, "end": {"state": "完结"}})
-    assert fixed["scenes"] == IDS[:2] and fixed["missing"] == ["S-0010"] and fixed["times"] == {"S-0001": {"t": 3.0, "conf": "高"}}
-    assert o.repair({"order": ["?"]})["failed"]
-    a = contracts.Alignment("L-001", {"L-001": ["S-1"], "L-002": ["S-2"]})
-    fixed = a.repair({"threads": [{"id": "L-1", "offset": 5}, {"id": "L-2", "offset": 7}], "intersections": [{"thread": "L-2", "scene": "S-1", "main_scene": "S-2", "same_time": True}]})
-    assert fixed["offsets"] == {"L-001": 0.0, "L-002": 2.0} and fixed["intersections"][0]["scene"] == "S-2"
-    g = CONTRACTS["gaps"].repair({"gaps": [{"event": "E", "mentioned_in": "S-1", "thread": "L-1", "after": "S-10", "before": "S-1"}, {"event": "e", "mentioned_in": ["S-2"], "thread": "L-001"}]})
-    assert g == [{"event": "E", "mentioned_in": ["S-0001", "S-0002"], "thread": "L-001", "after": None, "before": None}]
-
-
-def test_grounded_contracts():
-    t = contracts.Tasks({"Q-001": ["S-0001"]})
-    assert t.faults({"holes": [{"id": "Q-001", "task": "接 [S-0001]"}]}).score == 0
-    assert t.faults({"holes": [{"id": "Q-001", "task": "接 [S-0002]"}]}).score == 2
-    assert t.repair({"holes": [{"id": "Q-001", "task": "接 [S-0002]"}]}, {"Q-001": "补写"}) == {"Q-001": "补写"}
-    a = contracts.Advice(["L-001", "L-002"], ["S-0001"])
-    good = [{"thread": "L-001", "advice": "merge", "merge_into": "L-002", "reason": "[S-0001]"}, {"thread": "L-002", "advice": "keep", "reason": "[S-0001]"}]
-    assert a.faults({"advice": good}).score == 0 and a.faults({"advice": good[:1]}).score == 2
-    r = contracts.Remedy(["S-0001"], ["S-0002"])
-    assert r.faults({"pairs": [{"planted": "S-0002", "resolved": "S-0001", "hook": "h"}], "remedy": "[S-0001、S-0002]"}).score == 0
-    assert r.repair({"pairs": [{"planted": "S-0001", "resolved": "S-0001", "hook": "h"}]})["pairs"] == []
-    c = contracts.Chapters(20)
-    assert c.faults({"chapters": [{"title": "a", "start": 0}, {"title": "b", "start": 4}], "volumes": [{"title": "v", "start": 0}]}).score == 0
-    assert c.faults({"chapters": [{"title": "a", "start": 0}], "volumes": [{"title": "v", "start": 3}]}).score > 0
-    parts = [(0, 12, {"chapters": [{"title": "a", "start": 0}, {"title": "b", "start": 9}], "volumes": [{"title": "v", "start": 0}]}), (6, 20, {"chapters": [{"title": "c", "start": 1}, {"title": "d", "start": 8}], "volumes": [{"title": "w", "start": 7}]})]
-    assert contracts.Chapters.joined(parts, 20, 6) == {"volumes": [{"title": "v", "start": 0}, {"title": "w", "start": 14}], "chapters": [{"title": "a", "start": 0}, {"title": "d", "start": 14}]}
-
-
-def test_judges_are_asked_again_and_cached(spark):
-    class Odd:
-        def faults(self, data):
-            f = contracts.Faults()
-            if data["n"]:
-                f.add("n", data["n"])
-            return f
-
-    replies = iter(["```json\n{\"n\": 3}\n```", "no json", '{"n": 1}'])
-    data, faults, asked, failed = judging.ask(lambda p, n: judging.Reply(next(replies)), Odd(), "p")
-    assert (data, faults, len(asked), failed) == ({"n": 1}, ["n"], 3, None)
-    assert judging.ask(lambda p, n: judging.Reply("", False), Odd(), "p")[3] == "the answer was cut short"
-    work = spark.createDataFrame([("k1", "p", "c"), ("k1", "p", "c"), ("k2", "q", "c")], "key string, prompt string, context string")
-    cache = spark.createDataFrame([("k2", "{}", [], 1, 0, 0, None)], judging.CACHE)
-    assert [r.key for r in judging.pending(work, cache).collect()] == ["k1"]
-
-
 def test_steps(spark):
     steps = spark.createDataFrame([(s, "done") for s in state.STEPS], "step string, status string")
     assert {r.step: r.status for r in state.finish(steps, "dedup").collect()}["cards"] == "outdated"
