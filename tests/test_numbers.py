@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkquire.functions import text as T
 from sparkquire.operators import dedup, facts, judging, numbering, sequence, threads
+from sparkquire.params import Params
 from sparkquire.sinks import export
 from sparkquire.sources import manifest, readers
 
@@ -107,3 +110,54 @@ def test_small_rules(spark):
     assert len(row.now) == 19 and row.now[10] == "T" and row.x == "abc…" and row.y == "ab"
     plain, refused = ValueError("one"), judging.Refused("no key")
     assert judging.pick_error([plain, refused]) is refused and judging.pick_error([plain, KeyError("two")]) is plain and judging.pick_error([]) is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pairs_equal_counting_all_shingles(spark, monkeypatch, seed):
+    """Rarest shingles first lose no pair: against every pair's countable shingles, with a cap that bites."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choices("abcd", k=rng.randint(60, 300))) for _ in range(5)]
+    texts = []
+    for _ in range(70):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice((0, 1, 4, 12, 40))):
+            t[rng.randrange(len(t))] = rng.choice("abcde")
+        a = rng.randrange(len(t) // 2)
+        texts.append("".join(t[a : a + rng.randint(len(t) // 3, len(t))]))
+    params = Params(dedup_min_shingles=20, dedup_common_df=25)
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} if len(t) >= 5 else {t} for t in texts]
+    big = [i for i, s in enumerate(sets) if len(s) >= 20]
+    df = {}
+    for i in big:
+        for g in sets[i]:
+            df[g] = df.get(g, 0) + 1
+    able = {i: {g for g in sets[i] if 2 <= df[g] <= 25} for i in big}
+    want = {}
+    for i in big:
+        for j in big:
+            n = len(able[i] & able[j])
+            if i < j and n and (n / (len(sets[i]) + len(sets[j]) - n) >= 0.5 or n / min(len(sets[i]), len(sets[j])) >= 0.8):
+                want[(str(i), str(j))] = n
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    for few in (dedup.BROADCAST_PAIRS, 0):
+        monkeypatch.setattr(dedup, "BROADCAST_PAIRS", few)
+        got = {(r.a, r.b): (r.inter, r.na, r.nb) for r in dedup.shared_counts(docs, params).collect()}
+        assert all(got[k] == (n, len(sets[int(k[0])]), len(sets[int(k[1])])) for k, n in want.items()) and want
+
+
+def test_shingle_sets_in_slices(spark):
+    texts = ["", None, "ab", "abcde", "abcdef", "字" * 9, "a-b c.d!e f", "𝒳𝒳𝒳𝒳𝒳x"]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    got = {r.id: (r.n, set(r.hs)) for r in dedup.shingle_counts(docs).join(dedup.shingle_sets(docs), "id").collect()}
+    assert [got[str(i)][0] for i in range(8)] == [0, 0, 1, 1, 2, 1, 2, 2] and all(len(s) == n for n, s in got.values())
+    assert got["4"][1] == got["6"][1] > got["3"][1]  # noise between letters doesn't count
+    whole, rng = [], random.Random(1)
+    texts = pa.array(["".join(rng.choices("abc", k=rng.randrange(50))) for _ in range(200)] + [None])
+    for size in (10**6, 70, 1):
+        dedup.SLICE_CHARS, kept = size, dedup.SLICE_CHARS
+        try:
+            runs = list(dedup._windows(texts, 5))
+        finally:
+            dedup.SLICE_CHARS = kept
+        whole.append((np.concatenate([h for h, _ in runs]).tolist(), np.concatenate([n for _, n in runs]).tolist()))
+    assert whole[0] == whole[1] == whole[2] and len(whole[0][1]) == 201
