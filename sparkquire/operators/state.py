@@ -15,11 +15,11 @@ STATES = ("pending", "running", "done", "failed", "outdated")
 
 
 def finish(steps: DataFrame, step: str, changed: bool = True, status: str = "done") -> DataFrame:
-    """Steps (step, status) after one has ended: if its result changed, later ones that are done become
-    outdated; others stay as they are."""
+    """Steps (step, status, and any columns that say whose they are) after one has ended: if its result changed, later ones that
+    are done become outdated; others stay as they are."""
     place = F.array_position(F.array(*map(F.lit, STEPS)), F.col("step"))
     later = place > STEPS.index(step) + 1
-    return steps.select("step", F.when(F.col("step") == step, status).when(later & (F.col("status") == "done") & F.lit(changed), "outdated").otherwise(F.col("status")).alias("status"))
+    return steps.select(*(c for c in steps.columns if c != "status"), F.when(F.col("step") == step, status).when(later & (F.col("status") == "done") & F.lit(changed), "outdated").otherwise(F.col("status")).alias("status"))
 
 
 def ready(steps: DataFrame, step: str) -> bool:

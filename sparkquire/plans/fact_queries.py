@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import scene_refs
 from ..operators import archive, contradictions, entities, facts
+from ..operators.numbering import numbered
 from .registry import query, table
 
 # Facts: subject = part, attribute 年龄 or 身份 by return flag, value = quantity with or without a unit, scene = order.
@@ -117,19 +118,23 @@ def q_mention_contexts(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT a.name AS a, b.name AS b, least(a.place, b.place) AS lo, greatest(a.place, b.place) AS hi FROM n a JOIN n b ON a.name <> b.name AND contains(b.name, a.name) AND length(a.name) > 1)
 SELECT a, b, row_number() OVER (ORDER BY lo, hi)::BIGINT AS rank FROM c""")
 def q_hint_contains(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     p = table(spark, d, "part")
     counts = p.groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("c")).union(p.select(F.split("p_name", " ")[0].alias("name"), F.lit(1).cast("long")).distinct())
-    names = counts.select("name", (F.row_number().over(W.orderBy(F.desc("c"), "name")) - 1).alias("place"))
+    names = numbered(counts, [F.desc("c"), F.col("name")], "place").select("name", (F.col("place") - 1).cast("int").alias("place"))
     found = entities.hint_pairs(names, None)
     return found.where("hint = 'contains'").select("a", "b", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
 def q_hint_rules(spark: SparkSession, d: str) -> DataFrame:
-    names = ["林清", "清儿", "林姑娘", "林", "阿清", "小清", "黄夫人", "黄兄", "青州城外", "青州", "师父"]
-    return entities.hint_pairs(spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, place int")).select("a", "b", "hint", "rank")
+    """Names made of every customer's nation and segment, as persons may be called: in full, by pet name, by title; the most frequent first."""
+    c = table(spark, d, "customer")
+    family = F.get(F.array(*map(F.lit, "林黄青萧墨楚孟苏秦顾")), (F.col("c_nationkey") % 10).cast("int"))
+    given = F.get(F.array(*map(F.lit, ("清", "炎", "冉", "晚宁", "云"))), (F.ascii("c_mktsegment") % 5).cast("int"))
+    called = F.get(F.array(F.concat(family, given), F.concat(given, F.lit("儿")), F.concat(F.lit("小"), given), F.concat(family, F.lit("姑娘")), F.concat(family, given, F.lit("师父")), family), (F.col("c_custkey") % 6).cast("int"))
+    counts = c.groupBy(called.alias("name")).agg(F.count("*").alias("n"))
+    names = numbered(counts, [F.desc("n"), F.col("name")], "place").select("name", F.col("place").cast("int").alias("place"))
+    return entities.hint_pairs(names).select("a", "b", "hint", "rank")
 
 
 @query("SELECT c_custkey, coalesce(r_name, c_mktsegment) AS canonical FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 4 <> 0 LEFT JOIN region ON r_regionkey = n_regionkey")

@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType
 
 from ..operators import answers, cards, evaluation, judging, sequence, state
 from ..sinks import export
-from ..sources import manifest, readers
+from ..sources import encodings, manifest, readers
 from ..storage import cut, shared_dir
 from ..streaming import ingest
 from .registry import query, table
@@ -32,10 +32,15 @@ def q_usage_rollup(spark: SparkSession, d: str) -> DataFrame:
     return judging.usage(calls, 2.0, 8.0)
 
 
-@query("SELECT step, CASE WHEN step = 'split' THEN 'done' WHEN k > 2 AND status = 'done' THEN 'outdated' ELSE status END AS status FROM (VALUES ('import', 1, 'done'), ('split', 2, 'running'), ('dedup', 3, 'done'), ('cards', 4, 'failed'), ('entities', 5, 'done'), ('threads', 6, 'pending'), ('archive', 7, 'outdated')) t(step, k, status)")
+@query("""WITH s(step, k) AS (VALUES ('import', 0), ('split', 1), ('dedup', 2), ('cards', 3), ('entities', 4), ('threads', 5), ('archive', 6)), o AS (SELECT o_orderkey AS book, step, k, ['done', 'running', 'failed', 'pending', 'outdated'][(o_orderkey + k * k) % 5 + 1] AS status FROM orders, s)
+SELECT book, step, CASE WHEN step = 'split' THEN 'done' WHEN k > 1 AND status = 'done' THEN 'outdated' ELSE status END AS status FROM o""")
 def q_downstream_outdated(spark: SparkSession, d: str) -> DataFrame:
-    now = dict(zip(state.STEPS, ("done", "running", "done", "failed", "done", "pending", "outdated")))
-    return state.finish(spark.createDataFrame(list(now.items()), "step string, status string"), "split")
+    """Every order as a book whose steps stand somewhere; its split has ended with another result."""
+    steps = F.posexplode(F.array(*map(F.lit, state.STEPS))).alias("k", "step")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("book"), steps)
+    states = F.array(*map(F.lit, ("done", "running", "failed", "pending", "outdated")))
+    status = F.get(states, ((F.col("book") + F.col("k") * F.col("k")) % 5).cast("int"))
+    return state.finish(rows.select("book", "step", status.alias("status")), "split")
 
 
 @query("SELECT doc_id, 'E-' || lpad((row_number() OVER (ORDER BY doc_id) + 41)::VARCHAR, 4, '0') AS id FROM labels WHERE quality = 0")
@@ -119,9 +124,21 @@ def q_skeleton_faults(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_encoding_detect(spark: SparkSession, d: str) -> DataFrame:
-    texts = {"a.txt": "风起".encode(), "b.txt": "风起青州".encode("gb18030"), "c.txt": "﻿风".encode(), "d.txt": "风\r\n起\r".encode("utf-16"), "e.docx": b"broken"}
-    files = spark.createDataFrame(list(texts.items()), "relative string, content binary")
-    return readers.read_files(files).select("relative", "text", "encoding", F.col("error").isNotNull().alias("failed"))
+    """Every document as a file in one of seven encodings, with tables learnt from those of odd ids: what it is taken for, and whether its
+    text comes out as it was (but for characters that the encoding lacks)."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kinds = ("utf-8", "utf-8-sig", "utf-16", "gb18030", "utf-16-le", "utf-16-be", "cp1252")
+
+    @F.pandas_udf("content binary, readable string")
+    def encoded(doc_id: pd.Series, text: pd.Series) -> pd.DataFrame:
+        data = [t.encode(kinds[i % len(kinds)], "ignore") for i, t in zip(doc_id, text)]
+        return pd.DataFrame({"content": data, "readable": [b.decode(kinds[i % len(kinds)]).replace("\r\n", "\n").replace("\r", "\n").removeprefix("\ufeff") for i, b in zip(doc_id, data)]})
+
+    files = docs.select("doc_id", encoded("doc_id", "text").alias("x")).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("relative"), "doc_id", "x.*")
+    read = readers.read_files(files, encodings.learn(docs.where("doc_id % 2 = 1")))
+    both = files.select("relative", "doc_id", "readable").join(read, "relative")
+    kind = F.get(F.array(*map(F.lit, kinds)), (F.col("doc_id") % len(kinds)).cast("int"))
+    return both.select("doc_id", kind.alias("written"), "encoding", (F.col("text") == F.col("readable")).alias("same"))
 
 
 @query()

@@ -31,10 +31,18 @@ def q_text_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.signature(F.col("text")).alias("digest"), T.short_hash(F.col("text")).alias("short"))
 
 
-@query(f"SELECT v AS raw, CASE WHEN s IN ({', '.join(repr(a) for a in T.ATTRIBUTES)}) THEN s ELSE '其他' END AS attribute FROM (SELECT v, regexp_replace(translate(v, '{T.ATTRIBUTE_FOLD[0]}', '{T.ATTRIBUTE_FOLD[1]}'), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS s FROM (VALUES ('年齡'), ('「官職」'), ('心事'), ('稱號：'), ('坐騎'), ('')) t(v))")
+_RAW = ("年齡", "「官職」", "心事", "稱號：", "坐騎", "", "外貌", "親屬")
+
+
+@query(f"""WITH r AS (SELECT doc_id, [{', '.join(repr(x) for x in _RAW)}][doc_id % {len(_RAW)} + 1] AS v, length(source) % 2 = 0 AS w FROM documents), f AS (SELECT doc_id, CASE WHEN w THEN '（' || v || '）' ELSE v END AS raw FROM r),
+s AS (SELECT *, regexp_replace(translate(raw, '{T.ATTRIBUTE_FOLD[0]}', '{T.ATTRIBUTE_FOLD[1]}'), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS s FROM f)
+SELECT doc_id, raw, CASE WHEN s IN ({', '.join(repr(a) for a in T.ATTRIBUTES)}) THEN s ELSE '其他' END AS attribute FROM s""")
 def q_trad_fold(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("年齡", "「官職」", "心事", "稱號：", "坐騎", "")], "raw string")
-    return rows.select("raw", T.norm_attribute(F.col("raw")).alias("attribute"))
+    """An attribute as a card may name it, for each document, in brackets by its source."""
+    docs = table(spark, d, "documents")
+    v = F.get(F.array(*map(F.lit, _RAW)), (F.col("doc_id") % len(_RAW)).cast("int"))
+    raw = F.when(F.length("source") % 2 == 0, F.concat(F.lit("（"), v, F.lit("）"))).otherwise(v)
+    return docs.select("doc_id", raw.alias("raw")).withColumn("attribute", T.norm_attribute(F.col("raw")))
 
 
 @query("SELECT conv_id, turn, length(regexp_replace(text, '[\\s\\p{P}\\p{S}的了着过之其此]', '', 'g'))::BIGINT AS n, substr(sha256(regexp_replace(text, '[\\s\\p{P}\\p{S}的了着过之其此]', '', 'g')), 1, 16) AS digest FROM conversations")

@@ -199,7 +199,7 @@ def test_entity_votes_take_every_order_and_line(spark, tmp_path):
         mine = {s for k, _, s in lines if k == o}
         near = [s for s in sets if s & mine]
         sets = [s for s in sets if not s & mine] + [mine.union(*near)]
-    got = sorted(map(tuple, fact_queries.q_entity_votes_all(spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, fact_queries.q_entity_votes(spark, str(tmp_path)).collect()))
     assert got == sorted((n, min(s), len(s)) for s in sets for n in s)
 
 
