@@ -23,22 +23,29 @@ def naming(rows: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame
     return rows.withColumn("_part", F.explode(every)).join(names, F.col("_part") == F.col(name)).drop("_part")
 
 
+#: Items whose hashes are broadcast (rows of two numbers); beyond, stretches are shuffled to meet them.
+BROADCAST_ITEMS = 200_000
+
+
 def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, item): documents (id, text) that contain an item (item, text) whole.
+    """(id, item): documents (id, text) that contain an item (item, text) whole; empty items are in none.
 
     The rarest would be the best key; any stretch of the item is right: here the KEY_CHARS
-    characters in its middle, looked up among all stretches of that length of the documents.
-    Items of fewer characters are compared with every document, their number stated by the caller.
+    characters in its middle, whose hash is looked up among those of all stretches of that length of the documents.  What meets
+    are ids and hashes; texts are fetched for the pairs that do, and compared.  Shorter items meet the documents' stretches of
+    their own length (``naming``).
     """
     keyed = items.where(F.length("text") >= KEY_CHARS)
     middle = F.floor((F.length("text") - KEY_CHARS) / 2).cast("int")
-    keyed = keyed.select("item", F.col("text").alias("wanted"), F.substr("text", middle + 1, F.lit(KEY_CHARS)).alias("k")).withColumn("h", _stretch(F.split("k", ""), F.lit(0)))
-    chars = docs.select("id", "text", F.split("text", "").alias("c")).withColumn("c", F.array_remove("c", ""))
-    at = chars.where(F.size("c") >= KEY_CHARS).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("c") - KEY_CHARS)))
-    hits = at.select("id", "text", _stretch(F.col("c"), F.col("i")).alias("h")).join(F.broadcast(keyed.select("item", "wanted", "h")), "h")
-    found = hits.where(F.contains("text", "wanted")).select("id", "item").distinct()
+    keyed = keyed.select("item", F.split(F.substr("text", middle + 1, F.lit(KEY_CHARS)), "").alias("c"))
+    keyed = keyed.select("item", _stretch(F.col("c"), F.lit(0)).alias("h"))
+    keyed = F.broadcast(keyed) if keyed.count() <= BROADCAST_ITEMS else keyed
+    chars = docs.select("id", F.array_remove(F.split("text", ""), "").alias("c")).where(F.size("c") >= KEY_CHARS)
+    places = F.transform(F.sequence(F.lit(0), F.size("c") - KEY_CHARS), lambda i: _stretch(F.col("c"), i))
+    hits = chars.select("id", F.explode(F.array_distinct(places)).alias("h")).join(keyed, "h").select("id", "item").distinct()
+    found = hits.join(docs.select("id", "text"), "id").join(items.select("item", F.col("text").alias("wanted")), "item").where(F.contains("text", "wanted"))
     brief = items.where((F.length("text") < KEY_CHARS) & (F.length("text") > 0)).select("item", F.col("text").alias("wanted"))
-    return found.union(docs.join(F.broadcast(brief), F.contains("text", "wanted")).select("id", "item").distinct())
+    return found.select("id", "item").union(naming(docs.select("id", "text"), "text", brief, "wanted").select("id", "item")).distinct()
 
 
 def _stretch(c: Column, i: Column) -> Column:

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,42 @@ def test_chapters_are_carried_over_spans(spark, monkeypatch):
     starts = spark.createDataFrame([(3, 0, 0), (4, 1, 0), (40, 2, 1)], "start long, chapter int, volume int")
     got = {r.place: (r.chapter, r.volume) for r in sequence.assemble(items, starts).collect()}
     assert got == {k: (None, None) if k < 3 else (0, 0) if k < 4 else (1, 0) if k < 40 else (2, 1) for k in range(1, 60)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pair_signs_equal_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice("abc"), rng.choice((None, *range(rng.choice((3, 40))))), rng.choice((None, *range(12)))) for _ in range(120)] + [("one", 1, 1), ("none", None, None), ("none", 1, None)]
+    want = {}
+    for k in {r[0] for r in rows}:
+        mine = [r[1:] for r in rows if r[0] == k]
+        if len(mine) < 2:
+            continue
+        n = dict.fromkeys(("same", "opposed", "tied_x", "tied_y", "tied_both"), 0)
+        held = [r for r in mine if None not in r]
+        for i, (a, b) in enumerate(held):
+            for c, d in held[:i]:
+                n["tied_both" if a == c and b == d else "tied_x" if a == c else "tied_y" if b == d else "same" if (a < c) == (b < d) else "opposed"] += 1
+        want[k] = tuple(n.values())
+    frame = spark.createDataFrame(rows, "line string, x int, y int")
+    assert {r[0]: tuple(r)[1:] for r in threads.pair_signs(frame, "line", "x", "y").collect()} == want
+
+
+def test_inversions():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 50, 300):
+        y = [rng.randrange(max(n // 3, 1)) for _ in range(n)]
+        assert threads.inversions(np.array(y, float)) == sum(y[j] > y[i] for i in range(n) for j in range(i))
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_items_found_whole(spark, monkeypatch, few):
+    from sparkquire.operators import search
+
+    monkeypatch.setattr(search, "BROADCAST_ITEMS", few)
+    rng = random.Random(few)
+    docs = [(k, "".join(rng.choices("ab c字", k=rng.randrange(60)))) for k in range(60)] + [(60, None), (61, ""), (3, "x")]
+    items = [(k, t[a : a + rng.randint(0, 20)]) for k, (_, t) in enumerate(docs[:40]) if t for a in [rng.randrange(len(t))]] + [(100, "no such text at all"), (101, ""), (102, None), (103, "x")]
+    want = {(d, i) for d, t in docs for i, w in items if t and w and w in t}
+    got = search.verbatim(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "item long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter(want)
