@@ -85,7 +85,13 @@ def ref_candidates(refs: DataFrame, people: DataFrame, order: DataFrame, bigram_
     cast = people.select("scene", "who").distinct()
     named = naming(ref_id, "ref", aliases, "name").select("id", "scene", "who").distinct()
     hit = named.join(cast.withColumnRenamed("scene", "candidate"), "who").where("scene <> candidate").select("id", "candidate").distinct().withColumn("named", F.lit(1))
-    own = ref_id.select("scene").distinct().join(cast, "scene").join(cast.withColumnRenamed("scene", "candidate"), "who").where("scene <> candidate").groupBy("scene", "candidate").agg(F.count("*").alias("shared"))
+    # two persons in common are never the commonest of the scene's alone: that one brings no candidate, so a hero of all scenes joins with none
+    often = cast.groupBy("who").agg(F.count("*").alias("df"))
+    mine = ref_id.select("scene").distinct().join(cast, "scene").join(often, "who")
+    rarer = mine.withColumn("r", F.row_number().over(W.partitionBy("scene").orderBy(F.desc("df"), "who"))).where("r > 1")
+    met = rarer.select("scene", "who").join(cast.withColumnRenamed("scene", "candidate"), "who").select("scene", "candidate")
+    met = met.union(hit.join(ref_id.select("id", "scene"), "id").select("scene", "candidate")).where("scene <> candidate").distinct()
+    own = met.join(cast, "scene").join(cast.withColumnRenamed("scene", "candidate"), ["candidate", "who"]).groupBy("scene", "candidate").agg(F.count("*").alias("shared"))
     shared = ref_id.join(own, "scene").select("id", "candidate", "shared")
     both = hit.join(shared, ["id", "candidate"], "full").select("id", "candidate", F.coalesce("named", F.lit(0)).alias("named"), F.coalesce("shared", F.lit(0)).alias("shared")).where("named = 1 or shared >= 2")
     words = bigrams(ref_id.select("id", "ref"), "ref", keep).join(bigram_rows.select(F.col("id").alias("candidate"), "bigram"), "bigram").groupBy("id", "candidate").agg(F.count("*").alias("overlap"))

@@ -111,3 +111,24 @@ def test_judgements_of_failed_batches_are_carried(spark):
         "a": ("真矛盾", "now", None, False), "b": (unknown, "", None, False), "c": ("可解释", "part of a failed batch", None, False),
         "d": ("有意为之", "run 2", 2, True), "e": (unknown, "", None, True), "f": (unknown, "", None, False),
     }
+
+
+def test_candidates_with_a_hero_in_every_scene(spark):
+    """Against all pairs: two persons in common, whatever one of them is in."""
+    rng = random.Random(6)
+    cast = {f"s{k}": {"hero"} | {rng.choice("abcdefghij") for _ in range(rng.randint(0, 3))} for k in range(40)}
+    people = spark.createDataFrame([(s, w) for s, ws in cast.items() for w in ws], "scene string, who string")
+    order = spark.createDataFrame([(f"s{k}", k, "xy"[k % 2]) for k in range(40)], "scene string, pos long, line string")
+    refs = spark.createDataFrame([(f"s{k}", "A去了" if k % 3 == 0 else "那件事") for k in range(0, 40, 2)], "scene string, ref string")
+    none, names = spark.createDataFrame([], "id string, bigram string"), spark.createDataFrame([("A", "a")], "name string, who string")
+    want = {}
+    for k in range(0, 40, 2):
+        rows = []
+        for j in range(40):
+            shared, named = len(cast[f"s{k}"] & cast[f"s{j}"]), k % 3 == 0 and "a" in cast[f"s{j}"]
+            if j != k and (named or shared >= 2):
+                rows.append((-named, -shared, (k - j) % 2, abs(k - j), j))
+        for r, row in enumerate(sorted(rows)[:8], 1):
+            want[(f"s{k}", r)] = f"s{row[-1]}"
+    got = timeline.ref_candidates(refs, people, order, none, names).collect()
+    assert {(r.scene, r.r): r.candidate for r in got} == want
