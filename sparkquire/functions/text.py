@@ -147,6 +147,25 @@ def scene_refs(s: Column) -> Column:
     return F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"(S-\d{4,})"), 1)))
 
 
+#: Scene numbers in brackets, as a pattern.
+REFERENCE = r"\[S-\d{4,}(?:[,，、\s]+S-\d{4,})*\]"
+
+
+def ref_parts(s: Column) -> Column:
+    """A text as array<struct<text, refs>>: bracketed scene numbers with those they name, and what stands between them with none, in
+    order and without empty ones; joined they are the text."""
+    tokens = F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(rf"({REFERENCE}|[^\[]+|\[)"), 1)
+    is_ref = lambda p: p.rlike(f"^{REFERENCE}$")
+
+    def joined(done: Column, p: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        fresh = (F.size(done) == 0) | is_ref(p) | is_ref(last)
+        return F.when(fresh, F.array_append(done, p)).otherwise(F.array_append(F.slice(done, 1, F.size(done) - 1), F.concat(last, p)))
+
+    parts = F.aggregate(tokens, F.array().cast("array<string>"), joined)
+    return F.transform(parts, lambda p: F.struct(p.alias("text"), F.when(is_ref(p), scene_refs(p)).otherwise(F.array().cast("array<string>")).alias("refs")))
+
+
 def short_line(s: Column) -> Column:
     return F.substring_index(s, "｜", 3)
 

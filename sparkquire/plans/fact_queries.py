@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import scene_refs
+from ..functions.text import ref_parts
 from ..operators import archive, contradictions, entities, facts
 from ..operators.numbering import numbered
 from .registry import query, table
@@ -201,7 +201,14 @@ def q_backfill(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "body", F.col("left").alias("unmatched"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'the') THEN 'S-0001' ELSE '' END AS refs FROM documents")
+@query("""WITH m AS (SELECT doc_id, replace(replace(replace(coalesce(text, ''), ' the ', '[S-0001、S-12345]'), ' de ', '[S-0002]'), ' die ', '[S-3]') AS t FROM documents),
+p AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(t, '(\\[S-[0-9]{4,}(?:[,，、\\s]+S-[0-9]{4,})*\\])', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS part FROM m)
+SELECT doc_id, count(*)::BIGINT AS parts, sum(length(part))::BIGINT AS chars, count(*) FILTER (regexp_matches(part, '^\\[S-[0-9]{4,}'))::BIGINT AS marked, sum(CASE WHEN regexp_matches(part, '^\\[S-[0-9]{4,}') THEN length(part) - length(replace(part, 'S-', 'S')) ELSE 0 END)::BIGINT AS refs, max(length(part))::BIGINT AS longest FROM p GROUP BY 1""")
 def q_ref_parts(spark: SparkSession, d: str) -> DataFrame:
-    marked = F.when(F.contains("text", F.lit("the")), F.lit("见[S-0001]。")).otherwise(F.lit("无"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(scene_refs(marked), ",").alias("refs"))
+    """Documents in whose texts some words give way to references, in parts."""
+    t = F.coalesce("text", F.lit(""))
+    for word, mark in ((" the ", "[S-0001、S-12345]"), (" de ", "[S-0002]"), (" die ", "[S-3]")):
+        t = F.replace(t, F.lit(word), F.lit(mark))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(ref_parts(t)).alias("p"))
+    n = F.size("p.refs")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(F.length("p.text")).cast("long").alias("chars"), F.count_if(n > 0).alias("marked"), F.sum(n).cast("long").alias("refs"), F.max(F.length("p.text")).cast("long").alias("longest"))

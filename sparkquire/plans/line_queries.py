@@ -150,16 +150,14 @@ def q_rebase(spark: SparkSession, d: str) -> DataFrame:
     return threads.rebase(_threads(spark, d).select(F.col("thread").alias("line"), "offset"), "1").select("line", "offset")
 
 
-@query("SELECT doc_id AS id, source AS label, CASE WHEN source = 'src_3' OR source = (SELECT max(source) FROM documents) THEN doc_id = (SELECT max(doc_id) FROM documents WHERE source = (SELECT max(source) FROM documents)) ELSE doc_id = min(doc_id) OVER (PARTITION BY source) END AS is_main, CASE WHEN source = (SELECT max(source) FROM documents) THEN 'author' ELSE 'auto' END AS main_by FROM documents WHERE source <> 'src_3' OR source = (SELECT max(source) FROM documents)")
+@query("WITH l AS (SELECT max(source) AS source FROM documents), m AS (SELECT max(doc_id) AS id FROM documents, l WHERE documents.source = l.source) SELECT doc_id AS id, d.source AS label, CASE WHEN d.source = l.source THEN doc_id = m.id ELSE doc_id = min(doc_id) OVER (PARTITION BY d.source) END AS is_main, CASE WHEN d.source = l.source THEN 'author' ELSE 'auto' END AS main_by FROM documents d, l, m")
 def q_set_main(spark: SparkSession, d: str) -> DataFrame:
     """Groups by source, the first member the main one, and the author's choice of the last member of the last group."""
     docs = table(spark, d, "documents")
     first = docs.groupBy("source").agg(F.min("doc_id").alias("first"))
     mains = docs.join(first, "source").select(F.col("source").alias("group"), F.col("doc_id").alias("id"), (F.col("doc_id") == F.col("first")).alias("is_main"), F.lit("auto").alias("main_by"))
     last = docs.agg(F.max(F.struct("source", "doc_id")).alias("x")).select("x.source", "x.doc_id").first()
-    out = dedup.set_main(mains, last.source, last.doc_id)
-    kept = (F.col("group") != "src_3") | (F.col("group") == last.source)
-    return out.where(kept).select("id", F.col("group").alias("label"), "is_main", "main_by")
+    return dedup.set_main(mains, last.source, last.doc_id).select("id", F.col("group").alias("label"), "is_main", "main_by")
 
 
 @query("WITH p AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents), h AS (SELECT x.source = y.source AS hit FROM p LEFT JOIN documents x ON x.doc_id = a LEFT JOIN documents y ON y.doc_id = b) SELECT count(*)::BIGINT AS pairs, count(*) FILTER (hit)::BIGINT AS found, round(count(*) FILTER (hit) / count(*), 6) AS recall FROM h")
@@ -253,14 +251,15 @@ def _ranked_hints(names: DataFrame, hint: str, crowded: int) -> DataFrame:
     return rows.select("a", "b", (F.col("rank") - F.col("first") + 1).cast("long").alias("rank"))
 
 
-@query("SELECT subject, attribute, 'C-' || lpad(CASE WHEN subject % 2 = 0 THEN (subject + 1)::VARCHAR END, 6, '0') AS id FROM (SELECT l_partkey AS subject, '年龄' AS attribute FROM lineitem GROUP BY 1) WHERE subject % 2 = 0")
+@query("""WITH g AS (SELECT DISTINCT l_partkey AS subject FROM lineitem), t AS (SELECT max(subject) + 1 AS top FROM g WHERE subject % 2 = 0), n AS (SELECT subject, (top + row_number() OVER (ORDER BY subject))::VARCHAR AS no FROM g, t WHERE subject % 2 = 1)
+SELECT subject, '年龄' AS attribute, 'C-' || lpad((subject + 1)::VARCHAR, 6, '0') AS id FROM g WHERE subject % 2 = 0 UNION ALL SELECT subject, '年龄', 'C-' || lpad(no, greatest(3, length(no))::INTEGER, '0') FROM n""")
 def q_registry_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Contradictions keep the id that the registry has for them."""
+    """Contradictions keep the id that the registry has for them; new ones are numbered behind the largest ever given."""
     groups = table(spark, d, "lineitem").select(F.col("l_partkey").alias("subject"), F.lit("年龄").alias("attribute")).distinct().withColumns({"sig": F.lit("x"), "no": F.struct("subject", "attribute")})
     registry = groups.where("subject % 2 = 0").select("subject", "attribute", F.concat(F.lit("C-"), F.lpad((F.col("subject") + 1).cast("string"), 6, "0")).alias("id"))
     old = groups.limit(0).select("subject", "attribute", "sig", F.lit("").alias("verdict"), F.lit("").alias("verdict_sig"), F.lit(False).alias("verdict_stale"), F.lit(False).alias("orphan"))
     judged = groups.select("subject", "attribute", F.lit(None).cast("string").alias("status"), F.lit("").alias("reason"))
-    return contradictions.build_result(groups, judged, old, registry)[0].where("subject % 2 = 0").select("subject", "attribute", "id")
+    return contradictions.build_result(groups, judged, old, registry)[0].select("subject", "attribute", "id")
 
 
 @query()

@@ -43,10 +43,10 @@ def q_downstream_outdated(spark: SparkSession, d: str) -> DataFrame:
     return state.finish(rows.select("book", "step", status.alias("status")), "split")
 
 
-@query("SELECT doc_id, 'E-' || lpad((row_number() OVER (ORDER BY doc_id) + 41)::VARCHAR, 4, '0') AS id FROM labels WHERE quality = 0")
+@query("SELECT doc_id, 'E-' || lpad((row_number() OVER (ORDER BY doc_id) + 41)::VARCHAR, 4, '0') AS id FROM labels")
 def q_id_registry(spark: SparkSession, d: str) -> DataFrame:
     existing = spark.createDataFrame([("E-0007",), ("E-0041",)], "id string")
-    fresh = table(spark, d, "labels").where("quality = 0").select("doc_id")
+    fresh = table(spark, d, "labels").select("doc_id")
     return manifest.next_ids(existing, fresh, "E", [F.col("doc_id")]).select("doc_id", "id")
 
 

@@ -161,3 +161,11 @@ def test_shingle_sets_in_slices(spark):
             dedup.SLICE_CHARS = kept
         whole.append((np.concatenate([h for h, _ in runs]).tolist(), np.concatenate([n for _, n in runs]).tolist()))
     assert whole[0] == whole[1] == whole[2] and len(whole[0][1]) == 201
+
+
+def test_texts_in_parts_by_their_references(spark):
+    said = ["见[S-0001、S-0012]和[x][S-3] [[S-0002]]", "", None, "[S-0001][S-0002]", "无", "x" * 200_000 + "[S-0001]" + "\n[" * 50]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", T.ref_parts(F.col("s")).alias("p")).orderBy("i").collect()
+    assert [["".join(x.text for x in r.p)] for r in rows] == [[s or ""] for s in said]
+    assert [(x.text, x.refs) for x in rows[0].p] == [("见", []), ("[S-0001、S-0012]", ["S-0001", "S-0012"]), ("和[x][S-3] [", []), ("[S-0002]", ["S-0002"]), ("]", [])]
+    assert [len(r.p) for r in rows] == [5, 0, 0, 2, 1, 3]
