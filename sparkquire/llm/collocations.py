@@ -14,13 +14,14 @@ pairs may be frequent.  A collision of hashes lets a phrase through to the exact
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -179,6 +180,14 @@ def _phrase_counts(sieve: Sieve, most: int, size: int) -> Callable[[Iterator[pa.
     return run
 
 
+def _dropped(spark: SparkSession) -> None:
+    """Drops shuffles that no frame refers to.  The JVM learns a moment later which frames Python has dropped, so its
+    collection comes after that."""
+    release(spark)
+    time.sleep(1)
+    release(spark)
+
+
 def phrase_counts(docs: DataFrame, most: int = 3, least: int = 10, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, phrase, k, n), checkpointed: every phrase of k = 1 to ``most`` words that occurs ``least`` times or more
     in a language, overlaps included, and as phrase '' with k = 0 the number of the language's words.
@@ -191,7 +200,7 @@ def phrase_counts(docs: DataFrame, most: int = 3, least: int = 10, text: str = "
     pairs = rows.mapInArrow(_pair_counts(SHARD_BYTES), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     sieve = Sieve(cut(pairs.where(F.col("n") >= least).select("key")))
     del pairs
-    release(docs.sparkSession)  # the first pass's shuffle isn't kept beside the second's
+    _dropped(docs.sparkSession)  # the first pass's shuffle isn't kept beside the second's
     found = rows.mapInArrow(_phrase_counts(sieve, most, SHARD_BYTES), "lang string, phrase string, k int, n long")
     return cut(found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0)))
 
@@ -216,7 +225,7 @@ def collocations(docs: DataFrame, most: int = 3, least: int = 10, share: int = 5
     Rank by score and count, both descending, then the phrase's bytes.  Counts follow ``phrase_counts``; no words, no rows.
     """
     counts = phrase_counts(docs, most, least, text, lang)
-    release(docs.sparkSession)
+    _dropped(docs.sparkSession)
     a, l, r = (F.col(c).cast("decimal(15,0)") for c in "alr")
     scored = _cuts(counts).withColumn("_top", F.lit(1_000_000).cast("decimal(7,0)") * a * a).withColumn("_base", l * r).withColumn("score", F.expr("_top div _base"))
     best = scored.groupBy("lang", "phrase", "k", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("best"))
