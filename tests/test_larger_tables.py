@@ -30,3 +30,16 @@ def test_registry_ids_of_seven_digits(spark, tmp_path):
 def test_id_registry_of_five_digits(spark, tmp_path):
     rows = same_as_sql(spark, tmp_path, "q_id_registry", labels={"doc_id": list(range(10_100))})
     assert len(rows) == 10_100
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from sparkquire import storage
+    from sparkquire.operators import dedup
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    docs = spark.createDataFrame([("1", "abcdefgh")], "id string, text string")
+    for made in (dedup.shingles, dedup.shingle_counts, dedup.shared_counts):
+        spark.conf.unset(key)
+        made(docs)
+        assert spark.conf.get(key) == str(storage.BATCH_BYTES)
