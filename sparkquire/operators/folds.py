@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..params import DEFAULTS
 
@@ -27,54 +28,93 @@ def _fold(rows: DataFrame, key: str, order: list[str], columns: list[str], schem
     return rows.select(*names).groupBy(key).applyInPandas(run, f"`{key}` {kind[key]}, {schema}")
 
 
+def _stream(rows: DataFrame, key: str, order: str, column: str, names: list[str], begin: Callable[[], Callable[[np.ndarray], list[np.ndarray]]]) -> DataFrame:
+    """key, order and numbers ``names``: the fold goes through a key's rows batch by batch, so that a task holds a batch of a
+    sequence and never all of it.  ``begin`` gives what folds one sequence: a function that is called with stretch after stretch."""
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, fold = None, None
+        for part in batches:
+            keys = part[key]
+            new = np.flatnonzero(((keys != keys.shift()) & ~(keys.isna() & keys.shift().isna())).to_numpy()[1:]) + 1
+            for i, j in zip([0, *new], [*new, len(part)]):
+                if i == j:
+                    continue
+                k = None if pd.isna(keys.iat[i]) else keys.iat[i]
+                if fold is None or k != at:
+                    at, fold = k, begin()
+                piece = part.iloc[i:j]
+                yield pd.DataFrame({key: piece[key], order: piece[order], **dict(zip(names, fold(piece[column].to_numpy())))})
+
+    light = rows.select(*dict.fromkeys((key, order, column)))
+    dealt = light.repartition(key).sortWithinPartitions(F.col(key), F.col(order).asc_nulls_last())
+    return dealt.mapInPandas(run, f"`{key}` {kind[key]}, `{order}` {kind[order]}, " + ", ".join(f"{n} long" for n in names))
+
+
 def budget_batches(rows: DataFrame, key: str, order: str, cost: str, budget: int, most: int | None = None) -> DataFrame:
     """key, order, batch (from 0): consecutive rows whose costs stay within the budget, ``most`` to
     a batch; a row over the budget is a batch of its own."""
-    kind = rows.schema[order].dataType.simpleString()
 
-    def step(p: pd.DataFrame) -> pd.DataFrame:
-        batch, total, n, out = -1, 0, 0, []
-        for c in p[cost]:
-            if batch < 0 or total + c > budget or (most is not None and n >= most):
-                batch, total, n = batch + 1, 0, 0
-            total, n = total + c, n + 1
-            out.append(batch)
-        return pd.DataFrame({order: p[order].to_numpy(), "batch": out})
+    def begin() -> Callable[[np.ndarray], list[np.ndarray]]:
+        batch, total, n = -1, 0, 0
+
+        def fold(costs: np.ndarray) -> list[np.ndarray]:
+            nonlocal batch, total, n
+            out = np.empty(len(costs), np.int64)
+            for i, c in enumerate(costs.tolist()):
+                if batch < 0 or total + c > budget or (most is not None and n >= most):
+                    batch, total, n = batch + 1, 0, 0
+                total, n = total + c, n + 1
+                out[i] = batch
+            return [out]
+
+        return fold
 
-    return _fold(rows, key, [order], [cost], f"`{order}` {kind}, batch long", step)
+    return _stream(rows, key, order, cost, ["batch"], begin)
 
 
 def group_batches(rows: DataFrame, key: str, order: str, group: str, size: int) -> DataFrame:
     """Batches that never part a group's rows: a new one begins at a group's start once ``size`` is reached."""
-    kind = rows.schema[order].dataType.simpleString()
 
-    def step(p: pd.DataFrame) -> pd.DataFrame:
-        batch, n, last, out = 0, 0, object(), []
-        for g in p[group]:
-            if n >= size and g != last:
-                batch, n = batch + 1, 0
-            last, n = g, n + 1
-            out.append(batch)
-        return pd.DataFrame({order: p[order].to_numpy(), "batch": out})
+    def begin() -> Callable[[np.ndarray], list[np.ndarray]]:
+        batch, n, last = 0, 0, object()
+
+        def fold(groups: np.ndarray) -> list[np.ndarray]:
+            nonlocal batch, n, last
+            out = np.empty(len(groups), np.int64)
+            for i, g in enumerate(groups.tolist()):
+                if n >= size and g != last:
+                    batch, n = batch + 1, 0
+                last, n = g, n + 1
+                out[i] = batch
+            return [out]
 
-    return _fold(rows, key, [order], [group], f"`{order}` {kind}, batch long", step)
+        return fold
+
+    return _stream(rows, key, order, group, ["batch"], begin)
 
 
 def chapter_starts(rows: DataFrame, key: str, order: str, chars: str, per_chapter: int = DEFAULTS.chapter_chars, per_volume: int = DEFAULTS.volume_chapters) -> DataFrame:
     """key, order, chapter, volume (from 0): a chapter begins where the rows before it, since the
     last start, reached ``per_chapter``.  Holes weigh 0."""
-    kind = rows.schema[order].dataType.simpleString()
 
-    def step(p: pd.DataFrame) -> pd.DataFrame:
-        chapter, total, out = -1, 0, []
-        for c in p[chars].fillna(0):
-            if chapter < 0 or total >= per_chapter:
-                chapter, total = chapter + 1, 0
-            total += c
-            out.append(chapter)
-        return pd.DataFrame({order: p[order].to_numpy(), "chapter": out, "volume": [c // per_volume for c in out]})
-
-    return _fold(rows, key, [order], [chars], f"`{order}` {kind}, chapter long, volume long", step)
+    def begin() -> Callable[[np.ndarray], list[np.ndarray]]:
+        chapter, total = -1, 0
+
+        def fold(sizes: np.ndarray) -> list[np.ndarray]:
+            nonlocal chapter, total
+            out = np.empty(len(sizes), np.int64)
+            for i, c in enumerate(sizes.tolist()):
+                if chapter < 0 or total >= per_chapter:
+                    chapter, total = chapter + 1, 0
+                total += c
+                out[i] = chapter
+            return [out, out // per_volume]
+
+        return fold
+
+    return _stream(rows.withColumn(chars, F.coalesce(chars, F.lit(0))), key, order, chars, ["chapter", "volume"], begin)
 
 
 def overlapping_windows(sizes: list[int], budget: int, overlap: int = DEFAULTS.window_overlap) -> Iterator[tuple[int, int]]:

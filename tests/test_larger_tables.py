@@ -43,3 +43,25 @@ def test_texts_go_to_python_in_small_batches(spark):
         spark.conf.unset(key)
         made(docs)
         assert spark.conf.get(key) == str(storage.BATCH_BYTES)
+
+
+def test_folds_go_on_over_batches(spark, tmp_path):
+    """Sequences of many Arrow batches: none is held whole, and batches and chapters go on where the last stretch ended."""
+    from sparkquire.operators import folds
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        n = 200
+        events = {"event_type": [("a", "b", None)[i % 3] for i in range(n)], "event_id": list(range(n)), "user_id": [i // 11 for i in range(n)]}
+        assert len(same_as_sql(spark, tmp_path, "q_group_batches", events=events | {"event_type": ["ab"[i % 2] for i in range(n)]})) == n
+        docs = {"source": ["xy"[i % 2] for i in range(n)], "doc_id": list(range(n)), "n_chars": [i * 37 % 5000 for i in range(n)]}
+        for name in ("q_budget_batches", "q_chapter_fallback"):
+            same_as_sql(spark, tmp_path, name, documents=docs)
+        rows = spark.createDataFrame(list(zip(*events.values())), "event_type string, event_id long, user_id long")
+        plan = folds.group_batches(rows, "event_type", "event_id", "user_id", 5)
+        assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().analyzed().toString()
+        assert plan.where("event_type is null").agg({"batch": "max"}).first()[0] > 5
+    finally:
+        spark.conf.set(key, before)
