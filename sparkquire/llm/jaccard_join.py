@@ -13,6 +13,10 @@ cut into blocks of bounded size by set size; each block is written once to the s
 pairs of blocks that aren't too far apart in size read the two from there, and a pair is
 verified at once by a product of 0/1 matrices, which returns a spanning forest of the links,
 not the links.
+
+Chance meetings chain sets of nothing in common into one family that grows faster than the input.  So a large family
+is parted first: the members of each signature are compared by sketches, a parity bit for each of some hash slots.  The bits
+in which two sketches differ are never more than the features in which the sets do, so sets that are linked always stay together.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import give_back, mix, shingle_sets
@@ -34,8 +38,10 @@ BAND_RATIO = 1.5
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 600_000
 FEATURES_AT_ONCE = 4096
-#: Classes that a task remembers as signed.
+#: Classes that a task remembers as signed, and meetings that it remembers as told.
 SIGNED_CLASSES = 500_000
+#: Members of one signature that are compared with one another by sketches; more stay one family.
+SKETCHED = 4096
 
 
 class Bands:
@@ -112,6 +118,45 @@ def class_hashes(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def sketches(x: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """Parity bits of each set: of its features in each of as many hash slots as it has features, up to a power of two (64 at least)."""
+    slots = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    ends = np.cumsum(slots)
+    at = np.repeat(ends - slots, sizes) + (mix(x ^ np.uint64(0x2545F4914F6CDD1D)) & (np.repeat(slots, sizes) - 1).astype(np.uint64)).astype(np.int64)
+    data = np.packbits(np.bincount(at, minlength=int(slots.sum())).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return [data[(e - s) // 8 : e // 8] if n else None for e, s, n in zip(ends.tolist(), slots.tolist(), sizes.tolist())]
+
+
+def possible_roots(told: list[bytes], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set the first one that it is joined to by pairs that their sketches allow to be links.  A longer sketch is
+    folded to the length of the other."""
+    m, width = len(told), np.array([len(t) for t in told])
+    links = np.zeros((m, m), bool)
+    for w in np.unique(width):
+        rows, others = np.flatnonzero(width == w), np.flatnonzero(width >= w)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(told[i], np.uint64).reshape(-1, w // 8), axis=0) for i in others])
+        own = folded[np.searchsorted(others, rows)]
+        step = max(1, (4 << 20) // folded.nbytes)
+        for a in range(0, len(rows), step):
+            part = rows[a : a + step]
+            apart = np.bitwise_count(own[a : a + step, None] ^ folded[None]).sum(axis=2, dtype=np.int64)
+            links[np.ix_(part, others)] = apart * (num + den) <= (sizes[part, None] + sizes[None, others]) * (den - num)
+    return _roots(links | links.T)
+
+
+def _roots(links: np.ndarray) -> np.ndarray:
+    """The first node that each reaches by links, a symmetric matrix."""
+    m = len(links)
+    np.fill_diagonal(links, True)
+    root = np.arange(m)
+    while True:
+        near = np.where(links, root[None, :], m).min(axis=1)
+        near = np.minimum(near, near[near])
+        if (near == root).all():
+            return root
+        root = near
+
+
 def link_roots(sets: list[np.ndarray], blocks: np.ndarray, num: int, den: int) -> np.ndarray:
     """For each set the first one that it is joined to by links (itself if none).  With two
     blocks only pairs across them are looked at: each block has its own turn."""
@@ -138,14 +183,7 @@ def link_roots(sets: list[np.ndarray], blocks: np.ndarray, num: int, den: int) -
     links = inter * (num + den) >= num * (sizes[:, None] + sizes[None, :])
     if len(np.unique(blocks)) == 2:
         links &= blocks[:, None] != blocks[None, :]
-    np.fill_diagonal(links, True)
-    root = np.arange(m)
-    while True:
-        near = np.where(links, root[None, :], m).min(axis=1)
-        near = np.minimum(near, near[near])
-        if (near == root).all():
-            return root
-        root = near
+    return _roots(links)
 
 
 def _class_rows(num: int, den: int, k: int):
@@ -171,27 +209,78 @@ def _class_rows(num: int, den: int, k: int):
                 ends[1:][new] = np.bincount(of, minlength=int(new.sum()))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(sig[order].view(np.int64)))
                 own = batch.slice(first, len(sizes))
-                yield pa.RecordBatch.from_arrays([own["doc_id"], own["rid"], pa.array(sizes.astype(np.int64)), pa.array(c1.view(np.int64)), pa.array(cids, pa.binary()), lists, pa.array(new)], ["doc_id", "rid", "n", "c1", "cid", "sigs", "signs"])
+                yield pa.RecordBatch.from_arrays([own["doc_id"], own["rid"], pa.array(sizes.astype(np.int64)), pa.array(c1.view(np.int64)), pa.array(cids, pa.binary()), lists, pa.array(new), _told(x, sizes, new)], ["doc_id", "rid", "n", "c1", "cid", "sigs", "signs", "sketch"])
         give_back()
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, c1): each c1 with the first of its signature, repeats within a batch once."""
-    last_sig, last_hub = None, 0
+def _told(x: np.ndarray, sizes: np.ndarray, new: np.ndarray) -> pa.Array:
+    """The sketches of new classes, null for others."""
+    own = iter(sketches(x[np.repeat(new, sizes)], sizes[new]))
+    return pa.array([next(own) if w else None for w in new], pa.binary())
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (sig, c1): of each signature with several members, each with the first; k1 and k2 name the members, and a task
+    gives the same members once."""
+    told: set[tuple[int, int]] = set()
+
+    def found(sig: np.ndarray, c1: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(start, len(sig)))
+        k1, k2 = (np.add.reduceat(mix(c1.view(np.uint64) ^ np.uint64(seed)), start).view(np.int64) for seed in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
+        new = size > 1
+        for i in np.flatnonzero(new).tolist():
+            if len(told) > SIGNED_CLASSES:
+                told.clear()
+            key = (int(k1[i]), int(k2[i]))
+            new[i] = key not in told
+            told.add(key)
+        rows = np.repeat(new, size)
+        of = np.repeat(np.arange(len(start)), size)[rows]
+        return pa.RecordBatch.from_arrays([pa.array(k1[of]), pa.array(k2[of]), pa.array(c1[start[of]]), pa.array(c1[rows])], ["k1", "k2", "a", "b"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of a signature that may go on
     for batch in batches:
         sig, c1 = batch["sig"].to_numpy(), batch["c1"].to_numpy()
         if not len(sig):
             continue
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        hub = c1[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-        if last_sig is not None and sig[0] == last_sig:
-            hub = np.where(np.cumsum(new) == 1, last_hub, hub)
-        last_sig, last_hub = sig[-1], hub[-1]
-        edge = np.unique(np.stack([hub, c1], axis=1)[hub != c1], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])
+        last = int(np.searchsorted(sig, sig[-1]))
+        if held and (last or held[0][0][0] != sig[-1]):
+            yield found(*(np.concatenate(c) for c in zip(*held, (sig[:last], c1[:last]))))
+            held = []
+        elif last:
+            yield found(sig[:last], c1[:last])
+        held.append((sig[last:], c1[last:]))
+    if held:
+        yield found(*(np.concatenate(c) for c in zip(*held)))
+
+
+def _possible(num: int, den: int):
+    """Rows sorted by (k1, k2): members of one signature that sketches allow to be linked, each with the first of them."""
+
+    def finish(held: list[tuple[int, int, bytes]]) -> tuple[list[int], list[int]]:
+        c1, sizes, told = zip(*held)
+        root = possible_roots(list(told), np.array(sizes), num, den) if len(held) <= SKETCHED else np.zeros(len(held), int)
+        some = np.flatnonzero(root != np.arange(len(held))).tolist()
+        return [c1[root[i]] for i in some], [c1[i] for i in some]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            a, b = [], []
+            for k1, k2, *row in zip(*(batch[c].to_pylist() for c in ("k1", "k2", "c1", "n", "sketch"))):
+                if last is not None and last != (k1, k2):
+                    x, y = finish(held)
+                    a, b, held = a + x, b + y, []
+                last = (k1, k2)
+                held.append(tuple(row))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in finish(held)], ["a", "b"])
+
+    return run
 
 
 def _set_rows(sieve: Sieve, k: int):
@@ -272,11 +361,28 @@ def _across_blocks(num: int, den: int):
     return run
 
 
+def _large() -> Column:
+    return (F.count("*") > BLOCK_SETS) | (F.sum("n") > BLOCK_SHINGLES)
+
+
+def _parted(members: DataFrame, meetings: DataFrame, told: DataFrame, num: int, den: int) -> DataFrame:
+    """members (cid, rid, n, c1, family) with large families parted; members that nothing can be linked with go.
+    A signature's members are all of one family, so what meets in a large one meets there whole."""
+    large = cut(members.groupBy("family").agg(_large().alias("large")).where("large").select("family"))
+    if large.isEmpty():
+        return members
+    inside = cut(members.join(large, "family").select("cid", "rid", "n", "c1"))
+    rows = meetings.select("k1", "k2", F.col("b").alias("c1")).distinct().join(told.join(inside.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "c1")
+    edges = rows.select("k1", "k2", "c1", "n", "sketch").repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_possible(num, den), "a long, b long")
+    found = components(edges).select(F.col("node").alias("c1"), F.col("component").alias("family"))
+    return cut(members.join(large, "family", "left_anti").unionByName(inside.join(found, "c1")))
+
+
 def _block_rows(members: DataFrame, num: int, den: int) -> DataFrame:
     """(rid, cid, family, bin, salt, block, large): each class in its block.  A family that fits one
     block is one; others go by size (a bin spans the greatest ratio of linked sizes) and, where a
     bin is too full, by a hash."""
-    whole = members.groupBy("family").agg(((F.count("*") > BLOCK_SETS) | (F.sum("n") > BLOCK_SHINGLES)).alias("large"))
+    whole = members.groupBy("family").agg(_large().alias("large"))
     size_bin = F.floor(F.ln("n") / F.ln(F.lit(den / num)) + 1e-9).cast("long")
     members = members.join(whole, "family").withColumn("bin", F.when(F.col("large"), size_bin).otherwise(0))
     bins = members.groupBy("family", "bin").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("salts"))
@@ -314,16 +420,19 @@ def _rooted(docs: DataFrame, num: int, den: int, words: int, doc_id: str, text:
     modest_batches(spark)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    rows = cut(base.select("doc_id", "rid", "text").mapInArrow(_class_rows(num, den, words), f"doc_id {kind}, rid long, n long, c1 long, cid binary, sigs array<long>, signs boolean"))
+    rows = cut(base.select("doc_id", "rid", "text").mapInArrow(_class_rows(num, den, words), f"doc_id {kind}, rid long, n long, c1 long, cid binary, sigs array<long>, signs boolean, sketch binary"))
     # a class comes from a task once, and from all of them once after this
     signing = rows.where("signs and size(sigs) > 0").select("cid", "c1", "sigs").dropDuplicates(["cid"])
     signed = signing.select("c1", F.explode("sigs").alias("sig"))
-    stars = signed.repartition("sig").sortWithinPartitions("sig", "c1").mapInArrow(_stars, "a long, b long")
-    families = cut(components(stars).select(F.col("node").alias("c1"), F.col("component").alias("family")))
-    del signing, signed, stars
+    meetings = cut(signed.repartition("sig").sortWithinPartitions("sig", "c1").mapInArrow(_meetings, "k1 long, k2 long, a long, b long"))
+    del signing, signed
     release(spark)  # the signatures' shuffles
+    families = cut(components(meetings).select(F.col("node").alias("c1"), F.col("component").alias("family")))
     classes = rows.where("cid is not null").groupBy("cid", "c1").agg(F.min("rid").alias("rid"), F.min("n").alias("n"))
-    members = cut(classes.join(families, "c1").select("cid", "rid", "n", "family"))
+    members = cut(classes.join(families, "c1").select("cid", "rid", "n", "c1", "family"))
+    told = rows.where("signs and sketch is not null").select("cid", "c1", "n", "sketch")
+    members = _parted(members, meetings, told, num, den)
+    release(spark)
     sieve = Sieve(members.select(F.col("rid").alias("key")))
     sets = base.select("rid", "text").mapInArrow(_set_rows(sieve, words), "rid long, features binary")
     joined = components(_block_links(cut(_block_rows(members, num, den)), sets, num, den)).select(F.col("node").alias("cid"), F.col("component").alias("root"))

@@ -364,3 +364,31 @@ def test_round_trip_of_rows(spark, monkeypatch):
     assert Counter((r.doc_id, r.decoded, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in out) == Counter((d, t or "", tuple(lib.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
     empty = docs(spark, [])
     assert bpe.digests(bpe.encode_decode(empty, queries.TOKENIZER, bpe.build_lexicon(empty, queries.TOKENIZER), ["doc_id"])).collect() == []
+
+
+def test_large_families_are_parted_before_they_are_verified(spark, monkeypatch):
+    """A chain of chance meetings is one family of the meetings; only what may be linked stays together."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    rng = np.random.default_rng(5)
+    bases = [rng.integers(0, 2**63, 300).astype(np.uint64) for _ in range(6)]
+    sets = [np.concatenate([b[: 300 - k], rng.integers(0, 2**63, k).astype(np.uint64)]) for b in bases for k in (0, 20)]
+    told = jaccard_join.sketches(np.concatenate(sets), np.full(12, 300))
+    rows = [(bytes([i]), i, 300, i, 0) for i in range(12)]
+    members = spark.createDataFrame(rows, "cid binary, rid long, n long, c1 long, family long")
+    meets = [(g, g, i, j) for g, (i, *others) in enumerate([(0, 1, 2, 3), (2, 3, 4, 5, 6), (6, 7, 8, 9, 10, 11)]) for j in (i, *others)]
+    parted = jaccard_join._parted(members, spark.createDataFrame(meets, "k1 long, k2 long, a long, b long"), spark.createDataFrame([(bytes([i]), i, 300, t) for i, t in enumerate(told)], "cid binary, c1 long, n long, sketch binary"), 80, 100)
+    assert sorted((r.c1, r.family) for r in parted.collect()) == [(i, i - i % 2) for i in range(12)]
+
+
+def test_sketches_never_part_what_is_linked():
+    """Sets at the very threshold, of sizes whose sketches differ in length."""
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 60, 64, 65, 120, 128, 500, 1000, 1024):
+        x = rng.integers(0, 2**63, 2 * n + 10).astype(np.uint64)
+        for other in (x[: max(1, -(-4 * n // 5))], x[: n + n // 4], np.concatenate([x[: n - n // 9], x[n : n + n // 9]])):
+            a = x[:n]
+            inter = len(np.intersect1d(a, other))
+            linked = 100 * inter >= 80 * (len(a) + len(other) - inter)
+            sizes = np.array([n, len(other)])
+            root = jaccard_join.possible_roots(jaccard_join.sketches(np.concatenate([a, other]), sizes), sizes, 80, 100)
+            assert linked and root.tolist() == [0, 0]
