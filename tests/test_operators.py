@@ -381,3 +381,15 @@ def test_books_are_written(spark, tmp_path):
         assert "正文 &lt;b&gt;。" in z.read("p00001.xhtml").decode()
     export.write_docx(nodes, str(tmp_path / "b.docx"), "书")
     assert readers.docx_text((tmp_path / "b.docx").read_bytes()).split("\n")[1:4] == ["# 卷", "## 章", "正文 <b>。"]
+
+
+def test_rows_of_votes_and_signs_stand_for_whole_lines(spark):
+    """Lines and keys reach Python as lists, many at a time, not as a group each."""
+    rows = spark.createDataFrame([(line, p, s, k) for line in "ab" for p, o in enumerate(("xyz", "yxz", "yzx")) for k, s in enumerate(o)], "line string, pass int, scene string, pos int")
+    order = threads.consensus(rows)
+    assert [(r.line, r.scene) for r in order.orderBy("line", "pos").collect()] == [(line, s) for line in "ab" for s in "yxz"]
+    points = spark.createDataFrame([("a", 1, 2), ("a", 1, 2), ("a", 2, 1), ("a", 3, 1), ("b", 1, None), ("b", 2, 1), ("c", 1, 1), (None, 1, 2), (None, 2, 3)], "line string, x int, y int")
+    signs = threads.pair_signs(points, "line", "x", "y")
+    assert {r[0]: tuple(r)[1:] for r in signs.collect()} == {"a": (0, 4, 0, 1, 1), "b": (0, 0, 0, 0, 0), None: (1, 0, 0, 0, 0)}
+    for frame in (order, signs):
+        assert "FlatMapGroups" not in frame._jdf.queryExecution().toString()
