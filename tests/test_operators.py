@@ -393,3 +393,16 @@ def test_rows_of_votes_and_signs_stand_for_whole_lines(spark):
     assert {r[0]: tuple(r)[1:] for r in signs.collect()} == {"a": (0, 4, 0, 1, 1), "b": (0, 0, 0, 0, 0), None: (1, 0, 0, 0, 0)}
     for frame in (order, signs):
         assert "FlatMapGroups" not in frame._jdf.queryExecution().toString()
+
+
+def test_only_shingles_that_may_be_common_leave_their_sets(spark):
+    """Tasks tally the sets' numbers, and what no other text has is never a row."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3], "n": [2, 0, 2], "hs": pa.array([[5, 7], [], [7, 9]], pa.list_(pa.int64()))})
+    told = pa.Table.from_batches(dedup._tallies(iter([batch, batch, batch.slice(1, 1)])))
+    assert dict(zip(told["h"].to_pylist(), told["df"].to_pylist())) == {5: 2, 7: 4, 9: 2}
+    assert not list(dedup._tallies(iter([batch.slice(1, 1)])))
+    sieve = dedup.Sieve(spark.createDataFrame([(7,)], "key long"))
+    out = pa.Table.from_batches(dedup._sifted(sieve)(iter([batch.slice(0, 2), batch.slice(2)])))
+    assert list(zip(*(out[c].to_pylist() for c in ("k", "n", "h")))) == [(1, 2, 7), (3, 2, 7)]
