@@ -23,14 +23,30 @@ SLICE_BYTES = 1 << 20
 
 def _pairs(data: bytes) -> np.ndarray:
     """How often each pair of neighbouring bytes stands at even places of the data, then at odd ones."""
-    out, x = np.zeros(PAIRS, np.int64), np.frombuffer(data, np.uint8)
-    for a in range(0, max(len(x) - 1, 0), SLICE_BYTES):
-        part = x[a : a + SLICE_BYTES + 1].astype(np.uint32)
-        odd = (np.arange(a, a + len(part) - 1) & 1).astype(np.uint32)
-        out += np.bincount((odd << 16) | (part[:-1] << 8) | part[1:], minlength=PAIRS)
+    out = np.zeros(PAIRS, np.int64)
+    for a in range(0, max(len(data) - 1, 0), SLICE_BYTES):
+        codes = _codes(data[a : a + SLICE_BYTES + 1])
+        out += np.bincount(codes ^ ((a & 1) << 16), minlength=PAIRS)
     return out
 
 
+def _seen(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that the data has, and how often: short data is not held against all pairs."""
+    if len(data) <= SLICE_BYTES:
+        return np.unique(_codes(data), return_counts=True)
+    seen = _pairs(data)
+    at = np.flatnonzero(seen)
+    return at, seen[at]
+
+
+def _codes(data: bytes) -> np.ndarray:
+    """A number for each pair of neighbouring bytes."""
+    x = np.frombuffer(data, np.uint8)
+    code = (x[:-1].astype(np.int64) << 8) | x[1:]
+    code[1::2] |= 1 << 16
+    return code
+
+
 class Likelihoods:
     """A detector for ``readers.detect_encoding``: the encoding of the likeliest pairs, of those that the data decodes in if there
     are any; of equals the first.  Data of fewer than two bytes has none."""
@@ -41,9 +57,8 @@ class Likelihoods:
     def __call__(self, data: bytes) -> str | None:
         if len(data) < 2 or not self.tables:
             return None
-        seen = _pairs(data)
-        at = np.flatnonzero(seen)
-        score = {name: float(seen[at] @ t[at]) for name, t in self.tables.items()}
+        at, seen = _seen(data)
+        score = {name: float(seen @ t[at]) for name, t in self.tables.items()}
         sound = [name for name in score if self._decodes(data, name)]
         return max(sound or score, key=score.__getitem__)
 
@@ -60,13 +75,26 @@ def learn(texts: DataFrame, text: str = "text", encodings: Sequence[str] = ENCOD
     """Tables from all texts; characters that an encoding lacks are left out there.  No texts give tables that know nothing."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {name: np.zeros(PAIRS, np.int64) for name in encodings}
+        seen, held, size = {name: np.zeros(PAIRS, np.int64) for name in encodings}, {name: [] for name in encodings}, 0
+
+        def tally() -> None:
+            for name, codes in held.items():
+                if codes:
+                    seen[name] += np.bincount(np.concatenate(codes), minlength=PAIRS)
+                codes.clear()
+
         for batch in batches:
             for t in batch[0]:
                 t = t.as_py() or ""
                 for a in range(0, len(t), SLICE_BYTES):
+                    part = t[a : a + SLICE_BYTES]
                     for name in encodings:
-                        seen[name] += _pairs(t[a : a + SLICE_BYTES].encode(name, "ignore"))
+                        held[name].append(_codes(part.encode(name, "ignore")))
+                    size += len(part)
+                    if size >= SLICE_BYTES:  # short texts are counted together
+                        tally()
+                        size = 0
+        tally()
         for name, n in seen.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["name", "at", "n"])

@@ -49,3 +49,16 @@ def test_documents_in_seven_encodings(spark):
         assert mine and all(r.same for r in mine)
     rest = [r for r in rows if r.encoding in ("utf-16-le", "utf-16-be", "cp1252", "big5", "shift_jis")]
     assert len(rest) > 20 and sum(r.written == r.encoding and r.same for r in rest) >= 0.95 * len(rest)
+
+
+def test_short_texts_are_counted_together(spark, monkeypatch):
+    """No text is held against all pairs on its own, and the tables are the same."""
+    texts = [f"text {i} of a few words, 第{i}章" for i in range(40)] + ["", None]
+    whole = {name: sum(encodings._pairs((t or "").encode(name, "ignore")) for t in texts) for name in encodings.ENCODINGS}
+    told = encodings.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert all((told.tables[name] == encodings.Likelihoods(whole).tables[name]).all() for name in whole)
+    data = texts[3].encode()
+    want = encodings._pairs(data)
+    monkeypatch.setattr(encodings, "_pairs", None)
+    at, n = encodings._seen(data)
+    assert (n == want[at]).all() and n.sum() == want.sum() and encodings._seen(b"a")[0].size == 0
