@@ -224,3 +224,16 @@ def test_items_found_whole(spark, monkeypatch, few):
     want = {(d, i) for d, t in docs for i, w in items if t and w and w in t}
     got = search.verbatim(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "item long, text string")).collect()
     assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_stretches_are_those_of_each_text_alone():
+    """Stretches of a whole batch are hashed at once; none runs from one text into the next."""
+    import pyarrow as pa
+
+    from sparkquire.operators import search
+
+    texts = ["", "short", "exactly8", "字 and 😀 both", "xexactly8x", "exactly8"]
+    h, of = search._hashed(pa.array(texts))
+    want = [(k, t[i : i + 8]) for k, t in enumerate(texts) for i in range(len(t) - 7)]
+    assert of.tolist() == [k for k, _ in want] and len(set(h.tolist())) == len({w for _, w in want})
+    assert len(set(zip(h.tolist(), (w for _, w in want)))) == len({w for _, w in want})
