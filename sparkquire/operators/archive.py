@@ -140,12 +140,13 @@ def sentences(lines: DataFrame) -> DataFrame:
 def reference_rates(sentence_rows: DataFrame, allowed: DataFrame, lenient: tuple[str, ...] = ()) -> DataFrame:
     """(sentences, without_ref, no_ref_rate, refs, fabricated, fabricated_rate), one row.
     allowed: id, scene.  Sentences of lenient sections need no reference."""
-    rows = sentence_rows.withColumn("refs", T.scene_refs(F.col("sentence")))
     strict = ~F.col("section").isin(*lenient) if lenient else F.lit(True)
-    counts = rows.agg(F.count_if(strict).alias("sentences"), F.count_if(strict & (F.size("refs") == 0)).alias("without_ref"))
-    used = rows.select("id", F.explode("refs").alias("scene"))
-    known = used.join(allowed.select("id", "scene").distinct().withColumn("ok", F.lit(1)), ["id", "scene"], "left")
-    bad = known.agg(F.count("*").alias("refs"), F.count_if(F.col("ok").isNull()).alias("fabricated"))
+    # one pass: a row for each reference, one with nulls for a sentence without any, added up by text and scene before they meet those allowed
+    each = sentence_rows.select("id", strict.alias("strict"), F.col("sentence").isNotNull().alias("told"), F.posexplode_outer(T.scene_refs(F.col("sentence"))).alias("no", "scene"))
+    none = F.col("no").isNull()
+    sums = each.groupBy("id", "scene").agg(F.count_if(F.col("strict") & (none | (F.col("no") == 0))).alias("sentences"), F.count_if(F.col("strict") & F.col("told") & none).alias("without_ref"), F.count("scene").alias("refs"))
+    known = sums.join(allowed.select("id", "scene").distinct().withColumn("ok", F.lit(1)), ["id", "scene"], "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    both = known.agg(total("sentences").alias("sentences"), total("without_ref").alias("without_ref"), total("refs").alias("refs"), total(F.when(F.col("ok").isNull(), F.col("refs"))).alias("fabricated"))
     rate = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
-    both = counts.crossJoin(bad)  # one row each
     return both.select("sentences", "without_ref", rate("without_ref", "sentences").alias("no_ref_rate"), "refs", "fabricated", rate("fabricated", "refs").alias("fabricated_rate"))

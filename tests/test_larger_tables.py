@@ -91,3 +91,28 @@ def test_candidates_are_counted_in_bounded_tasks(spark, tmp_path, monkeypatch):
         assert "RepartitionByExpression [subject" in plan and f", {-(-facts_of // 40)}\n" in plan
     merged = facts.merge_values(spark.createDataFrame([(i % 7, "甲", "年龄", f"{i % 3}岁") for i in range(50)] + [(1, "乙", "年龄", "三")], "scene long, subject string, attribute string, value string"))
     assert [tuple(r) for r in facts.candidates(merged).collect()] == [("甲", "年龄", 3, 7, 0, 21, 1)]
+
+
+def test_sentences_of_a_text_without_dots_are_found_in_one_pass(spark, tmp_path):
+    """A text's undotted rest costs its length, not the square of it."""
+    import time
+
+    texts = ["a.b", "..a..\nb c.d\n.", ".", "", None, "no dot", "x\r\n\n.y。z.", "four.fives.[S-0001].", "é😀 . .\t.", "wx. " * 1000]
+    docs = {"doc_id": list(range(len(texts))), "text": texts}
+    assert len(same_as_sql(spark, tmp_path, "q_no_ref_rate", documents=docs)) == 1
+    long = {"doc_id": [3, 4, 5], "text": ["abcd. " + "x\n" * 150_000, "ab cd" * 60_000, "abcde." * 10]}
+    pq.write_table(pa.table(long), f"{tmp_path}/documents.parquet")
+    start = time.monotonic()
+    assert [tuple(r) for r in catalog.QUERIES["q_no_ref_rate"](spark, str(tmp_path)).collect()] == [(11, 10, round(10 / 11, 6), 1, 1, 1.0)]
+    assert time.monotonic() - start < 20
+
+
+def test_reference_rates_count_every_reference_and_sentence_once(spark):
+    from sparkquire.operators import archive
+
+    rows = [(1, "一", "x[S-0001、S-0002]"), (1, "一", "y[S-0003] and [S-0003]"), (1, "一", "none"), (2, "附", "none"), (2, "附", "z[S-0001]"), (2, None, "none"), (None, "一", "[S-0001]"), (1, "一", None)]
+    sentences = spark.createDataFrame(rows, "id long, section string, sentence string")
+    allowed = spark.createDataFrame([(1, "S-0001"), (1, "S-0001"), (1, "S-0003"), (2, "S-0002")], "id long, scene string")
+    assert [tuple(r) for r in archive.reference_rates(sentences, allowed).collect()] == [(8, 3, 0.375, 6, 3, 0.5)]
+    assert [tuple(r) for r in archive.reference_rates(sentences, allowed, ("附",)).collect()] == [(5, 1, 0.2, 6, 3, 0.5)]
+    assert [tuple(r) for r in archive.reference_rates(sentences.limit(0), allowed).collect()] == [(0, 0, 0.0, 0, 0, 0.0)]
