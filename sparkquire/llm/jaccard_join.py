@@ -371,11 +371,12 @@ def _parted(members: DataFrame, meetings: DataFrame, told: DataFrame, num: int,
     large = cut(members.groupBy("family").agg(_large().alias("large")).where("large").select("family"))
     if large.isEmpty():
         return members
-    inside = cut(members.join(large, "family").select("cid", "rid", "n", "c1"))
+    known = cut(members.join(large.withColumn("large", F.lit(True)), "family", "left"))
+    inside = known.where("large").select("cid", "rid", "n", "c1")
     rows = meetings.select("k1", "k2", F.col("b").alias("c1")).distinct().join(told.join(inside.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "c1")
     edges = rows.select("k1", "k2", "c1", "n", "sketch").repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_possible(num, den), "a long, b long")
     found = components(edges).select(F.col("node").alias("c1"), F.col("component").alias("family"))
-    return cut(members.join(large, "family", "left_anti").unionByName(inside.join(found, "c1")))
+    return cut(known.where("large is null").drop("large").unionByName(inside.join(found, "c1")))
 
 
 def _block_rows(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -427,7 +428,7 @@ def _rooted(docs: DataFrame, num: int, den: int, words: int, doc_id: str, text:
     meetings = cut(signed.repartition("sig").sortWithinPartitions("sig", "c1").mapInArrow(_meetings, "k1 long, k2 long, a long, b long"))
     del signing, signed
     release(spark)  # the signatures' shuffles
-    families = cut(components(meetings).select(F.col("node").alias("c1"), F.col("component").alias("family")))
+    families = components(meetings).select(F.col("node").alias("c1"), F.col("component").alias("family"))
     classes = rows.where("cid is not null").groupBy("cid", "c1").agg(F.min("rid").alias("rid"), F.min("n").alias("n"))
     members = cut(classes.join(families, "c1").select("cid", "rid", "n", "c1", "family"))
     told = rows.where("signs and sketch is not null").select("cid", "c1", "n", "sketch")

@@ -9,9 +9,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sparkquire import storage
 from sparkquire.functions import text as T
 from sparkquire.functions import vectorised as V
 from sparkquire.operators import archive, dedup, entities, facts, folds, sequence, split, state, threads, timeline, triage
+from sparkquire.operators import components as module
 from sparkquire.operators.components import components
 from sparkquire.params import DEFAULTS, Params
 from sparkquire.plans import fact_queries
@@ -139,6 +141,25 @@ def test_components(spark, edges):
     assert got == root
 
 
+def test_a_round_of_components_shuffles_twice_and_stars_need_no_second_cut(spark, monkeypatch):
+    cuts = []
+
+    def cut(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        cuts.append(plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning"))
+        return storage.cut(df)
+
+    monkeypatch.setattr(module, "cut", cut)
+    edges = [(0, i) for i in range(1, 40)] + [(50, 51), (50, 52), (51, 50), (60, 60), (None, 61)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == dict.fromkeys(range(40), 0) | {50: 50, 51: 50, 52: 50, 60: 60}
+    assert cuts == [1, 5]  # repeats; the first step and two rounds
+    chain = [(i, i + 1) for i in range(200)]
+    random.Random(3).shuffle(chain)
+    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a int, b int")).collect()}
+    assert got == dict.fromkeys(range(201), 0) and set(cuts[3:]) <= {4, 5}
+
+
 # names and facts
 
 
